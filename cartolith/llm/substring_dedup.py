@@ -104,7 +104,7 @@ def _ranges(keys: tuple[np.ndarray, ...], start: np.ndarray, width: int) -> tupl
 
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<I", a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays) + text)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays) + text)
 
 
 def _unpack(blob: bytes, dtypes: tuple[type, ...]) -> tuple[list[np.ndarray], bytes]:
@@ -214,6 +214,7 @@ def _settle(width: int):
             size += len(buf)
         if got:
             lo, hi, h, doc, th, start = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
             hit = doc > _exact_firsts(np.concatenate(bufs), lo, hi, h, doc)
             (d, t), a, b = _ranges((doc[hit], th[hit]), start[hit], width)
             for k, x in zip(keys, (d, t, a, b), strict=True):
