@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm.near_dedup import near_duplicates
+from cartolith.llm.packing import pack, token_pieces
+from cartolith.llm.shared import shared_dir
 from cartolith.llm.substring_dedup import substring_dedup
+from cartolith.llm.token_store import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +30,20 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), where, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0)
+    return read_tokens(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_minmax_near_dedup": op4_minmax_near_dedup}
+    found = (op1_substring_dedup, op4_minmax_near_dedup, op7_rans_token_store, op10_lp_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
