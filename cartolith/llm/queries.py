@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.llm.decontaminate import decontaminate
 from cartolith.llm.near_dedup import near_duplicates
 from cartolith.llm.packing import pack, token_pieces
 from cartolith.llm.shared import shared_dir
@@ -26,6 +27,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "item_ids", "score", (F.size("item_ids") > 0).alias("contaminated"), (F.size("item_ids") == 0).alias("kept"))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,7 +48,7 @@ def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op4_minmax_near_dedup, op7_rans_token_store, op10_lp_packing)
+    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op7_rans_token_store, op10_lp_packing)
     return {f.__name__: f for f in found}
 
 

@@ -17,6 +17,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+FOLD = LOWER.copy()  # case and ASCII punctuation folded away
+FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 BYTE_HASH = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64)
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, np.ndarray] = {}
@@ -69,7 +71,8 @@ class Words:
     text d has the words first[d]:first[d + 1].
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, fold: np.ndarray | None = None):
+        """lower: A-Z become a-z. fold: any other table of 256 bytes to put in the bytes' place."""
         large = pa.large_string()
         joined = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(large), pa.scalar(" ", large), pa.scalar("", large))
         if len(joined) == 0:
@@ -78,8 +81,9 @@ class Words:
         ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8)
         raw = np.frombuffer(joined.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
-        if lower:
-            raw = LOWER[raw]
+        table = LOWER if lower else fold
+        if table is not None:
+            raw = table[raw]
         space = SPACE[raw]
         last = space.copy()
         last[1:] &= ~space[:-1]
