@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm.decontaminate import decontaminate
+from cartolith.llm.langid import held_out, identify, train
 from cartolith.llm.near_dedup import near_duplicates
 from cartolith.llm.packing import pack, token_pieces
 from cartolith.llm.shared import shared_dir
@@ -36,6 +37,13 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out()), "doc_id", "text", "lang")
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op7_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), where, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0)
@@ -48,7 +56,7 @@ def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op7_rans_token_store, op10_lp_packing)
+    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op6_kneser_ney_langid, op7_rans_token_store, op10_lp_packing)
     return {f.__name__: f for f in found}
 
 
