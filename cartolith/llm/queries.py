@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.decontaminate import decontaminate
 from cartolith.llm.langid import held_out, identify, train
+from cartolith.llm.line_quality import fit, quality
 from cartolith.llm.near_dedup import near_duplicates
 from cartolith.llm.packing import pack, token_pieces
 from cartolith.llm.shared import shared_dir
@@ -50,13 +51,19 @@ def op7_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op6_kneser_ney_langid, op7_rans_token_store, op10_lp_packing)
+    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op6_kneser_ney_langid, op7_rans_token_store, op8_crf_line_quality, op10_lp_packing)
     return {f.__name__: f for f in found}
 
 
