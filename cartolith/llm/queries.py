@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm.decontaminate import decontaminate
+from cartolith.llm.html_text import extract
 from cartolith.llm.langid import held_out, identify, train
 from cartolith.llm.line_quality import fit, quality
 from cartolith.llm.near_dedup import near_duplicates
 from cartolith.llm.packing import pack, token_pieces
+from cartolith.llm.pll_score import pseudo_likelihood
+from cartolith.llm.pll_score import train as train_window
 from cartolith.llm.shared import shared_dir
+from cartolith.llm.sharding import fill, place
 from cartolith.llm.substring_dedup import substring_dedup
 from cartolith.llm.token_store import read_tokens, write_tokens
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +36,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
+
+
 def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "item_ids", "score", (F.size("item_ids") > 0).alias("contaminated"), (F.size("item_ids") == 0).alias("kept"))
@@ -38,6 +49,11 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op6_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()), "doc_id", "text", "lang")
@@ -57,15 +73,36 @@ def op8_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+def op9_masked_pll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_likelihood(docs, train_window(docs)).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "pll", "pll_per_token")
+
+
 def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op3_bm25_decontamination, op4_minmax_near_dedup, op6_kneser_ney_langid, op7_rans_token_store, op8_crf_line_quality, op10_lp_packing)
+    found = (
+        op1_substring_dedup,
+        op2_permutation_sharding,
+        op3_bm25_decontamination,
+        op4_minmax_near_dedup,
+        op5_template_extraction,
+        op6_kneser_ney_langid,
+        op7_rans_token_store,
+        op8_crf_line_quality,
+        op9_masked_pll,
+        op10_lp_packing,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator. The look-up table of sharding is stated as a list made by its rule."""
+    shards = fill(SHARDS)
+    slot = f"CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15) AS BIGINT) % {len(shards)}"
+    return {
+        "op2_permutation_sharding": f"SELECT doc_id, slot, CAST(({shards})[slot + 1] AS INTEGER) AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents)",
+    }
