@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm.shared import bound_batches
 from cartolith.llm.textkernels import FOLD, Words, slices, window_hash
 
 BLOCK = 16
@@ -153,6 +154,7 @@ def _match(indexes: list, threshold: float, overlap: float):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """row (struct of the input's columns), item_ids (of all verified items), score (the best item's share of its own BM25 score)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // INDEX_BYTES)

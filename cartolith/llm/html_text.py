@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import materialise
+from cartolith.llm.shared import bound_batches, materialise
 from cartolith.llm.textkernels import slices
 
 BROADCAST_ROWS = 4_000_000
@@ -264,6 +264,7 @@ def templates(pages: DataFrame, min_pages: int = 5, html_col: str = "html", url_
 def extract(pages: DataFrame, min_pages: int = 5, html_col: str = "html", url_col: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """row (struct of the input's columns) and main_text."""
     spark = pages.sparkSession
+    bound_batches(spark)
     common = materialise(templates(pages, min_pages, html_col, url_col), "templates")
     whole = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
     whole = whole.select("row", F.col("row")[html_col].cast("string").alias("html"), F.col("row")[url_col].cast("string").alias("url"))

@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm.shared import bound_batches
 from cartolith.llm.textkernels import Words, mix, slices
 
 ORDER = 5
@@ -224,6 +225,7 @@ def _predict(shipped):
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 1000, reject_share: float = 1e-3, slack: float = 2.0) -> Model:
     """labelled: rows to learn from. The sample holds about sample_docs documents of each language, whole texts."""
+    bound_batches(labelled.sparkSession)
     named = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
     sample = named.join(sizes, "lang").where(F.expr(f"pmod(xxhash64(id, 'sample'), 1000000007) < 1000000007D * {sample_docs} / n"))
@@ -246,6 +248,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """row (struct of the input's columns), lang_pred, score (0 to 1: the language's share against the others), entropy, rejected."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm.shared import bound_batches
 from cartolith.llm.textkernels import SPACE, Words, slices, span_hash, window_hash
 
 SYMBOL = np.zeros(256, bool)
@@ -197,6 +198,7 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> tuple[np.ndarray, np.ndarray] | None:
     """Train on about sample_docs labelled texts (chosen by a hash of the id, whole texts); None without any."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and id is not null").distinct()
     total = known.count()
     if not total:
@@ -235,6 +237,7 @@ def _judge(model: tuple[np.ndarray, np.ndarray] | None, share: float):
 
 def quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = 0.5, text_col: str = "text") -> DataFrame:
     """row (struct of the input's columns), the base counts, base_failed, content_share and kept."""
+    bound_batches(docs.sparkSession)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))

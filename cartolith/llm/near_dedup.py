@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.graph import components
-from cartolith.llm.shared import materialise
+from cartolith.llm.shared import bound_batches, materialise
 from cartolith.llm.textkernels import Words, mix, slices, window_hash
 
 BLOCK = 256
@@ -201,6 +201,7 @@ def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k: int = 5, rows: int = 5, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs. threshold: a fraction, for whole-number tests."""
+    bound_batches(docs.sparkSession)
     num, den = threshold
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = plan_bands(num / den, rows, miss)

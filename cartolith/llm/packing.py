@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import materialise, partitions
+from cartolith.llm.shared import bound_batches, materialise, partitions
 from cartolith.llm.textkernels import slices
 from cartolith.llm.tokenise import encoder
 
@@ -61,6 +61,7 @@ def _cut(path: str, spaced: bool, end_id: int, capacity: int):
 
 def token_pieces(docs: DataFrame, path: str, spaced: bool, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECES: each document's ids with end_id after them, cut every capacity ids; ids are little-endian unsigned 32-bit."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(_cut(path, spaced, end_id, capacity), PIECES)
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm.shared import bound_batches
 from cartolith.llm.textkernels import Words, mix, slices
 
 VOCAB, BUCKETS, CLASSES = 1024, 64, 32
@@ -170,6 +171,7 @@ def _average(fan: int):
 
 def train(docs: DataFrame, text_col: str = "text", stride: int = 8, batch: int = 1024, rate: float = 0.01) -> tuple[np.ndarray, bytes]:
     """(vocabulary: word hashes by frequency, weights)."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counted = slim.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     top = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()]
@@ -205,6 +207,7 @@ def _score(vocabulary: np.ndarray, weights: bytes):
 
 def pseudo_likelihood(docs: DataFrame, model: tuple[np.ndarray, bytes], text_col: str = "text") -> DataFrame:
     """row (struct of the input's columns), n_tokens, pll (sum of log probabilities, natural logarithm), pll_per_token."""
+    bound_batches(docs.sparkSession)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
     return whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").mapInArrow(_score(*model), f"row {kind}, n_tokens long, pll double, pll_per_token double")

@@ -29,3 +29,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the cluster sizes this to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most about size bytes between the JVM and Python (a single longer row still goes whole), so that a batch of
+    long texts doesn't decide a worker's memory. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) <= 0 or int(now) > size:
+        spark.conf.set(name, str(size))

@@ -31,12 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import partitions
+from cartolith.llm.shared import bound_batches, partitions
 from cartolith.llm.textkernels import Words, mix, same_spans, slices, span_hash, window_hash
 
 BINS = 4096
 BUCKET_WINDOWS = 1 << 20
 MMER = 3
+DEAL_BYTES = 4 << 20  # larger slices decide more windows by themselves and pack better
 
 
 def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
@@ -138,7 +139,7 @@ def _deal(width: int, buckets: int, bucket_of_bin: np.ndarray):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for part in slices(batches):
+        for part in slices(batches, limit=DEAL_BYTES):
             words = Words(part.column("text"))
             ids = part.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
@@ -255,6 +256,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_ranges(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, lo, hi): word ranges to remove; th is xxhash64 of the text, which tells rows of one id apart."""
     spark = docs.sparkSession
+    bound_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = slim.select("text").mapInArrow(_count_bins(width), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows
     count = np.zeros(BINS, np.int64)

@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+CHUNK = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,18 +28,18 @@ _powers: dict[int, np.ndarray] = {}
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """ODD[which] ** i and its inverse, for i < n, mod 2**64."""
     have = _powers.get(which)
-    if have is None or have.shape[1] < n:
-        m = max(n, 1 << 16)
-        base = int(ODD[which])
-        out = np.empty((2, m), np.uint64)
-        for row, b in ((0, base), (1, pow(base, -1, 2**64))):
-            out[row] = np.uint64(b)
-            out[row, 0] = 1
-            np.multiply.accumulate(out[row], out=out[row])
-        if m > SLICE_BYTES * 2:
-            return out[0], out[1]  # one very long document: not kept
-        _powers[which] = have = out
-    return have[0], have[1]
+    if have is not None and have.shape[1] >= n:
+        return have[0], have[1]
+    m = max(n, CHUNK)
+    base = int(ODD[which])
+    out = np.empty((2, m), np.uint64)
+    for row, b in ((0, base), (1, pow(base, -1, 2**64))):
+        out[row] = np.uint64(b)
+        out[row, 0] = 1
+        np.multiply.accumulate(out[row], out=out[row])
+    if m == CHUNK:
+        _powers[which] = out
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,18 +113,28 @@ class Words:
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = powers(which, len(buf))
-    with np.errstate(over="ignore"):
-        v = BYTE_HASH[which][buf]
-        v *= up[: len(buf)]
-        np.cumsum(v, out=v)
-        h = v[stop - 1]
-        h[start > 0] -= v[start[start > 0] - 1]
-        h *= down[start]
-        return mix(h + (stop - start).astype(np.uint64) * ODD[1 - which])
+    """A 64-bit hash of each span of bytes (in ascending order), the same wherever the span stands.
+
+    The spans go in chunks of about CHUNK bytes of buf, so that what is held beside buf stays small.
+    """
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        at = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(stop, at + CHUNK, "right")))
+        s, e = start[lo:hi] - at, stop[lo:hi] - at
+        up, down = powers(which, int(e[-1]))
+        with np.errstate(over="ignore"):
+            v = BYTE_HASH[which][buf[at : at + int(e[-1])]]
+            v *= up[: len(v)]
+            np.cumsum(v, out=v)
+            h = v[e - 1]
+            inner = s > 0
+            h[inner] -= v[s[inner] - 1]
+            h *= down[s]
+            out[lo:hi] = mix(h + (e - s).astype(np.uint64) * ODD[1 - which])
+        lo = hi
+    return out
 
 
 def window_hash(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:

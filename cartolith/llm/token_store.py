@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import partitions
+from cartolith.llm.shared import bound_batches, partitions
 from cartolith.llm.textkernels import mix, slices
 from cartolith.llm.tokenise import encoder
 
@@ -212,6 +212,7 @@ def _write(table: pa.Table) -> pa.Table:
 
 def write_tokens(docs: DataFrame, where: str, path: str, spaced: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts of docs and write the shards to the folder where."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = 2 * partitions(docs.sparkSession)
     cuts = slim.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0] or []
