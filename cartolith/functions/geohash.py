@@ -1,83 +1,100 @@
-"""Geohash cells as native expressions: integer columns and rows of the cell, with bits spread and gathered by masks."""
+"""Geohash cells as native expressions, through the integer columns and rows of each level's grid."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The base-32 alphabet of geohashes, and the digits that conv() knows.
+# Fixed value: the base-32 alphabet of geohashes.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
+# ... and the digits that conv() knows.
 DIGITS = "0123456789abcdefghijklmnopqrstuv"
 
 MAX_LEVEL = 12
-# (shift, mask) of each halving of a 32-bit value into every other bit of a 64-bit one
-SPREAD = [(s, sum(1 << b for b in range(64) if b // s % 2 == 0)) for s in (16, 8, 4, 2, 1)]
 
 
-def _mask(m: int) -> Column:
-    return F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
+def _bits(v: int, places: tuple[int, ...]) -> int:
+    return sum((v >> p & 1) << len(places) - 1 - i for i, p in enumerate(places))
 
 
-def spread(x: Column) -> Column:
-    for s, m in SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, s)).bitwiseAND(_mask(m & (1 << 62) - 1))
-    return x
+# A character has three bits (16, 4, 1) of the axis that begins it and two (8, 2) of the other; longitude begins the first, then they alternate.
+THREE = [_bits(v, (4, 2, 0)) for v in range(32)]
+TWO = [_bits(v, (3, 1)) for v in range(32)]
+BY_BITS = "".join(ALPHABET[[(a, b) for a, b in zip(THREE, TWO, strict=True)].index((i >> 2, i & 3))] for i in range(32))
 
 
-def gather(x: Column) -> Column:
-    x = x.bitwiseAND(_mask(SPREAD[-1][1] & (1 << 62) - 1))
-    for (s, _), m in zip(SPREAD[::-1], [m for _, m in SPREAD[-2::-1]] + [(1 << 32) - 1], strict=True):
-        x = x.bitwiseOR(F.shiftright(x, s)).bitwiseAND(_mask(m & (1 << 62) - 1))
-    return x
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
 
 
-def _power(bits: Column) -> Column:
-    return F.pow(F.lit(2.0), bits)
+def _name(ix: Column, iy: Column, level: int | Column) -> Column:
+    """The cell of column ix and row iy."""
 
+    def char(i: int | Column) -> Column:
+        if isinstance(i, int):
+            x, y = (F.shiftright(v, n - used) for v, n, used in ((ix, -(-5 * level // 2), -(-5 * (i + 1) // 2)), (iy, 5 * level // 2, 5 * (i + 1) // 2)))
+            three, two = (x, y) if i % 2 == 0 else (y, x)
+        else:
+            even = i % 2 == 0
+            x = F.call_function("shiftright", ix, (F.ceil(level * 5 / 2) - F.ceil((i + 1) * 5 / 2)).cast("int"))
+            y = F.call_function("shiftright", iy, (F.floor(level * 5 / 2) - F.floor((i + 1) * 5 / 2)).cast("int"))
+            three, two = F.when(even, x).otherwise(y), F.when(even, y).otherwise(x)
+        at = three.bitwiseAND(F.lit(7)) * 4 + two.bitwiseAND(F.lit(3)) + 1
+        return F.substring(F.lit(BY_BITS), at.cast("int"), F.lit(1))
 
-def _name(ix: Column, iy: Column, level: Column) -> Column:
-    """The cell of column ix and row iy. With an odd number of bits longitude has the lowest, else latitude."""
-    odd = level % 2 == 1
-    bits = F.when(odd, spread(ix).bitwiseOR(F.shiftleft(spread(iy), 1))).otherwise(F.shiftleft(spread(ix), 1).bitwiseOR(spread(iy)))
-    return F.translate(F.lpad(F.lower(F.conv(bits.cast("string"), 10, 32)), level.cast("int"), "0"), DIGITS, ALPHABET)
+    if isinstance(level, int):
+        return F.concat(*(char(i) for i in range(level))) if level else F.lit("")
+    return F.when(level > 0, F.concat_ws("", F.transform(F.sequence(F.lit(0), level - 1), char))).otherwise(F.lit(""))
 
 
-def _sizes(level: Column) -> tuple[Column, Column]:
+def _sizes(level: int | Column) -> tuple[Column, Column]:
     """Numbers of columns and rows at a level, as doubles."""
-    bits = level * 5
-    return _power(F.ceil(bits / 2)), _power(F.floor(bits / 2))
+    if isinstance(level, int):
+        return F.lit(float(1 << -(-5 * level // 2))), F.lit(float(1 << 5 * level // 2))
+    return F.pow(F.lit(2.0), F.ceil(level * 5 / 2)), F.pow(F.lit(2.0), F.floor(level * 5 / 2))
 
 
-def encode(lon: Column, lat: Column, level: int | Column) -> Column:
+def encode(lon: Column, lat: Column, level: int) -> Column:
     """The cell of a point; a point on an edge goes to the upper or right cell. Null outside -180..180 x -90..90."""
-    level = F.lit(level) if isinstance(level, int) else level
     nx, ny = _sizes(level)
     ix = F.least(F.floor((lon + 180) * nx / 360), nx.cast("long") - 1)
     iy = F.least(F.floor((lat + 90) * ny / 180), ny.cast("long") - 1)
-    inside = lon.between(-180, 180) & lat.between(-90, 90)
-    return F.when(inside & (level > 0), _name(ix, iy, level)).when(inside, F.lit(""))
+    return F.when(lon.between(-180, 180) & lat.between(-90, 90), let(F.struct(ix.alias("x"), iy.alias("y")), lambda c: _name(c["x"], c["y"], level)))
 
 
 def is_geohash(text: Column) -> Column:
     return text.rlike("^[0-9b-hjkmnp-zB-HJKMNP-Z]{0,12}$")
 
 
-def grid(gh: Column) -> tuple[Column, Column, Column]:
-    """(column, row, level) of a cell."""
-    level = F.length(gh)
-    bits = F.conv(F.translate(F.lower(gh), ALPHABET, DIGITS), 32, 10).cast("long")
-    bits = F.when(level == 0, F.lit(0).cast("long")).otherwise(bits)
-    odd = level % 2 == 1
-    low, high = gather(bits), gather(F.shiftright(bits, 1))
-    return F.when(odd, low).otherwise(high), F.when(odd, high).otherwise(low), level
+def grid(gh: Column) -> Column:
+    """struct(x: column, y: row, level) of a cell."""
+    three, two = (F.array(*(F.lit(v).cast("long") for v in t)) for t in (THREE, TWO))
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, c: Column) -> Column:
+        v = F.instr(F.lit(ALPHABET), c)  # from 1
+        a, b = F.element_at(three, v), F.element_at(two, v)
+        x = F.when(s["even"], s["x"] * 8 + a).otherwise(s["x"] * 4 + b)
+        y = F.when(s["even"], s["y"] * 4 + b).otherwise(s["y"] * 8 + a)
+        return F.struct(x.alias("x"), y.alias("y"), (~s["even"]).alias("even"))
+
+    chars = F.when(F.length(gh) > 0, F.split(F.lower(gh), "")).otherwise(F.array().cast("array<string>"))
+    done = F.aggregate(chars, F.struct(zero.alias("x"), zero.alias("y"), F.lit(True).alias("even")), step)
+    return let(done, lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), F.length(gh).alias("level")))
 
 
 def bbox(gh: Column) -> Column:
     """struct(xmin, ymin, xmax, ymax); "" is the world; null where undecodable."""
-    ix, iy, level = grid(gh)
-    nx, ny = _sizes(level)
-    ends = (ix * 360 / nx - 180, iy * 180 / ny - 90, (ix + 1) * 360 / nx - 180, (iy + 1) * 180 / ny - 90)
-    return F.when(is_geohash(gh), F.struct(*(e.alias(n) for e, n in zip(ends, ("xmin", "ymin", "xmax", "ymax"), strict=True))))
+
+    def ends(g: Column) -> Column:
+        nx, ny = _sizes(g["level"])
+        e = (g["x"] * 360 / nx - 180, g["y"] * 180 / ny - 90, (g["x"] + 1) * 360 / nx - 180, (g["y"] + 1) * 180 / ny - 90)
+        return F.struct(*(v.alias(n) for v, n in zip(e, ("xmin", "ymin", "xmax", "ymax"), strict=True)))
+
+    return F.when(is_geohash(gh), let(grid(F.when(is_geohash(gh), gh)), ends))
 
 
 def children(gh: Column) -> Column:
@@ -91,11 +108,15 @@ def roots() -> Column:
 
 def neighbors(gh: Column, exclude: bool = False) -> Column:
     """The cell itself (unless excluded), N, NE, E, SE, S, SW, W, NW; columns wrap at the antimeridian, cells beyond a pole are left out."""
-    ix, iy, level = grid(gh)
-    nx, ny = (n.cast("long") for n in _sizes(level))
-    turns = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # fixed order
-    cells = [F.when((iy + dy >= 0) & (iy + dy < ny), _name(F.pmod(ix + dx, nx), iy + dy, level)) for dx, dy in turns[exclude:]]
-    return F.when(level == 0, F.array(gh)).otherwise(F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    turns = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)][exclude:]  # fixed order
+    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in turns))
+
+    def around(g: Column) -> Column:
+        nx, ny = (n.cast("long") for n in _sizes(g["level"]))
+        cells = F.transform(moves, lambda m: F.struct(F.pmod(g["x"] + m["dx"], nx).alias("x"), (g["y"] + m["dy"]).alias("y")))
+        return F.transform(F.filter(cells, lambda c: (c["y"] >= 0) & (c["y"] < ny)), lambda c: _name(c["x"], c["y"], g["level"]))
+
+    return F.when(F.length(gh) == 0, F.array(gh)).otherwise(let(grid(gh), around))
 
 
 def encode_long(x: Column) -> Column:
@@ -106,14 +127,16 @@ def encode_long(x: Column) -> Column:
 
 def covering_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column, level: int) -> Column:
     """All cells of a level whose closed rectangle touches the box, in descending order."""
-    lv = F.lit(level)
     if level == 0:
         return F.array(F.lit(""))
-    nx, ny = _sizes(lv)
+    nx, ny = _sizes(level)
     # a box edge that lies on a cell edge touches the cells on both sides
     x0 = F.greatest(F.ceil((xmin + 180) * nx / 360) - 1, F.lit(0))
     x1 = F.least(F.floor((xmax + 180) * nx / 360), nx.cast("long") - 1)
     y0 = F.greatest(F.ceil((ymin + 90) * ny / 180) - 1, F.lit(0))
     y1 = F.least(F.floor((ymax + 90) * ny / 180), ny.cast("long") - 1)
-    cells = F.transform(F.sequence(x0, x1), lambda ix: F.transform(F.sequence(y0, y1), lambda iy: _name(ix, iy, lv)))
-    return F.sort_array(F.flatten(cells), asc=False)
+
+    def cells(rows: Column) -> Column:
+        return F.transform(F.sequence(x0, x1), lambda ix: F.transform(rows, lambda iy: _name(ix, iy, level)))
+
+    return F.sort_array(F.flatten(let(F.sequence(y0, y1), cells)), asc=False)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartolith.functions.geohash import let
+
 MAX_RES = 15
 # The base cells that are pentagons.
 PENTAGONS = (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117)
@@ -38,23 +40,23 @@ def _set_resolution(cell: Column, r: Column) -> Column:
     return cell.bitwiseAND(F.lit(~(15 << 52))).bitwiseOR(F.expr("shiftleft(cast(1 as bigint), 52)") * r.cast("long"))
 
 
+def _digits(cell: Column) -> Column:
+    """The digits that the resolution uses."""
+    every = F.array(*(_digit(cell, r) for r in range(1, MAX_RES + 1)))
+    return F.slice(every, F.lit(1), resolution(cell))
+
+
 def is_pentagon(cell: Column) -> Column:
-    used = F.shiftright(cell.bitwiseAND(F.lit((1 << 45) - 1)), 0)
-    zero = F.lit(True)
-    for r in range(1, MAX_RES + 1):
-        zero = zero & ((resolution(cell) < r) | (_digit(used, r) == 0))
-    return base_cell(cell).isin(*PENTAGONS) & zero
+    return base_cell(cell).isin(*PENTAGONS) & F.forall(_digits(cell), lambda d: d == 0)
 
 
 def is_valid(cell: Column) -> Column:
     """Mode 1, a known base cell, digits below 7 where used and 7 beyond, and no deleted pentagon branch."""
     ok = (F.shiftright(cell, 56).bitwiseAND(F.lit(255)) == 8) & (base_cell(cell) < 122)
-    lead = F.lit(0).cast("long")  # the first digit that isn't 0
     for r in range(1, MAX_RES + 1):
-        d, used = _digit(cell, r), resolution(cell) >= r
-        ok = ok & F.when(used, d < 7).otherwise(d == 7)
-        lead = F.when((lead == 0) & used, d).otherwise(lead)
-    return F.coalesce(ok & ~(base_cell(cell).isin(*PENTAGONS) & (lead == 1)), F.lit(False))
+        ok = ok & ((resolution(cell) >= r) == (_digit(cell, r) < 7))
+    lead = F.get(F.filter(_digits(cell), lambda d: d != 0), F.lit(0))  # the first digit that isn't 0
+    return F.coalesce(ok & ~(base_cell(cell).isin(*PENTAGONS) & F.coalesce(lead == 1, F.lit(False))), F.lit(False))
 
 
 def parent(cell: Column, res: Column | int | None = None) -> Column:
@@ -78,13 +80,18 @@ def children(cell: Column, res: int | None = None) -> Column:
     to = own + 1 if res is None else F.lit(res)
     step = F.when((to > own) & (to <= MAX_RES), F.sequence(F.lit(0).cast("long"), child_steps(cell, to) - 1))
     start = _set_resolution(cell, to)
+    free = F.lit(0).cast("long")
+    for r in range(1, MAX_RES + 1):
+        free = free + F.when((own < r) & (to >= r), F.lit(7 << 3 * (MAX_RES - r)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    def place(base: Column) -> Column:
+        def child(i: Column) -> Column:
+            out = base
+            for r in range(1, MAX_RES + 1):
+                d = (F.floor(i / F.pow(F.lit(7.0), to - r)).cast("long") % 7) * F.lit(1 << 3 * (MAX_RES - r)).cast("long")
+                out = out + F.when((own < r) & (to >= r), d).otherwise(F.lit(0).cast("long"))
+            return out
 
-    def place(i: Column) -> Column:
-        out = start
-        for r in range(1, MAX_RES + 1):
-            free = (own < r) & (to >= r)
-            d = (F.floor(i / F.pow(F.lit(7.0), to - r)).cast("long") % 7) * F.lit(1 << 3 * (MAX_RES - r)).cast("long")
-            out = F.when(free, out.bitwiseAND(F.lit(~(7 << 3 * (MAX_RES - r)))).bitwiseOR(d)).otherwise(out)
-        return out
+        return F.filter(F.transform(step, child), is_valid)
 
-    return F.filter(F.transform(step, place), is_valid)
+    return let(start.bitwiseAND(F.bitwise_not(free)), place)

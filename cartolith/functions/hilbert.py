@@ -15,16 +15,17 @@ def scaled(v: Column, low: Column, high: Column) -> Column:
 
 def key(x: Column, y: Column) -> Column:
     """Distance along the curve, quadrant by quadrant from the coarsest: each adds its rank and turns what is below it."""
-    d = F.lit(0).cast("long")
-    for bit in range(15, -1, -1):
-        side = 1 << bit
-        rx, ry = F.shiftright(x, bit).bitwiseAND(F.lit(1)), F.shiftright(y, bit).bitwiseAND(F.lit(1))
-        d = d + (F.lit(3) * rx).bitwiseXOR(ry).cast("long") * (side * side)
-        x, y = x.bitwiseAND(F.lit(side - 1)), y.bitwiseAND(F.lit(side - 1))
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, side - 1 - x).otherwise(x), F.when(flip, side - 1 - y).otherwise(y)
-        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-    return d
+    sides = F.array(*(F.lit(1 << bit).cast("long") for bit in range(15, -1, -1)))
+
+    def quadrant(s: Column, side: Column) -> Column:
+        rx, ry = (F.when(s[a].bitwiseAND(side) > 0, F.lit(1)).otherwise(F.lit(0)) for a in "xy")
+        lx, ly = (s[a].bitwiseAND(side - 1) for a in "xy")
+        flip, turn = (ry == 0) & (rx == 1), ry == 0
+        fx, fy = F.when(flip, side - 1 - lx).otherwise(lx), F.when(flip, side - 1 - ly).otherwise(ly)
+        d = s["d"] + (rx * 3).bitwiseXOR(ry).cast("long") * side * side
+        return F.struct(F.when(turn, fy).otherwise(lx).alias("x"), F.when(turn, fx).otherwise(ly).alias("y"), d.alias("d"))
+
+    return F.aggregate(sides, F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d")), quadrant, lambda s: s["d"])
 
 
 def key_of(x: int, y: int) -> int:

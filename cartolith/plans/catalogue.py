@@ -1,15 +1,478 @@
-"""Registered queries of the geospatial operators, with their SQL for another engine."""
+"""Registered queries of the geospatial operators, with their SQL for another engine.
+
+The driver's tables have no coordinates, so points come from event ids and boxes from nation keys by whole-number arithmetic
+whose results are exact multiples of 1/128: both engines compute and print them alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartolith.functions import geohash, h3bits, hilbert
+from cartolith.operators import aggregate, entities, filters, munge, transform
+
+Query = Callable[[SparkSession, str], DataFrame]
+LON = "CAST((event_id * 7919) % 46080 AS DOUBLE) / 128 - 180"
+LAT = "CAST((event_id * 104729 + user_id * 31) % 23040 AS DOUBLE) / 128 - 90"
+CELL = 0x8C274996E1683FF  # a valid cell of resolution 12, whose digits the ids vary
+
+_found: dict[str, tuple[Query, str | None]] = {}
+
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _found.items() if sql is not None}
+
+
+# ---- inputs
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.expr(LON).alias("lon"), F.expr(LAT).alias("lat"))
+
+
+POINTS = f"(SELECT event_id, {LON} AS lon, {LAT} AS lat FROM events)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed lines, one format for each event_id modulo 5."""
+    return _points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr(LINE).alias("value"))
+
+
+LINE = (
+    "CASE event_id % 5 WHEN 0 THEN concat(CAST(lat AS STRING), ',', CAST(lon AS STRING)) WHEN 1 THEN '9q5' WHEN 2 THEN concat('POINT(', CAST(lon AS STRING), ' ', CAST(lat AS STRING), ')') "
+    "WHEN 3 THEN concat('{\"type\":\"Point\",\"coordinates\":[', CAST(lon AS STRING), ',', CAST(lat AS STRING), ']}') "
+    "ELSE concat('LINESTRING(', CAST(lon AS STRING), ' ', CAST(lat AS STRING), ',', CAST(lon + 1 AS STRING), ' ', CAST(lat + 2 AS STRING), ')') END"
+)
+LINES = f"(SELECT event_id AS line_no, event_id, lon, lat, {LINE} AS value FROM {POINTS})"
+# plain numbers in DuckDB: no ".0" at the end
+_PLAIN = "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
+LON_P, LAT_P, LON1_P, LAT2_P = (_PLAIN.format(x) for x in ("lon", "lat", "lon + 1", "lat + 2"))
+CELL_RING = "-119.53125 33.75,-118.125 33.75,-118.125 35.15625,-119.53125 35.15625,-119.53125 33.75"
+CELL_JSON = "[[-119.53125,33.75],[-118.125,33.75],[-118.125,35.15625],[-119.53125,35.15625],[-119.53125,33.75]]"
+WKT_SQL = f"CASE event_id % 5 WHEN 1 THEN 'POLYGON(({CELL_RING}))' WHEN 4 THEN concat('LINESTRING(', {LON_P}, ' ', {LAT_P}, ',', {LON1_P}, ' ', {LAT2_P}, ')') ELSE concat('POINT(', {LON_P}, ' ', {LAT_P}, ')') END"
+JSON_SQL = (
+    f"CASE event_id % 5 WHEN 1 THEN '{{\"coordinates\":[{CELL_JSON}],\"type\":\"Polygon\"}}' "
+    "WHEN 4 THEN concat('{\"coordinates\":[[', CAST(lon AS VARCHAR), ',', CAST(lat AS VARCHAR), '],[', CAST(lon + 1 AS VARCHAR), ',', CAST(lat + 2 AS VARCHAR), ']],\"type\":\"LineString\"}') "
+    "ELSE concat('{\"coordinates\":[', CAST(lon AS VARCHAR), ',', CAST(lat AS VARCHAR), '],\"type\":\"Point\"}') END"
+)
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.parse(_lines(spark, sf_dir))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query box for each nation, as WKT lines."""
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("line_no"), F.expr(f"{X0} AS x0"), F.expr(f"{Y0} AS y0"))
+
+
+X0, Y0 = "CAST(n_nationkey * 13 % 340 AS DOUBLE) - 170", "CAST(n_nationkey * 7 % 160 AS DOUBLE) - 80"
+BOXES = f"(SELECT {X0} AS x0, {Y0} AS y0, {X0} + 8 AS x1, {Y0} + 6.5 AS y1 FROM nation)"
+
+
+def _box_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = "concat('POLYGON((', x0, ' ', y0, ',', x0 + 8, ' ', y0, ',', x0 + 8, ' ', y0 + 6.5, ',', x0, ' ', y0 + 6.5, ',', x0, ' ', y0, '))')"
+    return entities.parse(_boxes(spark, sf_dir).select("line_no", F.expr(ring).alias("value")))
+
+
+def _one(spark: SparkSession, line: str) -> DataFrame:
+    return entities.parse(spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit(line).alias("value")))
+
+
+# ---- reading and writing lines
+
+
+@_query(f"SELECT line_no, value, CASE event_id % 5 WHEN 0 THEN 'LatLon' WHEN 1 THEN 'Geohash' WHEN 2 THEN 'WKT' WHEN 3 THEN 'GeoJSON' ELSE 'WKT' END AS kind FROM {LINES}")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line_no", "value", entities.detect(F.col("value")).alias("kind"))
+
+
+@_query(
+    "SELECT line_no, concat(CASE event_id % 5 WHEN 0 THEN 'LatLon: ' WHEN 1 THEN 'Geohash: ' WHEN 3 THEN 'GeoJSON Geometry: ' ELSE 'WKT: ' END, "
+    f"CASE WHEN event_id % 5 IN (2, 4) THEN {WKT_SQL} ELSE value END) AS label FROM {LINES}"
+)
+def read_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", entities.label().alias("label"))
+
+
+@_query(f"SELECT line_no, {WKT_SQL} AS wkt FROM {LINES}")
+def to_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", entities.wkt().alias("wkt"))
+
+
+@_query(f"SELECT line_no, {JSON_SQL} AS geojson FROM {LINES}")
+def to_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", entities.geojson().alias("geojson"))
+
+
+FEATURE_SQL = f"concat('{{\"geometry\":', {JSON_SQL}, ',\"properties\":{{}},\"type\":\"Feature\"}}')"
+
+
+@_query(f"SELECT line_no, {FEATURE_SQL} AS feature FROM {LINES}")
+def to_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", entities.feature().alias("feature"))
+
+
+@_query(f"SELECT concat('{{\"features\":[', string_agg({FEATURE_SQL}, ',' ORDER BY line_no), '],\"type\":\"FeatureCollection\"}}') AS collection FROM {LINES}")
+def feature_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.feature_collection(_entities(spark, sf_dir))
+
+
+@_query(f"SELECT line_no, k AS part_no, concat('POINT(', {_PLAIN.format('lon + k')}, ' ', {LAT_P}, ')') AS wkt FROM (SELECT event_id AS line_no, lon, lat, CAST(unnest([0, 1, 2]) AS BIGINT) AS k FROM {POINTS})")
+def unroll_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = "concat('{\"type\":\"Feature\",\"properties\":null,\"geometry\":{\"type\":\"Point\",\"coordinates\":[', lon + %d, ',', lat, ']}}')"
+    text = "concat('{\"type\":\"FeatureCollection\",\"features\":[', " + ", ',', ".join(one % k for k in range(3)) + ", ']}')"
+    lines = _points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr(text).alias("value"))
+    return entities.parse(lines).select("line_no", "part_no", entities.wkt().alias("wkt"))
+
+
+# ---- geohash
+
+
+def _sql_cell(ix: str, iy: str, level: int) -> str:
+    """SQL of a cell's name, bit by bit."""
+    nx = -(-5 * level // 2)
+    ny = 5 * level // 2
+    out = []
+    for c in range(level):
+        bits = []
+        for b in range(5):
+            i = 5 * c + b
+            source, at = (ix, nx - 1 - i // 2) if i % 2 == 0 else (iy, ny - 1 - i // 2)
+            bits.append(f"((({source}) >> {at}) & 1) * {16 >> b}")
+        out.append(f"substr('{geohash.ALPHABET}', CAST(1 + {' + '.join(bits)} AS INTEGER), 1)")
+    return " || ".join(out)
+
+
+def _sql_place(axis: str, level: int) -> str:
+    bits = -(-5 * level // 2) if axis == "lon" else 5 * level // 2
+    span = 360 if axis == "lon" else 180
+    return f"CAST(floor(({axis} + {span // 2}) * {1 << bits} / {span}) AS BIGINT)"
+
+
+def _sql_encode(level: int) -> str:
+    return _sql_cell(_sql_place("lon", level), _sql_place("lat", level), level)
+
+
+@_query(f"SELECT event_id, {_sql_encode(5)} AS gh5, {_sql_encode(6)} AS gh6 FROM {POINTS}")
+def geohash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = F.col("lon"), F.col("lat")
+    return _points(spark, sf_dir).select("event_id", geohash.encode(lon, lat, 5).alias("gh5"), geohash.encode(lon, lat, 6).alias("gh6"))
+
+
+@_query(
+    "SELECT event_id, gh, ix * 360.0::DOUBLE / 8192 - 180 AS xmin, iy * 180.0::DOUBLE / 4096 - 90 AS ymin, (ix + 1) * 360.0::DOUBLE / 8192 - 180 AS xmax, (iy + 1) * 180.0::DOUBLE / 4096 - 90 AS ymax FROM "
+    f"(SELECT event_id, {_sql_encode(5)} AS gh, {_sql_place('lon', 5)} AS ix, {_sql_place('lat', 5)} AS iy FROM {POINTS})"
+)
+def geohash_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _points(spark, sf_dir).select("event_id", geohash.encode(F.col("lon"), F.col("lat"), 5).alias("gh"))
+    return cells.withColumn("b", geohash.bbox(F.col("gh"))).select("event_id", "gh", "b.xmin", "b.ymin", "b.xmax", "b.ymax")
+
+
+@_query(f"SELECT event_id, gh || substr('{geohash.ALPHABET}', CAST(k AS INTEGER), 1) AS child FROM (SELECT event_id, {_sql_encode(3)} AS gh FROM {POINTS}) CROSS JOIN range(1, 33) AS r(k)")
+def geohash_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("event_id", F.explode(geohash.children(geohash.encode(F.col("lon"), F.col("lat"), 3))).alias("child"))
+
+
+_TURNS = "(VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, -1), (5, 0, -1), (6, -1, -1), (7, -1, 0), (8, -1, 1)) AS t(k, dx, dy)"
+
+
+@_query(
+    f"SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS out_no, {_sql_cell('jx', 'jy', 4)} AS gh FROM (SELECT event_id, k, (ix + dx + 1024) % 1024 AS jx, iy + dy AS jy FROM "
+    f"(SELECT event_id, {_sql_place('lon', 4)} AS ix, {_sql_place('lat', 4)} AS iy FROM {POINTS}) CROSS JOIN {_TURNS}) WHERE jy BETWEEN 0 AND 1023"
+)
+def geohash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = geohash.neighbors(geohash.encode(F.col("lon"), F.col("lat"), 4))
+    return _points(spark, sf_dir).select("event_id", F.posexplode(cells).alias("out_no", "gh")).withColumn("out_no", F.col("out_no").cast("long"))
+
+
+@_query(f"SELECT substr('{geohash.ALPHABET}', CAST(k AS INTEGER), 1) AS gh FROM range(1, 33) AS r(k)")
+def geohash_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.explode(geohash.roots()).alias("gh"))
+
+
+_LONG = "event_id * 922337203685477 + 12345"
+_BASE = " || ".join(f"substr('{geohash.ALPHABET}', CAST(1 + ((x >> {5 * k}) & 31) AS INTEGER), 1)" for k in range(11, -1, -1))
+
+
+@_query(f"SELECT event_id, {_BASE} AS gh FROM (SELECT event_id, ({_LONG}) & 1152921504606846975 AS x FROM events)")
+def geohash_encode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", geohash.encode_long(F.expr(_LONG)).alias("gh"))
+
+
+@_query(
+    f"SELECT line_no, {_sql_cell('ix', 'iy', 3)} AS gh FROM (SELECT line_no, ix, unnest(generate_series(y0i, y1i)) AS iy FROM (SELECT line_no, y0i, y1i, unnest(generate_series(x0i, x1i)) AS ix FROM "
+    "(SELECT n_nationkey AS line_no, greatest(CAST(ceil((x0 + 180) * 256 / 360) AS BIGINT) - 1, 0) AS x0i, least(CAST(floor((x1 + 180) * 256 / 360) AS BIGINT), 255) AS x1i, "
+    "greatest(CAST(ceil((y0 + 90) * 128 / 180) AS BIGINT) - 1, 0) AS y0i, least(CAST(floor((y1 + 90) * 128 / 180) AS BIGINT), 127) AS y1i FROM "
+    f"(SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, {X0} AS x0, {Y0} AS y0, {X0} + 8 AS x1, {Y0} + 6.5 AS y1 FROM nation))))"
+)
+def geohash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.covering(_box_queries(spark, sf_dir), 3).select("line_no", "gh")
+
+
+# ---- filters
+
+
+def _sql_filter(keep: str, negate: bool) -> str:
+    return f"SELECT event_id AS line_no FROM {POINTS} p WHERE {'NOT ' * negate}EXISTS (SELECT 1 FROM {BOXES} b WHERE {keep})"
+
+
+_CLOSED = "lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1"
+_OPEN = "lon > x0 AND lon < x1 AND lat > y0 AND lat < y1"
+
+
+def _point_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.parse(_points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr("concat(lat, ',', lon)").alias("value")))
+
+
+@_query(f"SELECT event_id AS line_no, concat(CAST(lat AS VARCHAR), ',', CAST(lon AS VARCHAR)) AS raw FROM {POINTS} WHERE lon BETWEEN -135 AND -90 AND lat BETWEEN 0 AND 45")
+def filter_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_intersects(_point_lines(spark, sf_dir), _one(spark, "9")).select("line_no", "raw")
+
+
+@_query(_sql_filter(_CLOSED, False))
+def filter_intersects_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_intersects(_point_lines(spark, sf_dir), _box_queries(spark, sf_dir)).select("line_no")
+
+
+@_query(_sql_filter(_CLOSED, True))
+def filter_intersects_negate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_intersects(_point_lines(spark, sf_dir), _box_queries(spark, sf_dir), negate=True).select("line_no")
+
+
+@_query(_sql_filter(_OPEN, False))
+def filter_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_contains(_point_lines(spark, sf_dir), _box_queries(spark, sf_dir)).select("line_no")
+
+
+@_query(_sql_filter(_OPEN, True))
+def filter_contains_negate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_contains(_point_lines(spark, sf_dir), _box_queries(spark, sf_dir), negate=True).select("line_no")
+
+
+STAR = [(-100.0, -40.0), (30.0, -60.0), (120.0, -20.0), (60.0, 10.0), (100.0, 70.0), (0.0, 30.0), (-90.0, 60.0), (-40.0, 0.0), (-100.0, -40.0)]
+_EDGES = ", ".join(f"({float(a[0])}::DOUBLE, {float(a[1])}::DOUBLE, {float(b[0])}::DOUBLE, {float(b[1])}::DOUBLE)" for a, b in zip(STAR, STAR[1:], strict=False))
+
+
+@_query(
+    f"SELECT event_id AS line_no FROM {POINTS} p CROSS JOIN (VALUES {_EDGES}) AS e(e_ax, e_ay, e_bx, e_by) GROUP BY event_id HAVING sum(CASE WHEN (e_ay > lat) <> (e_by > lat) AND "
+    "((e_bx - e_ax) * (lat - e_ay) - (e_by - e_ay) * (lon - e_ax) > 0) = (e_by > e_ay) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or((e_bx - e_ax) * (lat - e_ay) = (e_by - e_ay) * (lon - e_ax) AND lon BETWEEN least(e_ax, e_bx) "
+    "AND greatest(e_ax, e_bx) AND lat BETWEEN least(e_ay, e_by) AND greatest(e_ay, e_by))"
+)
+def filter_contains_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = _one(spark, "POLYGON((" + ",".join(f"{x} {y}" for x, y in STAR) + "))")
+    return filters.filter_contains(_point_lines(spark, sf_dir), star).select("line_no")
+
+
+def _sql_vincenty(lon0: float, lat0: float) -> str:
+    """SQL of the distance from a fixed point, by a recursive table of steps until all have converged."""
+    f, a = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    base = (
+        f"SELECT event_id, radians(lon - ({lon0}::DOUBLE)) AS l, atan((1 - {f}) * tan(radians({lat0}::DOUBLE))) AS u1, atan((1 - {f}) * tan(radians(lat))) AS u2 FROM {POINTS} WHERE event_id % 1 = 0"
+    )
+    trig = (
+        "SELECT event_id, n, l, lam, u1, u2, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v"
+    )
+    step = f"SELECT *, atan2(ss, cs) AS sigma, cos(u1) * cos(u2) * sin(lam) / ss AS sa FROM ({trig})"
+    step = f"SELECT *, 1 - sa * sa AS c2a, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS c2m FROM ({step})"
+    step = f"SELECT *, {f} / 16 * c2a * (4 + {f} * (4 - 3 * c2a)) AS c FROM ({step})"
+    new = f"l + (1 - c) * {f} * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))"
+    u = f"c2a * ({a} ** 2 - ({a} * (1 - {f})) ** 2) / ({a} * (1 - {f})) ** 2"
+    final = f"SELECT *, {u} AS us FROM ({step.replace(' FROM v', ' FROM v WHERE n = 30')})"
+    final = f"SELECT *, 1 + us / 16384 * (4096 + us * (-768 + us * (320 - 175 * us))) AS ba, us / 1024 * (256 + us * (-128 + us * (74 - 47 * us))) AS bb FROM ({final})"
+    delta = "bb * ss * (c2m + bb / 4 * (cs * (2 * c2m ** 2 - 1) - bb / 6 * c2m * (4 * ss ** 2 - 3) * (4 * c2m ** 2 - 3)))"
+    return (
+        f"WITH RECURSIVE v AS (SELECT event_id, 0 AS n, l, l AS lam, u1, u2 FROM ({base}) UNION ALL SELECT event_id, n + 1, l, {new}, u1, u2 FROM ({step}) WHERE n < 30) "
+        f"SELECT event_id AS line_no, {a} * (1 - {f}) * ba * (sigma - {delta}) AS metres FROM ({final})"
+    )
+
+
+@_query(f"SELECT line_no, round(metres, 3) AS metres FROM ({_sql_vincenty(-77.03, 38.9)})")
+def measure_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _point_lines(spark, sf_dir).select("line_no", F.round(transform.distance_to(-77.03, 38.9), 3).alias("metres"))
+
+
+@_query(f"SELECT line_no FROM ({_sql_vincenty(-77.03, 38.9)}) WHERE metres < 2500000")
+def filter_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_dwithin(_point_lines(spark, sf_dir), _one(spark, "38.9,-77.03"), 2_500_000).select("line_no")
+
+
+# ---- measures and transforms
+
+
+_BOX = {"xmin": ("lon", "-119.53125"), "ymin": ("lat", "33.75"), "xmax": ("lon + (event_id % 5 = 4)::INT", "-118.125"), "ymax": ("lat + 2 * (event_id % 5 = 4)::INT", "35.15625")}
+_BOX_SQL = ", ".join(f"CASE event_id % 5 WHEN 1 THEN {cell}::DOUBLE ELSE {own} END AS {k}" for k, (own, cell) in _BOX.items())
+
+
+@_query(f"SELECT line_no, {_BOX_SQL} FROM {LINES}")
+def bbox_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", "box.xmin", "box.ymin", "box.xmax", "box.ymax")
+
+
+_RING = " || ',' || ".join(f"'[' || CAST({x} AS VARCHAR) || ',' || CAST({y} AS VARCHAR) || ']'" for x, y in (("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax")))
+_BOX_JSON = f"'{{\"coordinates\":[[' || {_RING} || ']],\"type\":\"Polygon\"}}'"
+
+
+@_query(f"SELECT line_no, {_BOX_JSON} AS geojson FROM (SELECT line_no, {_BOX_SQL} FROM {LINES})")
+def bbox_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", transform.box_geojson().alias("geojson"))
+
+
+@_query(
+    "SELECT line_no, '{\"bbox\":[' || concat_ws(',', CAST(xmin AS VARCHAR), CAST(ymin AS VARCHAR), CAST(xmax AS VARCHAR), CAST(ymax AS VARCHAR)) || '],\"geometry\":' || geom || ',\"properties\":{},\"type\":\"Feature\"}' AS feature "
+    f"FROM (SELECT line_no, {JSON_SQL} AS geom, {_BOX_SQL} FROM {LINES})"
+)
+def bbox_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", transform.box_feature(entities.geojson()).alias("feature"))
+
+
+@_query(f"SELECT {_BOX_JSON} AS geojson FROM (SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM (SELECT {_BOX_SQL} FROM {LINES}))")
+def bbox_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.bbox_all(_entities(spark, sf_dir)).select(transform.box_geojson().alias("geojson"))
+
+
+@_query(f"SELECT line_no, CASE event_id % 5 WHEN 1 THEN -118.828125 WHEN 4 THEN lon + 0.5 ELSE lon END AS lon, CASE event_id % 5 WHEN 1 THEN 34.453125 WHEN 4 THEN lat + 1 ELSE lat END AS lat FROM {LINES}")
+def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.centroid(_entities(spark, sf_dir)).select("line_no", F.round("centroid_lon", 9).alias("lon"), F.round("centroid_lat", 9).alias("lat"))
+
+
+@_query(f"SELECT line_no, CAST(CASE event_id % 5 WHEN 1 THEN 5 WHEN 4 THEN 2 ELSE 1 END AS BIGINT) AS coord_count FROM {LINES}")
+def coord_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("line_no", transform.coord_count().alias("coord_count"))
+
+
+@_query(None)
+def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.concat((F.col("lon") / 2 + k).cast("string"), F.lit(" "), (F.col("lat") / 2 + F.pmod(k * k * F.col("event_id"), F.lit(7)) / 8).cast("string")))
+    lines = _points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.concat(F.lit("LINESTRING("), F.concat_ws(",", steps), F.lit(")")).alias("value"))
+    return transform.simplify(entities.parse(lines), 0.05, to_coord_count=12).select("line_no", "coord_count", "feature")
+
+
+_MUNGE = {
+    0: ('\'{"latitude": \' || CAST(lat AS STRING) || \', "longitude": \' || CAST(lon AS STRING) || \', "id": \' || CAST(event_id AS STRING) || \'}\'', "id"),
+    1: ('\'{"name": "x", "lng": "\' || CAST(lon AS STRING) || \'", "lat": "\' || CAST(lat AS STRING) || \'"}\'', "name"),
+    2: ('\'{"wkt": "POINT(\' || CAST(lon AS STRING) || \' \' || CAST(lat AS STRING) || \')", "id": \' || CAST(event_id AS STRING) || \'}\'', "id"),
+    3: ('\'{"geometry": {"type": "Point", "coordinates": [\' || CAST(lon AS STRING) || \',\' || CAST(lat AS STRING) || \']}, "name": "x"}\'', "name"),
+}
+_MUNGE_LINE = "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, (v, _) in _MUNGE.items()) + " END"
+_MUNGE_PROPS = "CASE WHEN event_id % 2 = 0 THEN '{\"id\":' || CAST(event_id AS VARCHAR) || '}' ELSE '{\"name\":\"x\"}' END"
+
+
+@_query(
+    "SELECT line_no, '{\"geometry\":{\"coordinates\":[' || json_extract_string(f, '$.x') || ',' || json_extract_string(f, '$.y') || '],\"type\":\"Point\"},\"properties\":' || props || ',\"type\":\"Feature\"}' AS feature FROM (SELECT line_no, props, "
+    "CASE line_no % 4 WHEN 0 THEN json_object('x', json_extract_string(v, '$.longitude'), 'y', json_extract_string(v, '$.latitude')) WHEN 1 THEN json_object('x', json_extract_string(v, '$.lng'), 'y', json_extract_string(v, '$.lat')) "
+    "WHEN 2 THEN json_object('x', regexp_extract(v, 'POINT\\(([^ ]*) ', 1), 'y', regexp_extract(v, 'POINT\\([^ ]* ([^)]*)\\)', 1)) ELSE json_object('x', json_extract_string(v, '$.geometry.coordinates[0]'), 'y', json_extract_string(v, '$.geometry.coordinates[1]')) END AS f "
+    f"FROM (SELECT event_id AS line_no, {_MUNGE_PROPS} AS props, {_MUNGE_LINE} AS v FROM {POINTS}))"
+)
+def json_munge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr(_MUNGE_LINE).alias("value"))
+    return munge.munge(lines).select("line_no", "feature")
+
+
+# ---- curve, schema, tree
+
+
+def _sql_hilbert() -> str:
+    """SQL of the curve's keys: a recursive table of halvings."""
+    grid = f"SELECT event_id, CAST(floor(65535 * (lon - lo) / (hi - lo)) AS BIGINT) AS x, CAST(floor(65535 * (lat - bo) / (tp - bo)) AS BIGINT) AS y FROM {POINTS} CROSS JOIN (SELECT min(lon) AS lo, max(lon) AS hi, min(lat) AS bo, max(lat) AS tp FROM {POINTS})"
+    cut = "SELECT event_id, s, d, (CASE WHEN (x & s) > 0 THEN 1 ELSE 0 END) AS rx, (CASE WHEN (y & s) > 0 THEN 1 ELSE 0 END) AS ry, x & (s - 1) AS x, y & (s - 1) AS y FROM h WHERE s > 0"
+    turn = f"SELECT event_id, s // 2 AS s, d + s * s * xor(3 * rx, ry) AS d, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - y ELSE y END) ELSE x END AS x, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - x ELSE x END) ELSE y END AS y FROM ({cut})"
+    return f"WITH RECURSIVE h AS (SELECT event_id, CAST(32768 AS BIGINT) AS s, CAST(0 AS BIGINT) AS d, x, y FROM ({grid}) UNION ALL {turn}) SELECT event_id, d AS hilbert FROM h WHERE s = 0"
+
+
+@_query(_sql_hilbert().replace("SELECT event_id, d AS", "SELECT event_id AS line_no, d AS"))
+def hilbert_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.hilbert_key(_point_lines(spark, sf_dir)).select("line_no", "hilbert")
+
+
+@_query("SELECT 'k' AS name, 'long' AS type UNION ALL SELECT 'v', 'double' UNION ALL SELECT 'w', 'json' FROM (SELECT count(*) FROM events)")
+def schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = "concat('{\"k\": ', event_id, ', \"v\": ', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '1.5' END, ', \"w\": ', CASE WHEN event_id % 2 = 0 THEN '\"a\"' ELSE 'true' END, ', \"n\": null}')"
+    line = f"concat('{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[1,2]}},\"properties\":', {props}, '}}')"
+    lines = _table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(line).alias("value"))
+    return aggregate.schema_infer(aggregate.properties(entities.parse(lines)))
+
+
+@_query(f"SELECT CASE WHEN count(DISTINCT g) = 1 THEN min(g) ELSE 'Unknown' END AS gtype FROM (SELECT CASE event_id % 5 WHEN 1 THEN 'Polygon' WHEN 4 THEN 'LineString' ELSE 'Point' END AS g FROM {LINES})")
+def geometry_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.geometry_type(_entities(spark, sf_dir))
+
+
+@_query(
+    "WITH RECURSIVE t AS (SELECT l_orderkey AS n, l_orderkey AS m, 0 AS depth FROM lineitem GROUP BY l_orderkey UNION ALL SELECT n, (m + 15) // 16, depth + 1 FROM t WHERE m > 1) "
+    "SELECT n, CAST(sum(m) AS BIGINT) AS nodes, CAST(count(*) AS INTEGER) AS levels FROM t GROUP BY n"
+)
+def rtree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("n")).distinct().withColumn("l", aggregate.rtree_levels(F.col("n")))
+    return keys.select("n", F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("nodes"), F.size("l").alias("levels"))
+
+
+@_query(f"SELECT event_id // 16 AS rank, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM {POINTS} GROUP BY 1")
+def rtree_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _point_lines(spark, sf_dir).select(F.col("line_no").alias("rank"), "box")
+    return aggregate.rtree_level(items).select("rank", "box.xmin", "box.ymin", "box.xmax", "box.ymax")
+
+
+# ---- H3 bit fields
+
+
+_H3 = f"({CELL} & ~(CAST(511 AS BIGINT) << 9)) | (((event_id * 7919) % 343 // 49) << 15) | (((event_id * 7919) % 49 // 7) << 12) | (((event_id * 7919) % 7) << 9)"
+H3_SQL = f"(SELECT event_id, {_H3} AS cell FROM events)"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") * 7919
+    digits = [F.shiftleft(((n % m) / d).cast("long"), s) for m, d, s in ((343, 49, 15), (49, 7, 12), (7, 1, 9))]
+    cell = F.lit(CELL & ~(511 << 9)).cast("long")
+    for d in digits:
+        cell = cell.bitwiseOR(d)
+    return _table(spark, sf_dir, "events").select("event_id", cell.alias("cell"))
+
+
+@_query(f"SELECT event_id, format('{{:x}}', cell) AS text FROM {H3_SQL}")
+def h3_to_str(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).where(h3bits.is_valid(F.col("cell"))).select("event_id", h3bits.to_text(F.col("cell")).alias("text"))
+
+
+@_query(f"SELECT event_id, cell FROM {H3_SQL}")
+def h3_from_str(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("event_id", h3bits.from_text(h3bits.to_text(F.col("cell"))).alias("cell"))
+
+
+@_query(f"SELECT event_id, CAST((cell >> 52) & 15 AS INTEGER) AS resolution, CAST((cell >> 45) & 127 AS INTEGER) AS base_cell FROM {H3_SQL}")
+def h3_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("event_id", h3bits.resolution(F.col("cell")).alias("resolution"), h3bits.base_cell(F.col("cell")).alias("base_cell"))
+
+
+def _sql_parent(r: int) -> str:
+    fill = (1 << 3 * (15 - r)) - 1
+    return f"((cell & ~(CAST(15 AS BIGINT) << 52)) | (CAST({r} AS BIGINT) << 52) | {fill})"
+
+
+@_query(f"SELECT event_id, {_sql_parent(11)} AS parent, {_sql_parent(5)} AS parent5 FROM {H3_SQL}")
+def h3_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("event_id", h3bits.parent(F.col("cell")).alias("parent"), h3bits.parent(F.col("cell"), 5).alias("parent5"))
+
+
+@_query(f"SELECT event_id, (cell & ~(CAST(15 AS BIGINT) << 52) & ~(CAST(7 AS BIGINT) << 6)) | (CAST(13 AS BIGINT) << 52) | (k << 6) AS child FROM {H3_SQL} CROSS JOIN range(0, 7) AS r(k)")
+def h3_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("event_id", F.explode(h3bits.children(F.col("cell"))).alias("child"))
