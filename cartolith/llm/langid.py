@@ -34,6 +34,7 @@ from cartolith.llm.textkernels import Words, mix, slices
 
 ORDER = 5
 CACHE_WORDS = 1 << 20
+MAX_LANGUAGES = 1000  # the most frequent labels
 SHORT = 16
 UNSEEN = float(np.log(1e-5))  # of a character that no sample holds
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -223,19 +224,20 @@ def _predict(shipped):
     return predict
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 1000, reject_share: float = 1e-3, slack: float = 2.0) -> Model:
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 400, reject_share: float = 1e-3, slack: float = 2.0) -> Model:
     """labelled: rows to learn from. The sample holds about sample_docs documents of each language, whole texts."""
     bound_batches(labelled.sparkSession)
     named = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = named.join(sizes, "lang").where(F.expr(f"pmod(xxhash64(id, 'sample'), 1000000007) < 1000000007D * {sample_docs} / n"))
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not sizes:
+        return Model({})
+    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, 1000000007.0 * sample_docs / n)))
+    sample = named.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1000000007)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     counted = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     rows = counted.toArrow()  # words of the bounded sample
-    lang = np.array(rows.column("lang").to_pylist(), object)
     words: dict[str, tuple[list[str], np.ndarray]] = {}
-    for name in sorted(set(lang)):
-        pick = pa.array(np.flatnonzero(lang == name))
-        own = rows.take(pick).sort_by("word")
+    for name in sorted(pc.unique(rows.column("lang")).to_pylist()):
+        own = rows.filter(pc.equal(rows.column("lang"), name)).sort_by("word")
         words[name] = (own.column("word").to_pylist(), own.column("n").to_numpy())
     model = Model(words)
     if model.langs:
