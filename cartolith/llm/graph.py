@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import materialise
+from cartolith.llm.shared import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,12 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of each node of edges (a, b), label the smallest node of its component, for all but the labels themselves."""
+    """A table of (node, label) of each node of edges (a, b), label the smallest node of its component, for all but the labels themselves."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
+            discard(now)
+            return out
         seen = state
-        now = materialise(_star(_star(now, True), False), "edges")
+        now, old = materialise(_star(_star(now, True), False), "edges"), now
+        discard(old)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.graph import components
-from cartolith.llm.shared import bound_batches, materialise
+from cartolith.llm.shared import bound_batches, discard, materialise
 from cartolith.llm.textkernels import Words, mix, slices, window_hash
 
 BLOCK = 256
@@ -175,12 +175,13 @@ def _compare(num: int, den: int):
     return compare
 
 
-def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links among the members of buckets that hold several components besides their smallest member."""
+def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Links among the members of buckets that hold several components besides their smallest member, and the tables they are read from."""
     members = pairs.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     found = materialise(members.join(open_keys.select("key", "lo"), "key"), "open")
     if found.isEmpty():
+        discard(found)
         return None
     merged = components(found.where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
     clusters = found.select("node", "label").distinct().join(merged.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "left")
@@ -196,7 +197,7 @@ def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
     tasks = left.join(right, "cluster").where("block_l <= block_r and not (big_l is not null and big_r is not null and big_l = big_r)")
     tasks = tasks.select("cluster", F.xxhash64("cluster", "block_l", "block_r").alias("task"), F.explode(F.array_distinct(F.array("block_l", "block_r"))).alias("block"))
     dealt = placed.withColumn("block", F.xxhash64("big", "part", F.lit(1))).join(tasks, ["cluster", "block"]).join(sets, F.col("node") == F.col("id"))
-    return dealt.select("task", "node", "label", "hashes").groupBy("task").applyInArrow(_compare(num, den), "a long, b long")
+    return dealt.select("task", "node", "label", "hashes").groupBy("task").applyInArrow(_compare(num, den), "a long, b long"), [found, merged, placed]
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k: int = 5, rows: int = 5, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,9 +213,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
         signed.join(classes, "print", "left").select("doc_id", "n_shingles", F.expr("if(n_shingles > 0 and doc_id is not null, coalesce(rep, doc_id), doc_id)").alias("rep"), F.expr("if(rep is null or rep = doc_id, bands, null)").alias("bands")),
         "nodes",
     )
+    discard(signed)
     keyed = nodes.where("n_shingles > 0 and doc_id is not null and bands is not null").select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader <> most").drop("most")
-    pairs = materialise(keyed.join(leaders, "key").where("node <> leader"), "pairs")
+    pairs = materialise(keyed.join(leaders, "key").where("node <> leader").select("key", "leader", "node"), "pairs")
     candidates = pairs.select("leader", "node").distinct()
     wanted = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("leader")).distinct()
     sets = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, hashes binary").where("length(hashes) > 0"), "sets")
@@ -223,6 +225,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     labels = components(links)
     more = _rest(pairs.select("key", "node"), labels, sets, num, den)
     if more is not None:
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        both = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more[0])
+        labels, old = components(both), labels
+        discard(old, *more[1])
+    discard(links, sets, pairs)
     out = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
