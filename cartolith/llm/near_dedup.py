@@ -208,12 +208,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     bands = plan_bands(num / den, rows, miss)
     signed = materialise(slim.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, print binary, bands array<long>"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # written first, so that the join below deals its rows by itself and Spark can split a print that holds very many of them
+    classes = materialise(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     nodes = materialise(
         signed.join(classes, "print", "left").select("doc_id", "n_shingles", F.expr("if(n_shingles > 0 and doc_id is not null, coalesce(rep, doc_id), doc_id)").alias("rep"), F.expr("if(rep is null or rep = doc_id, bands, null)").alias("bands")),
         "nodes",
     )
-    discard(signed)
+    discard(signed, classes)
     keyed = nodes.where("n_shingles > 0 and doc_id is not null and bands is not null").select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader <> most").drop("most")
     pairs = materialise(keyed.join(leaders, "key").where("node <> leader").select("key", "leader", "node"), "pairs")
