@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.functions import geohash
 from cartolith.functions import geometry as G
 from cartolith.functions.numbers import json_number, plain_number
 from cartolith.functions.text import canonical, write_feature, write_geometry
@@ -101,8 +102,6 @@ def simplify(df: DataFrame, epsilon: float, to_coord_count: int | None = None) -
 def covering(df: DataFrame, level: int, max_cells: int = 1_000_000) -> DataFrame:
     """df exploded to gh, the geohash cells of a level that an entity touches, in descending order (out_no). Boxes and points are native;
     other geometries test the cells of their bounds. An entity whose bounds touch more than max_cells cells is an error."""
-    from cartolith.functions import geohash
-
     width, height = 360.0 / 2 ** -(-5 * level // 2), 180.0 / 2 ** (5 * level // 2)
 
     @F.arrow_udf("array<string>")
@@ -113,6 +112,7 @@ def covering(df: DataFrame, level: int, max_cells: int = 1_000_000) -> DataFrame
             out.append(None if g is None or names is None else [n for n in names if G.intersects(g, G.cell_polygon(cell_box(n)))])
         return pa.array(out, pa.list_(pa.string()))
 
+    touched = touched.asNondeterministic()  # else the optimizer copies the call into a filter of the generator
     ends = [F.col(f"box.{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
     size = ((ends[2] - ends[0]) / width + 2) * ((ends[3] - ends[1]) / height + 2)
     cells = F.when(size > max_cells, F.raise_error(F.lit("a covering of too many cells"))).otherwise(geohash.covering_box(*ends, level))
@@ -123,12 +123,10 @@ def covering(df: DataFrame, level: int, max_cells: int = 1_000_000) -> DataFrame
 
 def cell_box(name: str) -> tuple[float, float, float, float]:
     """Bounds of a geohash cell, in Python."""
-    from cartolith.functions.geohash import ALPHABET
-
     lo, hi = [-180.0, -90.0], [180.0, 90.0]
     axis = 0
     for c in name.lower():
-        v = ALPHABET.index(c)
+        v = geohash.ALPHABET.index(c)
         for bit in (16, 8, 4, 2, 1):
             middle = (lo[axis] + hi[axis]) / 2
             if v & bit:
