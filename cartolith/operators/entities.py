@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.functions import geohash, h3bits
 from cartolith.functions.geometry import Geometry, box, cell_polygon, from_wkb, to_wkb
@@ -24,9 +25,10 @@ GEOJSON = r"\{"
 WKT = r"(?i)^\s*(point|linestring|polygon|multipoint|multilinestring|multipolygon|geometrycollection)"
 WKT_COMPAT = r"(?i)^point|linestring|polygon|multipoint|multilinestring|multipolygon"
 
-BOX = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
-PART = f"struct<kind: string, raw: string, gtype: string, lon: double, lat: double, box: {BOX}, wkb: binary, props: string, h3: bigint, error: string>"
-COLUMNS = ("kind", "raw", "gtype", "lon", "lat", "box", "wkb", "props", "h3", "error")
+BOX_TYPE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")])
+_KINDS = {"kind": T.StringType(), "raw": T.StringType(), "gtype": T.StringType(), "lon": T.DoubleType(), "lat": T.DoubleType(), "box": BOX_TYPE, "wkb": T.BinaryType(), "props": T.StringType(), "h3": T.LongType(), "error": T.StringType()}
+PART_TYPE = T.StructType([T.StructField(c, t) for c, t in _KINDS.items()])
+COLUMNS = tuple(_KINDS)
 
 
 def detect(line: Column, compat: bool = False) -> Column:
@@ -65,7 +67,7 @@ ARROW_PART = pa.struct(
 )
 
 
-@F.arrow_udf(f"array<{PART}>")
+@F.arrow_udf(T.ArrayType(PART_TYPE))
 def _parse(kind: pa.Array, line: pa.Array) -> pa.Array:
     return pa.array([None if x is None else parse_text(k, x) for k, x in zip(kind.to_pylist(), line.to_pylist(), strict=True)], pa.list_(ARROW_PART))
 
@@ -82,7 +84,7 @@ def parse(lines: DataFrame, column: str = "value", mode: str = "PERMISSIVE", com
     none = {c: F.lit(None) for c in COLUMNS}
 
     def part(**given: Column) -> Column:
-        return F.array(F.struct(*((none | given)[c].alias(c) for c in COLUMNS))).cast(f"array<{PART}>")
+        return F.array(F.struct(*((none | given)[c].alias(c) for c in COLUMNS))).cast(T.ArrayType(PART_TYPE))
 
     bad_hash = ~geohash.is_geohash(line)
     parts = (
@@ -127,12 +129,12 @@ def rows_of(*columns: pd.Series) -> list[Geometry | None]:
     return [geometry(a, b, (c, d, e, f), w) for a, b, c, d, e, f, w in zip(lon, lat, x0, y0, x1, y1, wkb, strict=True)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _wkt(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda w: None if w is None else write_wkt(from_wkb(bytes(w))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _geojson(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda w: None if w is None else write_geometry(from_wkb(bytes(w))))
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.functions import geohash
 from cartolith.functions import geometry as G
@@ -20,7 +21,7 @@ def _native_point() -> Column:
     return F.col("lon").isNotNull()
 
 
-@F.pandas_udf("struct<lon: double, lat: double>")
+@F.pandas_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 def _centroid(lon: pd.Series, lat: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, wkb: pd.Series) -> pd.DataFrame:
     found = [G.centroid(g) if g else None for g in rows_of(lon, lat, x0, y0, x1, y1, wkb)]
     return pd.DataFrame([(None, None) if p is None else p for p in found], columns=["lon", "lat"], dtype=float)
@@ -52,7 +53,7 @@ def box_feature(geom: Column, b: str = "box") -> Column:
     return F.concat(F.lit('{"bbox":['), ends, F.lit('],"geometry":'), geom, F.lit(',"properties":'), F.col("props"), F.lit(',"type":"Feature"}'))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _count(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda w: None if w is None else G.coord_count(G.from_wkb(bytes(w))))
 
@@ -62,7 +63,7 @@ def coord_count() -> Column:
     return F.when(_native_point(), F.lit(1).cast("long")).when(F.col("wkb").isNotNull(), _count("wkb")).when(F.col("box").isNotNull(), F.lit(5).cast("long"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _with_count(props: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else canonical(json.loads(p) | {"coord_count": int(k)}) for p, k in zip(props, n, strict=True)], dtype=object)
 

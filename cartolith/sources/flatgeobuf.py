@@ -25,7 +25,7 @@ from cartolith.operators.entities import geometry
 
 # Fixed values of the format.
 MAGIC = b"fgb\x03fgb\x00"
-NODE_SIZE, NODE = 16, struct.Struct("<4dQ")
+NODE_SIZE, NODE, NODE_BYTES = 16, "<4dQ", 40
 GEOMETRY = ["Unknown", "Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection"]
 COLUMN = {"bool": 2, "long": 7, "double": 10, "string": 11, "json": 12}
 WIDTHS = {0: "b", 1: "B", 2: "?", 3: "h", 4: "H", 5: "i", 6: "I", 7: "q", 8: "Q", 9: "f", 10: "d"}
@@ -231,7 +231,7 @@ def build_tree(leaves: list[tuple[tuple[float, float, float, float], int]]) -> b
         return b""
     level, parts, bounds = leaves, [], level_bounds(len(leaves))
     for i, (first, _) in enumerate(bounds):
-        parts.append(b"".join(NODE.pack(*b, o) for b, o in level))
+        parts.append(b"".join(struct.pack(NODE, *b, o) for b, o in level))
         if i + 1 < len(bounds):
             groups = [level[k : k + NODE_SIZE] for k in range(0, len(level), NODE_SIZE)]
             level = [((min(b[0] for b, _ in g), min(b[1] for b, _ in g), max(b[2] for b, _ in g), max(b[3] for b, _ in g)), first + NODE_SIZE * k) for k, g in enumerate(groups)]
@@ -246,7 +246,7 @@ def search_tree(tree: bytes, n: int, want: tuple[float, float, float, float]) ->
     bounds = level_bounds(n)
     while todo:
         i, level = todo.pop()
-        x0, y0, x1, y1, o = NODE.unpack_from(tree, i * NODE.size)
+        x0, y0, x1, y1, o = struct.unpack_from(NODE, tree, i * NODE_BYTES)
         if x0 > want[2] or x1 < want[0] or y0 > want[3] or y1 < want[1]:
             continue
         if level == 0:
@@ -308,13 +308,13 @@ class File:
         self.columns = [(c.text(0), int(c.value(1, "B"))) for c in h.tables(7)]
         self.tree_at = 12 + size
         self.nodes = level_bounds(self.n, self.node)[0][1] if self.node and self.n else 0
-        self.data = self.tree_at + self.nodes * NODE.size
+        self.data = self.tree_at + self.nodes * NODE_BYTES
 
     def leaves(self, lo: int, hi: int) -> Iterator[tuple[tuple, int]]:
         """(box, place) of the leaves lo:hi."""
-        self.f.seek(self.tree_at + (level_bounds(self.n, self.node)[0][0] + lo) * NODE.size)
-        raw = self.f.read((hi - lo) * NODE.size)
-        for x0, y0, x1, y1, o in NODE.iter_unpack(raw):
+        self.f.seek(self.tree_at + (level_bounds(self.n, self.node)[0][0] + lo) * NODE_BYTES)
+        raw = self.f.read((hi - lo) * NODE_BYTES)
+        for x0, y0, x1, y1, o in struct.iter_unpack(NODE, raw):
             yield (x0, y0, x1, y1), o
 
     def feature(self, place: int) -> str:
