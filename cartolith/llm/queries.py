@@ -99,10 +99,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM win JOIN first USING (k) WHERE doc_id > m),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT doc_id, CASE WHEN l.a = r THEN l.b ELSE l.a END FROM reach JOIN link l ON l.a = r OR l.b = r)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, d.doc_id = m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator. The look-up table of sharding is stated as a list made by its rule."""
     shards = fill(SHARDS)
     slot = f"CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15) AS BIGINT) % {len(shards)}"
     return {
+        "op1_substring_dedup": SUBSTRING_SQL,
+        "op4_minmax_near_dedup": NEAR_SQL,
         "op2_permutation_sharding": f"SELECT doc_id, slot, CAST(({shards})[slot + 1] AS INTEGER) AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents)",
     }
