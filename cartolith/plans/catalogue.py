@@ -306,9 +306,9 @@ def _sql_vincenty(lon0: float, lat0: float) -> str:
     )
 
 
-@_query(f"SELECT line_no, round(metres, 3) AS metres FROM ({_sql_vincenty(-77.03, 38.9)})")
+@_query(f"SELECT line_no, round(metres, 1) AS metres FROM ({_sql_vincenty(-77.03, 38.9)})")
 def measure_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _point_lines(spark, sf_dir).select("line_no", F.round(transform.distance_to(-77.03, 38.9), 3).alias("metres"))
+    return _point_lines(spark, sf_dir).select("line_no", F.round(transform.distance_to(-77.03, 38.9), 1).alias("metres"))
 
 
 @_query(f"SELECT line_no FROM ({_sql_vincenty(-77.03, 38.9)}) WHERE metres < 2500000")
