@@ -50,19 +50,25 @@ NAMED = set(
     "toolbar footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus discussion respond reply replies popup modal overlay widget widgets pagination pager copyright skip search".split()
 )
+# names that hold whatever stands inside; the others don't count for an element around an article, a main or an h1 element ("content with-sidebar")
+STRONG = set("comment comments reply replies respond disqus discussion".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "start", "end", "parts", "drop", "size", "holds")
+    __slots__ = ("tag", "start", "end", "parts", "strong", "weak", "size", "holds")
 
-    def __init__(self, tag: str, start: int, drop: bool):
-        self.tag, self.start, self.end, self.parts, self.drop, self.size, self.holds = tag, start, start, [], drop, 0, False
+    def __init__(self, tag: str, start: int, strong: bool = False, weak: bool = False):
+        self.tag, self.start, self.end, self.parts, self.strong, self.weak, self.size, self.holds = tag, start, start, [], strong, weak, 0, False
 
+    @property
+    def drop(self) -> bool:
+        return self.strong or self.weak and not self.holds
 
-def _named(tag: str, raw: str) -> bool:
-    """Whether the attributes name the element as no part of an article."""
+
+def _named(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether the attributes name the element as no part of an article: surely, or by a name that layouts use too."""
     for m in ATTRIBUTE.finditer(raw):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
@@ -71,18 +77,20 @@ def _named(tag: str, raw: str) -> bool:
                 words = [w.lower() for w in WORD.findall(value)]
                 if tag in ("html", "body", "main"):
                     continue
-                if any(w in NAMED for w in words) or (words == ["header"] or words == ["site", "header"] or words == ["page", "header"]):
-                    return True
+                if any(w in STRONG for w in words):
+                    return True, False
+                if any(w in NAMED for w in words) or words in (["header"], ["site", "header"], ["page", "header"]):
+                    return False, True
             elif tag == "article" and any(w in ("comment", "comments", "reply", "sponsored", "ad", "promo", "related") for w in map(str.lower, WORD.findall(value))):
-                return True
+                return True, False
         elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, False
 
 
 def parse(page: str) -> Node:
     """The element tree; parts of a node are its texts (undecoded) and elements in order."""
-    root = Node("#root", 0, False)
+    root = Node("#root", 0)
     stack, at, n = [root], 0, len(page)
 
     def close(depth: int, end: int) -> None:
@@ -90,7 +98,7 @@ def parse(page: str) -> Node:
             node = stack.pop()
             node.end = end
             stack[-1].size += node.size
-            stack[-1].holds |= node.holds or node.tag in ("article", "main", "h1")
+            stack[-1].holds |= not node.strong and (node.holds or node.tag in ("article", "main", "h1"))
 
     while at < n:
         m = TAG.search(page, at)
@@ -128,7 +136,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[depth].tag in HOLDS.get(tag, ()):
                     break
-        node = Node(tag, m.start(), tag in DROP or bool(m[3]) and len(m[3]) > 1 and _named(tag, m[3]))
+        strong, weak = _named(tag, m[3]) if len(m[3] or "") > 1 else (False, False)
+        node = Node(tag, m.start(), strong or tag in DROP, weak)
         stack[-1].parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             node.end = at
