@@ -35,9 +35,9 @@ from cartolith.llm.shared import bound_batches, partitions
 from cartolith.llm.textkernels import Words, mix, same_spans, slices, span_hash, window_hash
 
 BINS = 4096
-BUCKET_WINDOWS = 1 << 20
+BUCKET_WINDOWS = 1 << 19
 MMER = 3
-DEAL_BYTES = 4 << 20  # larger slices decide more windows by themselves and pack better
+DEAL_BYTES = 2 << 20
 
 
 def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
