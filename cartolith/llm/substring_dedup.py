@@ -105,7 +105,7 @@ def _ranges(keys: tuple[np.ndarray, ...], start: np.ndarray, width: int) -> tupl
 
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<I", a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays) + text)
+    return zstandard.ZstdCompressor(level=9).compress(head + b"".join(a.tobytes() for a in arrays) + text)
 
 
 def _unpack(blob: bytes, dtypes: tuple[type, ...]) -> tuple[list[np.ndarray], bytes]:
