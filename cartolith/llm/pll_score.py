@@ -1,12 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
-Tokens are words: the VOCAB - BUCKETS most frequent of the whole corpus, and BUCKETS hash buckets for the rest. The network, in numpy, sees the SIDE tokens
-before and after a place (never the place itself): their embeddings, one hidden layer, and a softmax in two levels (class, then token
-within its class), whose product is a proper distribution. A document's score is the sum of the log probabilities of all its tokens.
+Tokens are words, all of the corpus. The network, in numpy, sees the SIDE words before and after a place (never the place itself): their embeddings, one hidden
+layer, and a softmax in two levels (class, then token within its class), whose product is a proper distribution. Its tokens are the VOCAB - BUCKETS most
+frequent words, and BUCKETS hash buckets for the rest. A word of a bucket has the bucket's probability times its own within the bucket, n / (N + 1): n is its
+count in the corpus, N that of the bucket's words; what is left is for the words never counted. A document's score is the sum of the log probabilities of its words.
 
 Training: the words of all documents are counted in Spark. Every task trains the same first weights on its own documents, at one place in
 `stride` of each document; the tasks' weights are averaged, weighted by their places, in groups of FAN (a tree, so that no task and not the driver gathers
-more than FAN sets of weights). Vocabulary and training grow with the corpus; only the weights have a fixed size.
+more than FAN sets of weights). The counts are kept for every word, in a table that grows with the corpus; only the network has a fixed size.
+
+Scoring: the network and the buckets' sizes go to the workers. The words of buckets are joined with the counts by their hash and come back as one mean of
+log n for each text. Neither side is collected. Equal texts share a mean, so copies count once.
 
 Cases: null or empty texts have no tokens, score 0 and mean null. Very long texts are scored in batches of places. Ties in frequency go to the smaller word.
 Repeated rows are scored alike. An empty table gives an empty result (the first weights). Other columns travel in a struct.
@@ -15,13 +19,14 @@ Repeated rows are scored alike. An empty table gives an empty result (the first
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches
+from cartolith.llm.shared import bound_batches, materialise
 from cartolith.llm.textkernels import Words, mix, slices
 
 VOCAB, BUCKETS, CLASSES = 1024, 64, 32
@@ -32,15 +37,20 @@ FAN = 64
 NAMES = ("embed", "w", "b", "wc", "bc", "ww", "bw")
 
 
+class Vocabulary(NamedTuple):
+    top: np.ndarray  # hashes of the words with a token of their own, by frequency
+    totals: np.ndarray  # counted words of each bucket
+    counted: DataFrame  # word, n: all words
+
+
 def first_weights(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     shapes = {"embed": (VOCAB + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, WITHIN), "bw": (CLASSES, WITHIN)}
     return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and k != "bw" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
 
 
-def token_ids(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Ids of the words; vocabulary: word hashes in order of frequency."""
-    h = words.hashes()
+def token_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Ids of the words' hashes; vocabulary: word hashes in order of frequency."""
     out = (VOCAB - BUCKETS + (mix(h) % np.uint64(BUCKETS))).astype(np.int32)
     if len(vocabulary):
         order = np.argsort(vocabulary)
@@ -141,7 +151,7 @@ def _train(vocabulary: np.ndarray, stride: int, batch: int, rate: float):
         rng = np.random.default_rng(1)
         for part in slices(batches):
             words = Words(part.column("text"))
-            ids = token_ids(words, vocabulary)
+            ids = token_ids(words.hashes(), vocabulary)
             padded = contexts(ids, words.first)
             within = np.arange(len(ids)) - np.repeat(words.first[:-1], words.counts)
             place = np.flatnonzero(within % stride == (words.text_of_word() % stride))
@@ -169,45 +179,85 @@ def _average(fan: int):
     return average
 
 
-def train(docs: DataFrame, text_col: str = "text", stride: int = 8, batch: int = 1024, rate: float = 0.01) -> tuple[np.ndarray, bytes]:
-    """(vocabulary: word hashes by frequency, weights)."""
+def _bucket_sizes(vocabulary: np.ndarray):
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for part in slices(batches, "word"):
+            ids = token_ids(Words(part.column("word")).hashes(), vocabulary) - (VOCAB - BUCKETS)
+            rare = ids >= 0
+            np.add.at(total, ids[rare], part.column("n").to_numpy()[rare])
+        yield pa.record_batch({"bucket": pa.array(np.arange(BUCKETS)), "n": pa.array(total)})
+
+    return sizes
+
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "word"):
+        yield pa.record_batch({"word": pa.array(Words(part.column("word")).hashes().view(np.int64)), "n": part.column("n")})
+
+
+def train(docs: DataFrame, text_col: str = "text", stride: int = 8, batch: int = 1024, rate: float = 0.01) -> tuple[Vocabulary, bytes]:
+    """(vocabulary, weights)."""
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counted = slim.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    counted = materialise(counted, "words")
     top = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()]
-    words = Words(pa.array(top, pa.string()))
-    vocabulary = words.hashes()
+    vocabulary = Words(pa.array(top, pa.string())).hashes()
+    totals = np.zeros(BUCKETS, np.int64)
+    for r in counted.mapInArrow(_bucket_sizes(vocabulary), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = r["n"]
     trained = slim.mapInArrow(_train(vocabulary, stride, batch, rate), "task long, n long, weights binary")
     tasks = max(1, slim.rdd.getNumPartitions())
     while tasks > 1:
         trained = trained.groupBy(F.floor(F.col("task") / FAN).alias("group")).applyInArrow(_average(FAN), "task long, n long, weights binary")
         tasks = -(-tasks // FAN)
     rows = trained.collect()  # one set of weights
-    return vocabulary, bytes(rows[0]["weights"]) if rows else _dump(first_weights())
+    return Vocabulary(vocabulary, totals, counted), bytes(rows[0]["weights"]) if rows else _dump(first_weights())
 
 
-def _score(vocabulary: np.ndarray, weights: bytes):
+def _score(vocabulary: np.ndarray, totals: np.ndarray, weights: bytes):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _load(weights)
+        share = np.concatenate((np.zeros(VOCAB - BUCKETS), -np.log(totals + 1.0)))
         for part in slices(batches):
             words = Words(part.column("text"))
-            padded = contexts(token_ids(words, vocabulary), words.first)
+            ids = token_ids(words.hashes(), vocabulary)
+            padded = contexts(ids, words.first)
             text = words.text_of_word()
-            total = np.zeros(part.num_rows)
+            total = np.bincount(text, share[ids], part.num_rows)
             for lo in range(0, len(text), BATCH):
                 t = text[lo : lo + BATCH]
                 at = np.arange(lo, lo + len(t)) + 2 * SIDE * t + SIDE
                 out, _ = forward(w, _around(padded, at), padded[at])
                 total += np.bincount(t, out, part.num_rows)
-            n = words.counts.astype(np.int64)
-            yield pa.record_batch({"row": part.column("row"), "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(1, n), mask=n == 0)})
+            n_rare = np.bincount(text[ids >= VOCAB - BUCKETS], minlength=part.num_rows)
+            yield pa.record_batch({"row": part.column("row"), "id": part.column("id"), "n_tokens": pa.array(words.counts.astype(np.int64)), "n_rare": pa.array(n_rare), "pll": pa.array(total)})
 
     return score
 
 
-def pseudo_likelihood(docs: DataFrame, model: tuple[np.ndarray, bytes], text_col: str = "text") -> DataFrame:
+def _rare_words(vocabulary: np.ndarray):
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = Words(part.column("text"))
+            h = words.hashes()
+            rare = np.flatnonzero(token_ids(h, vocabulary) >= VOCAB - BUCKETS)
+            yield pa.record_batch({"id": part.column("id").take(pa.array(words.text_of_word()[rare])), "word": pa.array(h[rare].view(np.int64))})
+
+    return rare_words
+
+
+def pseudo_likelihood(docs: DataFrame, model: tuple[Vocabulary, bytes], text_col: str = "text") -> DataFrame:
     """row (struct of the input's columns), n_tokens, pll (sum of log probabilities, natural logarithm), pll_per_token."""
     bound_batches(docs.sparkSession)
+    vocabulary, weights = model
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
-    return whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").mapInArrow(_score(*model), f"row {kind}, n_tokens long, pll double, pll_per_token double")
+    whole = whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").withColumn("id", F.xxhash64("text"))
+    scored = whole.mapInArrow(_score(vocabulary.top, vocabulary.totals, weights), f"row {kind}, id long, n_tokens long, n_rare long, pll double")
+    often = vocabulary.counted.where("n > 1").mapInArrow(_hash_words, "word long, n long")  # the logarithm of one is zero
+    listed = whole.select("id", "text").mapInArrow(_rare_words(vocabulary.top), "id long, word long")
+    found = listed.join(often.hint("shuffle_hash"), "word", "left").groupBy("id").agg(F.avg(F.coalesce(F.log("n"), F.lit(0.0))).alias("mean"))
+    out = scored.join(found, "id", "left").withColumn("pll", F.col("pll") + F.col("n_rare") * F.coalesce("mean", F.lit(0.0)))
+    return out.select("row", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_per_token"))

@@ -318,6 +318,26 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_word_has_its_own_probability(spark):
+    rare = [f"r{i}" for i in range(300)]
+    often = [f"w{i}" for i in range(pll_score.VOCAB - pll_score.BUCKETS)]
+    count = {w: 20 for w in often} | {w: 1 + i % 9 for i, w in enumerate(rare)}
+    d = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(count.items())], "doc_id long, text string")
+    model = pll_score.train(d)
+    bucket = lambda w: int(pll_score.token_ids(Words(pa.array([w])).hashes(), model[0].top)[0])
+    unseen = list({bucket(f"u{i}"): f"u{i}" for i in range(2000)}.values())
+    assert len(unseen) == pll_score.BUCKETS
+    words = [*count, *unseen]
+    rows = [(i, w) for i, w in enumerate(words)] + [(i, rare[8]) for i in range(10**6, 10**6 + 5)]
+    out = {r["doc_id"]: r["pll"] for r in pll_score.pseudo_likelihood(spark.createDataFrame(rows, d.schema), model).select("row.doc_id", "pll").collect()}
+    assert sum(np.exp(out[i]) for i in range(len(words))) == pytest.approx(1, abs=1e-3)
+    at = {w: i for i, w in enumerate(words)}
+    of_bucket = {bucket(w): w for w in unseen}
+    for w in rare:  # one bucket, one context: apart by the counts alone
+        assert out[at[w]] - out[at[of_bucket[bucket(w)]]] == pytest.approx(np.log(count[w]), abs=1e-4)
+    assert all(out[i] == pytest.approx(out[at[rare[8]]], abs=1e-4) for i in range(10**6, 10**6 + 5))
+
+
 def test_packing(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
