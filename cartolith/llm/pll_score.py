@@ -5,8 +5,8 @@ layer, and a softmax in two levels (class, then token within its class), whose p
 frequent words, and BUCKETS hash buckets for the rest. A word of a bucket has the bucket's probability times its own within the bucket, n / (N + 1): n is its
 count in the corpus, N that of the bucket's words; what is left is for the words never counted. A document's score is the sum of the log probabilities of its words.
 
-Training: the words of all documents are counted in Spark. Every task trains the same first weights on its own documents, at one place in
-`stride` of each document; the tasks' weights are averaged, weighted by their places, in groups of FAN (a tree, so that no task and not the driver gathers
+Training: the words of all documents are counted in Spark. Every task trains the same first weights on its own documents, at every place
+(one in `stride`, where that is more than 1); the tasks' weights are averaged, weighted by their places, in groups of FAN (a tree, so that no task and not the driver gathers
 more than FAN sets of weights). The counts are kept for every word, in a table that grows with the corpus; only the network has a fixed size.
 
 Scoring: the network and the buckets' sizes go to the workers. The words of buckets are joined with the counts by their hash and come back as one mean of
@@ -32,7 +32,7 @@ from cartolith.llm.textkernels import Words, mix, slices
 VOCAB, BUCKETS, CLASSES = 1024, 64, 32
 WITHIN = VOCAB // CLASSES
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-BATCH = 1 << 15
+BATCH = 1 << 13
 FAN = 64
 NAMES = ("embed", "w", "b", "wc", "bc", "ww", "bw")
 
@@ -71,40 +71,44 @@ def _around(padded: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([padded[place + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    s = e.sum(axis=1, keepdims=True)
-    return x - np.log(s), e / s
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's column `at`, and all probabilities (in the memory of x)."""
+    x -= np.ascontiguousarray(x.T).max(axis=0)[:, None]
+    out = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    s = x.sum(axis=1, keepdims=True)
+    x /= s
+    return out - np.log(s[:, 0]), x
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log probability of each target given its neighbours."""
-    x = w["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ w["w"] + w["b"])
-    group = target // WITHIN
-    log_c, p_c = _softmax(h @ w["wc"] + w["bc"])
+    x = w["embed"].take(around, axis=0).reshape(len(around), -1)
+    h = x @ w["w"]
+    h += w["b"]
+    np.tanh(h, out=h)
+    group = (target // WITHIN).astype(np.int16)
+    out, p_c = _softmax(h @ w["wc"] + w["bc"], group)
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=CLASSES)))).tolist()
     hs = h[order]
     logits = np.empty((len(target), WITHIN), np.float32)
     for c in range(CLASSES):
         a, b = cuts[c], cuts[c + 1]
         if b > a:
-            logits[a:b] = hs[a:b] @ w["ww"][c] + w["bw"][c]
-    log_w, p_w = _softmax(logits)
-    out = log_c[np.arange(len(target)), group]
-    out[order] += log_w[np.arange(len(target)), (target % WITHIN)[order]]
+            np.matmul(hs[a:b], w["ww"][c], out=logits[a:b])
+            logits[a:b] += w["bw"][c]
+    log_w, p_w = _softmax(logits, (target % WITHIN)[order])
+    out[order] += log_w
     return out, (x, h, hs, group, order, cuts, p_c, p_w)
 
 
 def step(w: dict[str, np.ndarray], speed: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> float:
-    """One adaptive gradient step; the mean log probability before it."""
+    """One adaptive gradient step of w and speed, in place; the mean log probability before it."""
     out, (x, h, hs, group, order, cuts, p_c, p_w) = forward(w, around, target)
     n = len(target)
-    g_c = p_c.copy()
+    g_c, g_w = p_c, p_w  # nothing reads the probabilities again
     g_c[np.arange(n), group] -= 1
-    g_w = p_w.copy()
     g_w[np.arange(n), (target % WITHIN)[order]] -= 1
     g_c /= n
     g_w /= n
@@ -114,18 +118,26 @@ def step(w: dict[str, np.ndarray], speed: dict[str, np.ndarray], around: np.ndar
     for c in range(CLASSES):
         a, b = cuts[c], cuts[c + 1]
         if b > a:
-            grad["ww"][c] = hs[a:b].T @ g_w[a:b]
-            grad["bw"][c] = g_w[a:b].sum(axis=0)
-            part[a:b] = g_w[a:b] @ w["ww"][c].T
+            np.matmul(hs[a:b].T, g_w[a:b], out=grad["ww"][c])
+            np.add.reduce(g_w[a:b], axis=0, out=grad["bw"][c])
+            np.matmul(g_w[a:b], w["ww"][c].T, out=part[a:b])
     g_h[order] += part
     g_h *= 1 - h * h
     grad["w"], grad["b"] = x.T @ g_h, g_h.sum(axis=0)
-    g_x = (g_h @ w["w"].T).reshape(-1, WIDTH)
-    flat = around.ravel()
-    grad["embed"] = np.stack([np.bincount(flat, g_x[:, d], VOCAB + 1) for d in range(WIDTH)], axis=1).astype(np.float32)
+    flat = around.ravel().astype(np.int16)
+    same = np.argsort(flat, kind="stable")
+    flat = flat[same]
+    runs = np.flatnonzero(np.diff(flat, prepend=-1))
+    grad["embed"] = np.zeros_like(w["embed"])
+    grad["embed"][flat[runs]] = np.add.reduceat((g_h @ w["w"].T).reshape(-1, WIDTH).take(same, axis=0), runs, axis=0)
     for k, g in grad.items():
-        speed[k] = 0.95 * speed[k] + 0.05 * g * g
-        w[k] -= (rate * g / (np.sqrt(speed[k]) + 1e-6)).astype(np.float32)
+        speed[k] *= 0.95
+        speed[k] += 0.05 * (g * g)
+        root = np.sqrt(speed[k])
+        root += 1e-6
+        g *= rate
+        g /= root
+        w[k] -= g
     return float(out.mean())
 
 
@@ -196,7 +208,7 @@ def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"word": pa.array(Words(part.column("word")).hashes().view(np.int64)), "n": part.column("n")})
 
 
-def train(docs: DataFrame, text_col: str = "text", stride: int = 8, batch: int = 1024, rate: float = 0.01) -> tuple[Vocabulary, bytes]:
+def train(docs: DataFrame, text_col: str = "text", stride: int = 1, batch: int = 1024, rate: float = 0.01) -> tuple[Vocabulary, bytes]:
     """(vocabulary, weights)."""
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -248,13 +260,13 @@ def _rare_words(vocabulary: np.ndarray):
     return rare_words
 
 
-def pseudo_likelihood(docs: DataFrame, model: tuple[Vocabulary, bytes], text_col: str = "text") -> DataFrame:
-    """row (struct of the input's columns), n_tokens, pll (sum of log probabilities, natural logarithm), pll_per_token."""
+def pseudo_likelihood(docs: DataFrame, model: tuple[Vocabulary, bytes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (struct of the input's columns, or of those in keep), n_tokens, pll (sum of log probabilities, natural logarithm), pll_per_token."""
     bound_batches(docs.sparkSession)
     vocabulary, weights = model
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
-    whole = whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").withColumn("id", F.xxhash64("text"))
+    whole = whole.withColumn("id", F.xxhash64("text"))
     scored = whole.mapInArrow(_score(vocabulary.top, vocabulary.totals, weights), f"row {kind}, id long, n_tokens long, n_rare long, pll double")
     often = vocabulary.counted.where("n > 1").mapInArrow(_hash_words, "word long, n long")  # the logarithm of one is zero
     listed = whole.select("id", "text").mapInArrow(_rare_words(vocabulary.top), "id long, word long")

@@ -75,7 +75,7 @@ def op8_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_masked_pll(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudo_likelihood(docs, train_window(docs)).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "pll", "pll_per_token")
+    return pseudo_likelihood(docs, train_window(docs), keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "pll", "pll_per_token")
 
 
 def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.llm import decontaminate, html_text, langid, line_quality, near_dedup, packing, pll_score, sharding, substring_dedup, token_store
+from cartolith.llm import decontaminate, html_text, langid, line_quality, near_dedup, packing, pll_score, queries, sharding, substring_dedup, token_store
 from cartolith.llm.textkernels import Words, span_hash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -318,6 +318,19 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_registered_training_sees_every_place(spark, monkeypatch):
+    given, real = [], pll_score._train
+    monkeypatch.setattr(pll_score, "_train", lambda *a: given.append(a) or real(*a))
+    out = queries.op9_masked_pll(spark, "/root/testdata/sf0.001")
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null").toArrow().combine_chunks()
+    (trained,) = real(*given[0])(iter(texts.to_batches()))
+    assert trained.column("n")[0].as_py() == sum(len(WORD.findall(t)) for t in texts.column("text").to_pylist())
+    learned = out.agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    first = pll_score.pseudo_likelihood(d, (pll_score.train(d)[0], pll_score._dump(pll_score.first_weights())))
+    assert learned > first.agg(F.sum("pll") / F.sum("n_tokens")).first()[0] + 0.3
+
+
 def test_every_word_has_its_own_probability(spark):
     rare = [f"r{i}" for i in range(300)]
     often = [f"w{i}" for i in range(pll_score.VOCAB - pll_score.BUCKETS)]
