@@ -1,7 +1,9 @@
 """Main text of web pages by site template removal.
 
-Pass 1 parses every page and hashes the subtree of every block element; Spark counts, per host, on how many pages each hash stands
-(partial counts before the shuffle). Subtrees that stand on `min_pages` pages of their host are templates. Pass 2 parses the pages
+Pass 1 parses every page and hashes the subtree of every block element; Spark counts, per host, on how many pages of different bodies each hash stands
+(partial counts before the shuffle). Subtrees that stand on `min_pages` such pages of their host, and on `share` of all its pages of different bodies, are
+templates. Inside article and main elements a subtree also is one that stands on min_pages pages and on more than half of the host's pages, copies
+counted: a host that has little but copies of one page shows no more than that. Pass 2 parses the pages
 again, deletes the templates' subtrees and what the markup itself names as no part of an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments), and joins the blocks that are left.
 
@@ -13,7 +15,7 @@ The templates go to the workers as sorted 64-bit hashes of (host, subtree): by b
 the hash. The choice changes the plan, not the result.
 
 Cases: null or empty html gives an empty text. A null or odd url is a host of its own (""). Broken markup: unclosed elements end with their
-parent, stray end tags are left out, an unclosed comment or script runs to the end. Repeated pages count as pages; repeated rows stay rows. An empty
+parent, stray end tags are left out, an unclosed comment or script runs to the end. Copies of a page count as one but for the rule above; repeated rows stay rows. An empty
 table gives an empty result. Other columns travel in a struct.
 """
 
@@ -34,6 +36,7 @@ from cartolith.llm.textkernels import slices
 
 BROADCAST_ROWS = 4_000_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+BODY = re.compile(r"<body[\s>]", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -163,18 +166,26 @@ def _site(url: str | None) -> bytes:
     return hashlib.blake2b(host(url).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def subtrees(page: str, url: str | None) -> set[int]:
-    """Hashes of (host, subtree) of the page's blocks, but those that always stay."""
-    root, site, out = parse(page), _site(url), set()
-    todo = [root]
+def _body(page: str, site: bytes) -> int:
+    """A hash of (host, body): what copies of a page have in common."""
+    m = BODY.search(page)
+    return _key(site, page[m.start() :] if m else page)
+
+
+def subtrees(page: str, url: str | None) -> dict[int, bool]:
+    """Hashes of (host, subtree) of the page's blocks, but those that always stay; whether one stands inside an article or main element."""
+    root, site, out = parse(page), _site(url), {}
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
         for part in node.parts:
             if isinstance(part, Node):
                 if part.tag in BLOCKS:
                     if not _stays(part, root):
-                        out.add(_key(site, page[part.start : part.end]))
-                    todo.append(part)
+                        key = _key(site, page[part.start : part.end])
+                        out[key] = inside or out.get(key, False)
+                    todo.append((part, inside))
     return out
 
 
@@ -239,12 +250,30 @@ def main_text(page: str | None, url: str | None, templates: np.ndarray) -> str:
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "html"):
-        keys: list[int] = []
+        rows: dict[tuple[int, int, int], list] = {}
+        for page, url in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True):
+            if page:
+                site = _site(url)
+                host_id, body = int.from_bytes(site[:8], "little", signed=True), _body(page, site)
+                for key, inside in subtrees(page, url).items():
+                    found = rows.setdefault((host_id, key, body), [0, False])
+                    found[0] += 1
+                    found[1] |= inside
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        values = list(zip(*rows.values(), strict=True)) or [(), ()]
+        arrays = [*(pa.array(c, pa.int64()) for c in columns), pa.array(values[0], pa.int64()), pa.array(values[1], pa.bool_())]
+        yield pa.record_batch(arrays, ["host", "key", "body", "n", "inside"])
+
+
+def _hash_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "html"):
+        hosts, bodies = [], []
         for page, url in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True):
             if page:
-                keys += subtrees(page, url)
-        own, n = np.unique(np.array(keys, np.int64), return_counts=True)
-        yield pa.record_batch({"key": pa.array(own), "n": pa.array(n)})
+                site = _site(url)
+                hosts.append(int.from_bytes(site[:8], "little", signed=True))
+                bodies.append(_body(page, site))
+        yield pa.record_batch({"host": pa.array(hosts, pa.int64()), "body": pa.array(bodies, pa.int64())})
 
 
 def _list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +293,15 @@ def _extract(shipped):
     return extract
 
 
-def templates(pages: DataFrame, min_pages: int = 5, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(key): hashes of the (host, subtree) pairs on min_pages pages or more."""
+def templates(pages: DataFrame, min_pages: int = 5, html_col: str = "html", url_col: str = "url", share: float = 0.01) -> DataFrame:
+    """(key): hashes of the (host, subtree) pairs that are templates."""
     slim = pages.select(F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
-    return slim.mapInArrow(_hash_pages, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages).select("key")
+    hosts = slim.mapInArrow(_hash_bodies, "host long, body long").groupBy("host", "body").agg(F.count("*").alias("n"))
+    hosts = hosts.groupBy("host").agg(F.count("*").alias("host_bodies"), F.sum("n").alias("host_pages"))
+    found = slim.mapInArrow(_hash_pages, "host long, key long, body long, n long, inside boolean").groupBy("host", "key", "body").agg(F.sum("n").alias("n"), F.max("inside").alias("inside"))
+    found = found.groupBy("host", "key").agg(F.count("*").alias("bodies"), F.sum("n").alias("n"), F.max("inside").alias("inside")).where(F.col("n") >= min_pages)
+    common = (F.col("bodies") >= min_pages) & (F.col("bodies") >= share * F.col("host_bodies"))
+    return found.join(hosts, "host").where(common | F.col("inside") & (2 * F.col("n") > F.col("host_pages"))).select("key")
 
 
 def extract(pages: DataFrame, min_pages: int = 5, html_col: str = "html", url_col: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

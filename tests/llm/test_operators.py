@@ -404,6 +404,22 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    body = "<body>" + "".join(f"<p>Paragraph {k} says this.</p>" for k in range(4)) + "</body>"
+    listed = "<body><article><h1>List</h1>" + "".join(f"<p>Point {k} is made here.</p>" for k in range(4)) + "<ul><li>one</li><li>two</li></ul></article></body>"
+    rows = [(i, "http://h.example/p", f"<html><head><title>{i}</title></head>{body}") for i in range(9)]
+    rows += [(10 + i, "http://h.example/q", listed) for i in range(8)]
+    menu = '<div class="x2"><p>All of our pages</p></div>'
+    rows += [(20 + i, f"http://h.example/{i}", f"<body>{menu}<p>Only on {i}, with some more words.</p></body>") for i in range(6)]
+    rows += [(100 + i, f"http://big.example/{i}", f"<body><p>Only on {i}.</p>{'<p>A quotation.</p>' if i < 6 else ''}<p>And more words on {i}.</p></body>") for i in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r[0]: r[1] for r in html_text.extract(pages).select("row.page_id", "main_text").collect()}
+    assert all(got[i] == "\n\n".join(f"Paragraph {k} says this." for k in range(4)) for i in range(9))
+    assert all(got[10 + i].endswith("one\n\ntwo") for i in range(8))
+    assert all(got[20 + i] == f"Only on {i}, with some more words." for i in range(6))
+    assert all("A quotation." in got[100 + i] for i in range(6))
+
+
 def test_html_pages(spark):
     def article(page):
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
