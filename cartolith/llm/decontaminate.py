@@ -11,7 +11,8 @@ are retrieved. Each is verified: the word trigrams of its question and of its an
 item is one text) must both lie in the passage to the share `overlap`.
 
 The index is built from at most INDEX_BYTES of item text at a time; a larger benchmark is split by a hash of the item into
-several indexes, each with its own statistics, and every passage is searched in each. That bounds what is broadcast. Nothing is shuffled.
+several indexes, and every passage is searched in each. All of them use the statistics of the whole benchmark (gathered first), so the split changes no
+result. That bounds what is broadcast. Nothing is shuffled.
 
 Cases: null or empty texts and items match nothing. Items shorter than three words are compared as a whole. Repeated items are
 reported under each id, null item ids are left out. Rows are kept as they are, repeated ones too. Empty tables on either side give no match.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,33 @@ def _spread(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
     return who, np.repeat(offsets[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+class Statistics(NamedTuple):
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  # sorted hashes
+    df: np.ndarray
+
+    def __add__(self, other: "Statistics") -> "Statistics":
+        terms, at = np.unique(np.concatenate((self.terms, other.terms)), return_inverse=True)
+        df = np.bincount(at, np.concatenate((self.df, other.df)), len(terms)).astype(np.int64)
+        return Statistics(self.items + other.items, self.words + other.words, max(self.longest, other.longest), terms, df)
+
+
+def statistics(texts: list[str]) -> Statistics:
+    """What BM25 needs to know of all items."""
+    words = Words(pa.array(texts, pa.string()), fold=FOLD)
+    terms, term = np.unique(words.hashes(), return_inverse=True)
+    pair = np.unique(term * max(1, len(texts)) + words.text_of_word())
+    counts = words.counts
+    return Statistics(int((counts > 0).sum()), int(counts.sum()), int(counts.max()) if len(counts) else 0, terms, np.bincount(pair // max(1, len(texts)), minlength=len(terms)))
+
+
 class Index:
-    """Inverted index of items (ids, texts)."""
+    """Inverted index of items (ids, texts); whole: the statistics of a benchmark that these items are a part of."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], whole: Statistics | None = None):
+        whole = whole or statistics(texts)
         words = Words(pa.array(texts, pa.string()), fold=FOLD)
         keep = np.flatnonzero(words.counts > 0)
         self.ids = np.array(ids, np.int64)[keep]
@@ -58,7 +83,7 @@ class Index:
             cut = len(own) - max(1, len(own) // 4) if len(own) > 1 else 0
             parts = (own[:cut], own[cut:]) if len(own) >= 8 else (own, own)
             self.grams.append([(min(3, len(x)), np.unique(window_hash(x, min(3, len(x))))) for x in parts])
-        self.longest = int(words.counts.max()) if len(keep) else 0
+        self.longest = whole.longest
         number = np.full(len(words.counts), -1)
         number[keep] = np.arange(len(keep))
         item = number[words.text_of_word()]
@@ -67,8 +92,9 @@ class Index:
         term, item = pair // max(1, len(keep)), pair % max(1, len(keep))
         df = np.bincount(term, minlength=len(self.terms))
         size = words.counts[keep]
-        idf = np.log1p((len(keep) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, size.mean() if len(size) else 1.0)))
+        df_all = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((whole.items - df_all + 0.5) / (df_all + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, whole.words / max(1, whole.items))))
         own = np.bincount(item, impact, len(keep))
         self.impact = impact / own[item]
         self.item = item
@@ -158,10 +184,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // INDEX_BYTES)
+
+    def group(g: int) -> list[tuple[int, str]]:
+        return sorted((r["id"], r["text"]) for r in items.where(F.expr(f"pmod(xxhash64(id), {groups}) = {g}")).collect())
+
+    common = None
+    if groups > 1:
+        for g in range(groups):
+            own = statistics([text for _, text in group(g)])
+            common = own if common is None else common + own
     indexes = []
     for g in range(groups):
-        rows = sorted((r["id"], r["text"]) for r in items.where(F.expr(f"pmod(xxhash64(id), {groups}) = {g}")).collect())
-        indexes.append(spark.sparkContext.broadcast(cloudpickle.dumps(Index([r[0] for r in rows], [r[1] for r in rows]))))
+        rows = group(g)
+        indexes.append(spark.sparkContext.broadcast(cloudpickle.dumps(Index([r[0] for r in rows], [r[1] for r in rows], common))))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
     return whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").mapInArrow(_match(indexes, threshold, overlap), f"row {kind}, item_ids array<long>, score double")

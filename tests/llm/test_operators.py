@@ -187,6 +187,24 @@ def test_decontaminate(spark, none):
     assert all(r["item_ids"] == [] for r in decontaminate.decontaminate(spark.createDataFrame(rows[:3], SCHEMA), bench.limit(0)).collect())
 
 
+def test_split_benchmark_gives_the_results_of_one_index(spark, monkeypatch):
+    rng = random.Random(12)
+    v = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(v, k=rng.randint(5, 60)))) for i in range(60)] + [(70, ""), (71, "...")]
+    rows = []
+    for i in range(120):
+        words = items[i % 60][1].split()
+        words = [w if rng.random() < 0.8 else rng.choice(v) for w in words]
+        rows.append((i, " ".join(rng.choices(v, k=rng.choice([0, 100])) + words), None, None))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, SCHEMA)
+    found = lambda: {r["doc_id"]: (r["item_ids"], r["score"]) for r in decontaminate.decontaminate(docs, bench, overlap=0.3).select("row.doc_id", "item_ids", "score").collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
+    split = found()
+    assert any(0.5 < s < 1 for _, s in whole.values())
+    assert all(split[i][0] == ids and split[i][1] == pytest.approx(s, abs=1e-12) for i, (ids, s) in whole.items())
+
+
 def test_language_id(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out()), "doc_id", "text", "lang")
