@@ -10,7 +10,7 @@ wins. Words are scored once per worker (a bounded cache by hash). Rejection is c
 `slack` times what a share of 1 - `reject_share` of the language's own sample stays under (more for short texts, whose entropy
 varies: in proportion to 1 + SHORT / characters), or if it has no letter.
 
-Cases: null, empty and letterless texts are "und", score 0 and rejected. Null labels are not learned. With no labelled document all texts are
+Cases: null, empty and letterless texts are "und", score 0 and rejected. Null labels are not learned, every other label is: model and sample grow with the number of labels. With no labelled document all texts are
 "und". Equal scores go to the language first in order. Rows stay as they are, repeated rows too; an empty table gives an empty result.
 Other columns travel in a struct.
 """
@@ -34,7 +34,6 @@ from cartolith.llm.textkernels import Words, mix, slices
 
 ORDER = 5
 CACHE_WORDS = 1 << 20
-MAX_LANGUAGES = 1000  # the most frequent labels
 SHORT = 16
 UNSEEN = float(np.log(1e-5))  # of a character that no sample holds
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +227,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     """labelled: rows to learn from. The sample holds about sample_docs documents of each language, whole texts."""
     bound_batches(labelled.sparkSession)
     named = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({})
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, 1000000007.0 * sample_docs / n)))

@@ -219,6 +219,13 @@ def test_language_id(spark, none):
     assert langid.identify(odd, empty).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_every_label_is_learned(spark):
+    digits = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, f"{i:04d}".translate(digits) * 3, f"l{i:04d}") for i in range(1010)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert model.langs == [r[2] for r in rows]
+
+
 def test_kneser_ney():
     tables = langid.kneser_ney(["ab", "abc", "b", "cab"], np.array([3, 1, 2, 1]))
     model = langid.Model({"x": (["ab", "abc", "b", "cab"], np.array([3, 1, 2, 1]))})
