@@ -13,6 +13,7 @@ from cartolith.functions.geometry import Geometry, locate
 from cartolith.functions.text import canonical, write_feature
 
 SCHEMA = "line_no long, feature string"
+NO_DATA = -1e38  # measures below are none
 
 
 def _ring_area(ring: list) -> float:
@@ -25,29 +26,54 @@ def _polygons(rings: list, compat: bool) -> Geometry:
     if compat or len(outers) <= 1:
         return ("Polygon", rings)
     for hole in (r for r in rings if _ring_area(r) > 0):
-        home = next((o for o in outers if locate([o[0]], (hole[0][0], hole[0][1])) >= 0), outers[0])
+        home = next((o for o in outers if locate([[p[:2] for p in o[0]]], (hole[0][0], hole[0][1])) >= 0), outers[0])
         home.append(hole)
     return ("MultiPolygon", outers)
 
 
+def _points(raw: bytes, at: int, n: int, kind: int, compat: bool) -> list[list[float]]:
+    """n points from at on, each with its z and, where it has one, its m, which stand in arrays of their own behind the points. compat: m, then z."""
+    v = struct.unpack_from(f"<{2 * n}d", raw, at)
+    out = [[v[2 * i], v[2 * i + 1]] for i in range(n)]
+    if kind < 10:
+        return out
+    at += 16 * n
+    z = None
+    if kind // 10 == 1 or kind == 31:
+        z = struct.unpack_from(f"<{n}d", raw, at + 16)
+        at += 16 + 8 * n
+    m = struct.unpack_from(f"<{n}d", raw, at + 16) if len(raw) >= at + 16 + 8 * n else [10 * NO_DATA] * n  # the measures are optional
+    return [_with(p, z[i] if z else None, m[i], compat) for i, p in enumerate(out)]
+
+
+def _with(p: list[float], z: float | None, m: float, compat: bool) -> list[float]:
+    if compat:
+        return [*p, m] if z is None else [*p, m, z]
+    return [*p, *([] if z is None else [z]), *([m] if m >= NO_DATA else [])]
+
+
 def shape(raw: bytes, compat: bool = False) -> Geometry:
-    """The geometry of a record's content; Z and M values are left out."""
+    """The geometry of a record's content: points are [x, y, z(, m)] or [x, y(, m)], under compat [x, y, m, z] or [x, y, m]."""
     kind = struct.unpack_from("<i", raw)[0]
     if kind == 0:
         return ("Polygon", [])
     family = kind % 10
     if family == 1:
-        return ("Point", list(struct.unpack_from("<2d", raw, 4)))
+        p = list(struct.unpack_from("<2d", raw, 4))
+        if kind < 10:
+            return ("Point", p)
+        z = struct.unpack_from("<d", raw, 20)[0] if kind == 11 else None
+        at = 20 if z is None else 28
+        return ("Point", _with(p, z, struct.unpack_from("<d", raw, at)[0] if len(raw) >= at + 8 else 10 * NO_DATA, compat))
     if family == 8:
         n = struct.unpack_from("<i", raw, 36)[0]
-        v = struct.unpack_from(f"<{2 * n}d", raw, 40)
-        return ("MultiPoint", [[v[2 * i], v[2 * i + 1]] for i in range(n)])
+        return ("MultiPoint", _points(raw, 40, n, kind, compat))
     if family not in (3, 5) and kind != 31:
         raise ValueError(f"shape type {kind}")
     parts, n = struct.unpack_from("<2i", raw, 36)
     first = [*struct.unpack_from(f"<{parts}i", raw, 44), n]
-    v = struct.unpack_from(f"<{2 * n}d", raw, 44 + 4 * parts * (2 if kind == 31 else 1))
-    rings = [[[v[2 * i], v[2 * i + 1]] for i in range(a, b)] for a, b in zip(first, first[1:], strict=False)]
+    points = _points(raw, 44 + 4 * parts * (2 if kind == 31 else 1), n, kind, compat)
+    rings = [points[a:b] for a, b in zip(first, first[1:], strict=False)]
     return ("MultiLineString", rings) if family == 3 else _polygons(rings, compat or kind == 31)
 
 

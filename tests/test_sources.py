@@ -59,6 +59,26 @@ def test_shapefile(spark, tmp_path):
         list(shapefile.features(b"x", None))
 
 
+def test_shapefile_keeps_z_and_m():
+    xy, z, m = [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (0.0, 0.0)], [1.0, 2.0, 3.0, 1.0], [5.0, 6.0, -1e39, 5.0]
+    plain = b"".join(struct.pack("<2d", *p) for p in xy)
+    z_part, m_part = (struct.pack("<6d", 0, 0, *x) for x in (z, m))
+    want = [[*p, h, *([k] if k > -1e38 else [])] for p, h, k in zip(xy, z, m, strict=True)]
+    quirk = [[*p, k, h] for p, h, k in zip(xy, z, m, strict=True)]
+    assert shapefile.shape(struct.pack("<i4d", 11, 1, 2, 3, 4)) == ("Point", [1, 2, 3, 4])
+    assert shapefile.shape(struct.pack("<i4d", 11, 1, 2, 3, 4), True) == ("Point", [1, 2, 4, 3])
+    assert shapefile.shape(struct.pack("<i3d", 21, 1, 2, 4)) == shapefile.shape(struct.pack("<i3d", 21, 1, 2, 4), True) == ("Point", [1, 2, 4])
+    for kind, name, deep in ((13, "MultiLineString", True), (15, "Polygon", True), (18, "MultiPoint", False)):
+        head = struct.pack("<i4d", kind, 0, 0, 9, 9) + (struct.pack("<3i", 1, 4, 0) if deep else struct.pack("<i", 4)) + plain
+        for compat, points in ((False, want), (True, quirk)):
+            assert shapefile.shape(head + z_part + m_part, compat) == (name, [points] if deep else points)
+        flat = [[*p, h] for p, h in zip(xy, z, strict=True)]
+        assert shapefile.shape(head + z_part) == (name, [flat] if deep else flat)  # the measures are optional
+        head = struct.pack("<i", kind + 10) + head[4:]
+        measured = [[*p, *([k] if k > -1e38 else [])] for p, k in zip(xy, m, strict=True)]
+        assert shapefile.shape(head + m_part) == (name, [measured] if deep else measured)
+
+
 def test_read_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text(WKT)
     df = lines.read_entities(spark, str(tmp_path / "a.txt"))
