@@ -4,13 +4,17 @@ A window is `width` consecutive words of one document. A word is removed if a wi
 sequence also starts in a document with a smaller id. Windows are judged on the input.
 
 Plan:
-1. A first pass counts windows per minimiser bin (BINS bins, all rows). From it come the number of buckets and the
-   hot bins: those that alone would fill a good part of a bucket.
-2. Each slice of documents decides by itself the windows it holds in two documents or more: those outside the
+1. A first pass counts the windows of each minimiser, by its whole hash. A task sends only minimisers that could matter: with T tasks,
+   those it holds LIMIT / 2T times or more, so that what it leaves out can't add up to half of LIMIT. Minimisers of
+   more than LIMIT / 2 windows by these counts are hot; LIMIT is what a bucket should hold, or so much more that no more than MAX_HOT
+   can be hot, which bounds what is broadcast.
+2. Documents go through in runs of about DEAL_BYTES. A run decides by itself the windows it holds in two documents or more: those outside the
    smallest are removed, and only the smallest document's travel. What is left is cut into super-k-mers: consecutive
-   windows sharing a minimiser. They go as packed, compressed strings to the bucket of their minimiser; windows of a
-   hot bin go one by one to the bucket of their own hash, so that no minimiser can fill a bucket.
-3. In a bucket all windows are sorted by hash; equal hashes are compared byte by byte, so the result is exact.
+   windows sharing a minimiser. Hot minimisers yield: a window takes its smallest minimiser that isn't hot. Super-k-mers go as packed, compressed
+   strings to the bucket of their minimiser's hash. Windows of which all minimisers are hot, as of a passage that very many documents share, go by their
+   own hash, and first to one of several salted buckets, so that no passage gathers in one task.
+3. In a bucket all windows are sorted by hash; equal hashes are compared byte by byte, so the result is exact. A bucket of more than PASS_WINDOWS
+   is taken in several passes, each over a part of the hashes. Salted buckets also send on their smallest documents' windows to the bucket proper.
 4. Removed ranges are joined to the documents.
 
 Cases: null or empty text has no words and stays as it is (kept text ""). A null id is neither smaller nor larger than any
@@ -21,6 +25,7 @@ in a struct and come back on request.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -31,22 +36,29 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, partitions
+from cartolith.llm.shared import bound_batches, materialise, partitions
 from cartolith.llm.textkernels import Words, mix, same_spans, slices, span_hash, window_hash
 
-BINS = 4096
 BUCKET_WINDOWS = 1 << 19
+PASS_WINDOWS = 1 << 20
+MAX_HOT = 1 << 20
+KEPT_COUNTS = 1 << 21
 MMER = 3
-DEAL_BYTES = 2 << 20
+DEAL_BYTES = 4 << 20
+BUCKET_TYPE = "bucket int, salt int, kind int, n int, blob binary"
+TOP = np.uint64(1 << 63)
 
 
-def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
-    """The smallest m-mer hash of each window."""
+def _minimisers(h: np.ndarray, width: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """The smallest m-mer hash (of 63 bits) of each window. hot: sorted hashes, which stand above all others (their top bit is set)."""
     m = min(MMER, width)
-    v = window_hash(h, m)
+    v = window_hash(h, m) & ~TOP
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+        v = np.where(hot[at] == v, v | TOP, v)
     out = v[:n].copy()
     for j in range(1, width - m + 1):
         np.minimum(out, v[j : j + n], out=out)
@@ -119,26 +131,47 @@ def _unpack(blob: bytes, dtypes: tuple[type, ...]) -> tuple[list[np.ndarray], by
     return out, raw[at:]
 
 
-def _count_bins(width: int):
+def _count(width: int, least: float):
+    """(minimiser, windows) of those that stand least times or more in a task; of null, all windows of the task."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        keys, n, new, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate((keys, *(x[0] for x in new)))
+            out, at = np.unique(every, return_inverse=True)
+            new_n = np.bincount(at, np.concatenate((n, *(x[1] for x in new))), len(out)).astype(np.int64)
+            new.clear()
+            return out, new_n
+
+        def sent(all_: bool) -> pa.RecordBatch:
+            pick = np.ones(len(n), bool) if all_ else n >= least
+            return pa.record_batch({"minimiser": pa.array(keys[pick].view(np.int64)), "n": pa.array(n[pick])})
+
         for part in slices(batches):
             words = Words(part.column("text"))
             at = _windows(words, width)
+            total += len(at)
             if len(at):
-                least = _minimisers(words.hashes(), width)[at]
-                total += np.bincount((least & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-        hit = np.flatnonzero(total)
-        yield pa.record_batch({"bin": pa.array(hit.astype(np.int32)), "n": pa.array(total[hit])})
+                new.append(np.unique(_minimisers(words.hashes(), width)[at], return_counts=True))
+                if sum(len(x[0]) for x in new) > KEPT_COUNTS // 2:
+                    keys, n = merged()
+                    if len(keys) > KEPT_COUNTS:  # too many to hold: all of them go
+                        yield sent(True)
+                        keys, n = keys[:0], n[:0]
+        keys, n = merged()
+        yield sent(False)
+        yield pa.record_batch({"minimiser": pa.array([None], pa.int64()), "n": pa.array([total], pa.int64())})
 
     return count
 
 
-def _deal(width: int, buckets: int, bucket_of_bin: np.ndarray):
-    """bucket_of_bin: -1 for hot bins."""
-
+def _deal(width: int, buckets: int, salts: int, hot: np.ndarray):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        salt, turn = (task.partitionId() % salts if task else 0), 0
         for part in slices(batches, limit=DEAL_BYTES):
             words = Words(part.column("text"))
             ids = part.column("doc_id")
@@ -151,77 +184,127 @@ def _deal(width: int, buckets: int, bucket_of_bin: np.ndarray):
             if not len(at):
                 continue
             h = words.hashes()
-            wh, least = window_hash(h, width)[at], _minimisers(h, width)[at]
+            wh, least = window_hash(h, width)[at], _minimisers(h, width, hot)[at]
             row_at = row[at]
             doc_at = doc[row_at]
             start = at - words.first[row_at]
             first = _exact_firsts(words.buf, words.start[at], words.stop[at + width - 1], wh, doc_at)
             known = doc_at > first
-            out: list[tuple[int, int, bytes]] = []
+            out: list[tuple[int, int, int, int, bytes]] = []
             if known.any():
                 (r,), lo, hi = _ranges((row_at[known],), start[known], width)
                 turn += 1
-                out.append((int(mix(np.array([th[r[0]] + turn]).astype(np.uint64))[0] % np.uint64(buckets)), 1, _pack(doc[r], th[r], lo.astype(np.int32), hi.astype(np.int32))))
+                own = int(mix(np.array([th[r[0]] + turn]).astype(np.uint64))[0] % np.uint64(buckets))
+                out.append((own, -1, 1, 0, _pack(doc[r], th[r], lo.astype(np.int32), hi.astype(np.int32))))
             at, wh, least, row_at, start = (x[~known] for x in (at, wh, least, row_at, start))
             if len(at):
-                bucket = bucket_of_bin[(least & np.uint64(BINS - 1)).astype(np.int64)]
-                hot = bucket < 0
-                bucket = np.where(hot, (wh % np.uint64(buckets)).astype(np.int64), bucket)
+                all_hot = least >= TOP
+                # salted rows stand apart from the others: buckets from `buckets` on
+                bucket = np.where(all_hot, wh, mix(least)) % np.uint64(buckets)
+                bucket = bucket.astype(np.int64) + np.where(all_hot, buckets, 0)
                 new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (row_at[1:] != row_at[:-1]) | (bucket[1:] != bucket[:-1])
+                new[1:] = (at[1:] != at[:-1] + 1) | (row_at[1:] != row_at[:-1]) | (bucket[1:] != bucket[:-1])
                 head = np.flatnonzero(new)
                 tail = np.concatenate((head[1:], [len(at)])) - 1
-                a, b = words.start[at[head]], words.stop[at[tail] + width - 1]
+                order = np.lexsort((least[head], bucket[head]))  # strings of one minimiser are alike: side by side they pack well
+                head, tail = head[order], tail[order]
+                a, b = words.start[at[head]].tolist(), words.stop[at[tail] + width - 1].tolist()
+                n = np.cumsum(np.concatenate(([0], tail - head + 1)))
                 text = words.buf.tobytes()
-                order = np.argsort(bucket[head], kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[head][order], prepend=-1))
-                al, bl = a[order].tolist(), b[order].tolist()
-                for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    o = order[lo:hi]
-                    packed = b"\n".join([text[x:y] for x, y in zip(al[lo:hi], bl[lo:hi], strict=True)])
-                    r = row_at[head[o]]
-                    out.append((int(bucket[head[o[0]]]), 0, _pack(doc[r], th[r], start[head[o]].astype(np.int32), text=packed)))
+                cuts = np.flatnonzero(np.diff(bucket[head], prepend=-1)).tolist()
+                for lo, hi in zip(cuts, [*cuts[1:], len(head)], strict=True):
+                    packed = b"\n".join([text[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)])
+                    r, k = row_at[head[lo:hi]], int(bucket[head[lo]])
+                    out.append((k % buckets, salt if k >= buckets else -1, 0, int(n[hi] - n[lo]), _pack(doc[r], th[r], start[head[lo:hi]].astype(np.int32), text=packed)))
             if out:
-                yield pa.record_batch({"bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "salt", "kind", "n", "blob"])
 
     return deal
 
 
+def _opened(blob: bytes, width: int):
+    """(doc, th, start) of a packed blob's strings; its bytes; and of each window the string, the place in it, first and last byte, and hash."""
+    (doc, th, start), text = _unpack(blob, (np.int64, np.int64, np.int32))
+    buf = np.frombuffer(text, np.uint8)
+    line = buf == 10
+    stop = np.concatenate((np.flatnonzero(line | (buf == 32)), [len(buf)]))
+    begin = np.concatenate((np.zeros(1, np.int64), stop[:-1] + 1))
+    ends = np.concatenate((np.searchsorted(stop, np.flatnonzero(line)) + 1, [len(stop)]))  # words up to the end of each string
+    n = np.diff(ends, prepend=0)
+    at = np.flatnonzero(np.repeat(ends, n) - np.arange(len(stop)) >= width)
+    string = np.repeat(np.arange(len(n), dtype=np.int32), n)[at]
+    place = (at - (ends - n)[string]).astype(np.int32)
+    return doc, th, start, buf, string, place, begin[at], stop[at + width - 1], window_hash(span_hash(buf, begin, stop), width)[at]
+
+
 def _settle(width: int):
-    """One bucket: the ranges that its windows remove, and the ranges that slices decided by themselves."""
+    """One bucket: the ranges that its windows remove, and the ranges that runs decided by themselves. A salted bucket also gives its smallest
+    documents' windows, packed anew."""
 
     def settle(table: pa.Table) -> pa.Table:
         keys: list[list[np.ndarray]] = [[], [], [], []]
-        got: list[tuple[np.ndarray, ...]] = []
-        bufs, size = [], 0
+        blobs = []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
             if kind == 1:
                 arrays, _ = _unpack(blob.as_py(), (np.int64, np.int64, np.int32, np.int32))
                 for k, a in zip(keys, arrays, strict=True):
                     k.append(a)
+            else:
+                blobs.append(blob)
+        bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
+        passes = -(-sum(table.column("n").to_pylist()) // PASS_WINDOWS)
+        onward: list[tuple[int, bytes]] = []
+        for turn in range(passes):
+            parts, bufs, size, strings = [], [], 0, 0
+            owners: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for blob in blobs:
+                doc, th, start, buf, string, place, lo, hi, h = _opened(blob.as_py(), width)
+                if passes > 1:
+                    mine = h >> np.uint64(32) & np.uint64(0xFFFFFFFF)
+                    mine = mine % np.uint64(passes) == turn
+                    string, place, lo, hi, h = (x[mine] for x in (string, place, lo, hi, h))
+                parts.append((string + strings, place, lo + size, hi + size, h))
+                owners.append((doc, th, start))
+                bufs.append(buf)
+                size += len(buf)
+                strings += len(doc)
+            if not parts:
                 continue
-            (doc, th, start), text = _unpack(blob.as_py(), (np.int64, np.int64, np.int32))
-            buf = np.frombuffer(text, np.uint8)
-            line = buf == 10
-            stop = np.concatenate((np.flatnonzero(line | (buf == 32)), [len(buf)]))
-            begin = np.concatenate((np.zeros(1, np.int64), stop[:-1] + 1))
-            ends = np.concatenate((np.searchsorted(stop, np.flatnonzero(line)) + 1, [len(stop)]))  # words up to the end of each string
-            n = np.diff(ends, prepend=0)
-            at = np.flatnonzero(np.repeat(ends, n) - np.arange(len(stop)) >= width)
-            string = np.repeat(np.arange(len(n)), n)[at]
-            h = window_hash(span_hash(buf, begin, stop), width)[at]
-            got.append((begin[at] + size, stop[at + width - 1] + size, h, doc[string], th[string], start[string] + at - (ends - n)[string]))
-            bufs.append(buf)
-            size += len(buf)
-        if got:
-            lo, hi, h, doc, th, start = (np.concatenate(x) for x in zip(*got, strict=True))
-            got.clear()
-            hit = doc > _exact_firsts(np.concatenate(bufs), lo, hi, h, doc)
-            (d, t), a, b = _ranges((doc[hit], th[hit]), start[hit], width)
+            string, place, lo, hi, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, th, start = (np.concatenate(x) for x in zip(*owners, strict=True))
+            parts.clear()
+            owners.clear()
+            buf = np.concatenate(bufs) if len(bufs) > 1 else bufs[0]
+            bufs.clear()
+            doc_at = doc[string]
+            first = _exact_firsts(buf, lo, hi, h, doc_at)
+            hit = doc_at > first
+            (d, t), a, b = _ranges((doc_at[hit], th[string[hit]]), (start[string] + place)[hit].astype(np.int64), width)
             for k, x in zip(keys, (d, t, a, b), strict=True):
                 k.append(x)
+            if salt >= 0:  # one copy of each window, of the smallest document
+                left = np.flatnonzero(~hit)
+                _, pick = np.unique(h[left], return_index=True)
+                once = left[pick]
+                again = np.setdiff1d(left, once)
+                head = once[np.minimum(np.searchsorted(h[once], h[again]), max(0, len(once) - 1))] if len(once) else once
+                odd = again[~same_spans(buf, lo[again], hi[again], lo[head], hi[head])]  # two texts of one hash: both go on
+                rest = np.concatenate((once, odd))
+                text = buf.tobytes()
+                packed = b"\n".join([text[x:y] for x, y in zip(lo[rest].tolist(), hi[rest].tolist(), strict=True)])
+                s = string[rest]
+                onward.append((len(rest), _pack(doc[s], th[s], (start[s] + place[rest]).astype(np.int32), text=packed)))
         d, t, a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys)
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "th": pa.array(t, pa.int64()), "lo": pa.array(a.astype(np.int32)), "hi": pa.array(b.astype(np.int32))})
+        none = pa.nulls(len(d))
+        out = {"doc_id": pa.array(d, pa.int64()), "th": pa.array(t, pa.int64()), "lo": pa.array(a.astype(np.int32)), "hi": pa.array(b.astype(np.int32)), "bucket": none.cast(pa.int32()), "n": none.cast(pa.int32()), "blob": none.cast(pa.binary())}
+        found = pa.table(out)
+        if onward:
+            m = len(onward)
+            void = pa.nulls(m)
+            more = {"doc_id": void.cast(pa.int64()), "th": void.cast(pa.int64()), "lo": void.cast(pa.int32()), "hi": void.cast(pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "n": pa.array([x[0] for x in onward], pa.int32()), "blob": pa.array([x[1] for x in onward], pa.binary())}
+            found = pa.concat_tables([found, pa.table(more)])
+        return found
 
     return settle
 
@@ -253,25 +336,34 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"kept_text": kept, "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array((n_words - n_kept).astype(np.int64)), "row": part.column("row")})
 
 
+def hot_minimisers(slim: DataFrame, width: int, tasks: int) -> tuple[int, np.ndarray]:
+    """(windows of all texts, sorted hashes of the hot minimisers)."""
+    most = int(slim.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0)  # no text has more words than every second byte
+    limit = max(BUCKET_WINDOWS // 2, 2 * most // MAX_HOT)
+    counts = slim.select("text").mapInArrow(_count(width, limit / (2 * max(1, tasks))), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    rows = counts.where((F.col("n") >= limit // 2) | F.col("minimiser").isNull()).toArrow()  # MAX_HOT rows at most, and the total
+    whole = pc.is_null(rows.column("minimiser"))
+    hot = rows.filter(pc.invert(whole)).column("minimiser").to_numpy().astype(np.int64).view(np.uint64)
+    return pc.sum(rows.filter(whole).column("n")).as_py() or 0, np.sort(hot)
+
+
 def removed_ranges(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, lo, hi): word ranges to remove; th is xxhash64 of the text, which tells rows of one id apart."""
     spark = docs.sparkSession
     bound_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = slim.select("text").mapInArrow(_count_bins(width), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows
-    count = np.zeros(BINS, np.int64)
-    for r in rows:
-        count[r["bin"]] = r["n"]
-    buckets = max(partitions(spark), -(-int(count.sum()) // BUCKET_WINDOWS))
-    bucket_of_bin = np.full(BINS, -1, np.int64)
-    hot = count > count.sum() / buckets / 2
-    load = np.full(buckets, count[hot].sum() / buckets)
-    for b in np.argsort(-np.where(hot, -1, count))[: int((~hot).sum())]:
-        to = int(load.argmin())
-        bucket_of_bin[b] = to
-        load[to] += count[b]
-    dealt = slim.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_deal(width, buckets, bucket_of_bin), "bucket int, kind int, blob binary")
-    return dealt.groupBy("bucket").applyInArrow(_settle(width), "doc_id long, th long, lo int, hi int")
+    tasks = max(1, slim.rdd.getNumPartitions())
+    total, hot = hot_minimisers(slim, width, tasks)
+    buckets = max(partitions(spark), -(-total // BUCKET_WINDOWS))
+    dealt = slim.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_deal(width, buckets, math.isqrt(tasks) + 1, hot), BUCKET_TYPE)
+    kind = "doc_id long, th long, lo int, hi int, bucket int, n int, blob binary"
+    found = dealt.groupBy("bucket", "salt").applyInArrow(_settle(width), kind)
+    if not len(hot):
+        return found.select("doc_id", "th", "lo", "hi")
+    found = materialise(found, "settled")
+    onward = found.where("blob is not null").select("bucket", F.lit(-1).alias("salt"), F.lit(0).alias("kind"), "n", "blob")
+    last = onward.groupBy("bucket").applyInArrow(_settle(width), kind)
+    return found.where("blob is null").union(last).select("doc_id", "th", "lo", "hi")
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,23 +60,57 @@ def test_words():
     assert span_hash(long, np.array([0]), np.array([300_000]))[0] == span_hash(np.frombuffer(b"zz " + b"q" * 300_000, np.uint8), np.array([3]), np.array([300_003]))[0]
 
 
-def test_substring_dedup(docs, none):
-    rows = docs.collect()
-    first, words = {}, {r["doc_id"]: WORD.findall(r["text"] or "") for r in rows}
+def brute_substrings(rows):
+    first, words, out = {}, {r["doc_id"]: WORD.findall(r["text"] or "") for r in rows}, {}
     for i, w in words.items():
         for j in range(len(w) - 12):
             first[tuple(w[j : j + 13])] = min(first.get(tuple(w[j : j + 13]), i), i)
-    got = {r["id"]: r for r in substring_dedup.substring_dedup(docs).select(F.col("row.doc_id").alias("id"), "n_words", "n_removed", "kept_text", "row.n_words").collect()}
-    assert len(got) == len(rows) and sum(r["n_removed"] for r in got.values()) > 100
     for i, w in words.items():
         gone = [False] * len(w)
         for j in range(len(w) - 12):
             if first[tuple(w[j : j + 13])] < i:
                 gone[j : j + 13] = [True] * 13
-        assert (got[i][1], got[i][2], got[i][3]) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
+
+
+def kept_substrings(docs):
+    out = substring_dedup.substring_dedup(docs).select(F.col("row.doc_id").alias("id"), "n_words", "n_removed", "kept_text", "row.n_words").collect()
+    return {r["id"]: (r[1], r[2], r[3]) for r in out}
+
+
+def test_substring_dedup(docs, none):
+    want = brute_substrings(docs.collect())
+    assert kept_substrings(docs) == want and sum(n for _, n, _ in want.values()) > 100
     assert substring_dedup.substring_dedup(none).collect() == []
 
 
+def test_substring_dedup_of_hot_passages(docs, monkeypatch):
+    """Bounds so small that the shared passages' minimisers are hot, salted buckets merge and a bucket takes several passes."""
+    for name, value in (("BUCKET_WINDOWS", 64), ("PASS_WINDOWS", 16), ("DEAL_BYTES", 1000), ("KEPT_COUNTS", 50)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    slim = docs.select("doc_id", "text")
+    _, hot = substring_dedup.hot_minimisers(slim, 13, 3)
+    assert 5 < len(hot) <= substring_dedup.MAX_HOT
+    assert kept_substrings(docs) == brute_substrings(docs.collect())
+
+
+def test_super_k_mers_stay_long_at_many_buckets(spark):
+    """What travels doesn't depend on the number of buckets: at 10,000 of them strings still hold several windows."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("th")).toArrow()
+    sizes = {}
+    for buckets in (100, 10_000):
+        windows = strings = size = 0
+        for batch in substring_dedup._deal(13, buckets, 1, np.zeros(0, np.uint64))(iter(table.to_batches())):
+            for kind, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "blob")), strict=True):
+                if kind == 0:
+                    (doc, _, _), text = substring_dedup._unpack(blob, (np.int64, np.int64, np.int32))
+                    windows, strings, size = windows + n, strings + len(doc), size + len(text)
+        sizes[buckets] = size
+        assert windows / strings > 4
+    assert sizes[10_000] < 1.1 * sizes[100]
+
+
 def test_substring_hot_bins_and_repeats(spark):
     words = " ".join(f"w{i}" for i in range(20))
     rows = [(i, f"{words} tail{i}", None, None) for i in range(40)] + [(5, f"{words} tail5", None, None), (None, words, None, None)]
