@@ -6,12 +6,16 @@ Two documents are linked if their sets' Jaccard similarity reaches the threshold
 Plan:
 1. Each document's shingle hashes pass through a family of permutations; of each both the minimum and the maximum are
    kept, so that half the evaluations give a signature of the same length. Bands of `rows` values are the search keys.
-   Their number follows from the threshold: a pair at the threshold meets in no band with probability under `miss`.
+   Their number follows from the threshold: a pair at the threshold meets in no band with probability about `miss` (both
+   ends of one permutation are not quite independent; for sets of some twenty shingles it is a tenth more).
 2. Documents of one set are one class, represented by its smallest id; only representatives go on.
 3. In every band bucket all members are paired with the bucket's smallest member (a star, never all pairs), and every
    such pair is confirmed on the full sets. Components follow.
-4. A bucket that still holds members of several components, besides its smallest, has pairs not yet seen. Its members
-   are compared exactly, across components only, in blocks of BLOCK members dealt over tasks. So no link is lost to the stars.
+4. A bucket that still holds members of several components, besides its smallest, has pairs not yet seen. Members of such buckets are put
+   together by prefix filtering: with shingles in one order (those that no other component holds first, then by how many members hold them), two sets
+   that reach the threshold share a shingle among the first n - ceil(threshold * n) + 1 of each. Components that share such a shingle are a cluster;
+   within it members are compared exactly, across components only, in blocks of BLOCK members dealt over tasks. So no link is lost to the stars,
+   and documents that have only a common passage in common are not compared.
 
 Cases: null, empty or blank text has an empty set and links with nothing. A null id links with nothing, its component is
 null and it is kept. Rows of one id are one node: a link of one of them is a link of all, and repeated rows stay rows. Ties
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.graph import components
@@ -175,11 +179,41 @@ def _compare(num: int, den: int):
     return compare
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for node, label, raw in zip(batch.column("node"), batch.column("label"), batch.column("hashes"), strict=True):
+            own = np.frombuffer(raw.as_py(), np.int64)
+            for lo in range(0, len(own), 1 << 16):
+                m = len(own[lo : lo + (1 << 16)])
+                columns = {k: pa.array(np.full(m, v)) for k, v in (("node", node.as_py()), ("label", label.as_py()), ("n", len(own)))}
+                yield pa.record_batch(columns | {"key": pa.array(own[lo : lo + (1 << 16)])})
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label, key) of each set's prefix, without the shingles that only one label holds; and the table it reads."""
+    held = members.join(sets, F.col("node") == F.col("id")).select("node", "label", "hashes").mapInArrow(_spread, "node long, label long, n long, key long")
+    held = materialise(held, "held")
+    shared = held.groupBy("key").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "df")
+    # the n - s shingles that no other label holds come first, so s - ceil(t * n) + 1 of the shared ones belong to the prefix
+    of = Window.partitionBy("node")
+    ranked = held.join(shared, "key").withColumn("s", F.count("*").over(of)).withColumn("place", F.row_number().over(of.orderBy("df", "key")))
+    return ranked.where(f"place <= s - (({num} * n + {den - 1}) div {den}) + 1").select("node", "label", "key"), held
+
+
 def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]] | None:
     """Links among the members of buckets that hold several components besides their smallest member, and the tables they are read from."""
     members = pairs.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    found = materialise(members.join(open_keys.select("key", "lo"), "key"), "open")
+    several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    open_ = materialise(members.join(several.select("key"), "key").select("node", "label").distinct(), "open")
+    if open_.isEmpty():
+        discard(open_)
+        return None
+    prefixes, held = _prefixes(open_, sets, num, den)
+    prefixes = materialise(prefixes, "prefixes")
+    several = prefixes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    found = materialise(prefixes.join(several.select("key", "lo"), "key"), "found")
+    discard(open_, held, prefixes)
     if found.isEmpty():
         discard(found)
         return None
