@@ -7,19 +7,21 @@ probabilities and one of back-off weights for each language, so one search serve
 
 A text's score in a language is the mean log probability of its characters (length-normalised cross-entropy); the lowest entropy
 wins. Words are scored once per worker (a bounded cache by hash). Rejection is calibrated: a text is rejected if its entropy exceeds
-`slack` times what a share of 1 - `reject_share` of the language's own sample stays under (more for short texts, whose entropy
-varies: in proportion to 1 + SHORT / characters), or if it has no letter.
+`slack` times what a share of 1 - `reject_share` of the language's documents stays under (more for short texts, whose entropy
+varies: in proportion to 1 + SHORT / characters), or if it has no letter. These documents (about `calibration_docs` a language, chosen by another hash)
+are none of the sample that the counts come from.
 
-Cases: null, empty and letterless texts are "und", score 0 and rejected. Null labels are not learned, every other label is: model and sample grow with the number of labels. With no labelled document all texts are
+Cases: null, empty and letterless texts are "und", score 0 and rejected. Rows without a label or without an id are not learned, every label is: model and sample grow with the number of labels. A language without documents for
+calibration rejects nothing by entropy. With no labelled document all texts are
 "und". Equal scores go to the language first in order. Rows stay as they are, repeated rows too; an empty table gives an empty result.
 Other columns travel in a struct.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from cartolith.llm.textkernels import Words, mix, slices
 
 ORDER = 5
 CACHE_WORDS = 1 << 20
+COINS = 1_000_000_007
 SHORT = 16
 UNSEEN = float(np.log(1e-5))  # of a character that no sample holds
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -116,18 +119,18 @@ class Model:
     def __init__(self, words: dict[str, tuple[list[str], np.ndarray]]):
         self.langs = sorted(words)
         self.limits = np.full(len(self.langs), np.inf)
-        self.number = zlib.crc32(repr([(k, len(words[k][0]), int(words[k][1].sum())) for k in self.langs]).encode())
         single = [kneser_ney(*words[k]) for k in self.langs]
         self.keys, self.logp, self.back = [], [], []
         for n in range(ORDER):
             every = np.unique(np.concatenate([m[n][0] for m in single])) if single else np.zeros(0, np.uint64)
-            a, b = (np.full((len(every), len(single)), np.nan, np.float32) for _ in range(2))
+            a, b = (np.full((len(every) + 1, len(single)), np.nan, np.float32) for _ in range(2))  # the last row: of no gram
             for j, m in enumerate(single):
                 at = np.searchsorted(every, m[n][0])
                 a[at, j], b[at, j] = m[n][1], m[n][2]
             self.keys.append(every)
             self.logp.append(a)
             self.back.append(b)
+        self.digest = hashlib.blake2b(repr(self.langs).encode() + b"".join(x.tobytes() for t in (self.keys, self.logp, self.back) for x in t)).hexdigest()
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability in each language, characters with the space after) of each word."""
@@ -139,10 +142,10 @@ class Model:
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             at = np.where(keys[at] == h, at, -1) if len(keys) else np.full(len(h), -1)
             open_ = (depth >= max(1, n - 1))[:, None]
-            p = np.where((at >= 0)[:, None], self.logp[n - 1][at], np.nan)
+            p = self.logp[n - 1][at]
             if n > 1:
                 before = np.concatenate(([-1], found[:-1]))
-                g = np.where((before >= 0)[:, None], self.back[n - 2][before], np.nan)
+                g = self.back[n - 2][before]
                 score = np.where(open_, np.where(np.isnan(p), score + np.nan_to_num(g), p), score)
             else:
                 score = np.where(open_ & ~np.isnan(p), p, score)
@@ -188,10 +191,10 @@ class _Cache:
 
 def _cache(model: Model) -> _Cache:
     kept = sys.__dict__.setdefault("_corpus_languages", {})
-    if model.number not in kept:
+    if model.digest not in kept:
         kept.clear()
-        kept[model.number] = _Cache(model)
-    return kept[model.number]
+        kept[model.digest] = _Cache(model)
+    return kept[model.digest]
 
 
 def _predict(shipped):
@@ -223,15 +226,23 @@ def _predict(shipped):
     return predict
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 400, reject_share: float = 1e-3, slack: float = 2.0) -> Model:
-    """labelled: rows to learn from. The sample holds about sample_docs documents of each language, whole texts."""
+def train(
+    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 400, reject_share: float = 1e-3, slack: float = 1.5, calibration_docs: int = 1000
+) -> Model:
+    """labelled: rows to learn from. The sample holds about sample_docs documents of each language (of a rarer one four in five; all, if it has four or fewer), whole texts."""
     bound_batches(labelled.sparkSession)
-    named = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    named = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({})
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, 1000000007.0 * sample_docs / n)))
-    sample = named.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1000000007)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+
+    def coins(docs: dict[str, float]) -> Column:
+        share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, COINS * docs[k] / n)))
+        return F.coalesce(share[F.col("lang")], F.lit(0.0))
+
+    coin = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(COINS))
+    learned = {k: min(sample_docs, 0.8 * n) if n > 4 else float(n) for k, n in sizes.items()}
+    sample = named.where(coin < coins(learned))
     counted = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     rows = counted.toArrow()  # words of the bounded sample
     words: dict[str, tuple[list[str], np.ndarray]] = {}
@@ -241,8 +252,9 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     model = Model(words)
     if model.langs:
         shipped = labelled.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-        scored = sample.select("text", F.struct("lang").alias("row")).mapInArrow(_predict(shipped), "row struct<lang: string>, lang_pred string, score double, entropy double, rejected boolean")
-        limits = {r["lang"]: r["q"] for r in scored.groupBy(F.col("row.lang").alias("lang")).agg(F.percentile_approx("entropy", 1 - reject_share, 10000).alias("q")).collect()}
+        others = named.where((coin >= coins(learned)) & (coin < coins({k: n + calibration_docs for k, n in learned.items()})))
+        scored = others.select("text", F.struct("lang").alias("row")).mapInArrow(_predict(shipped), "row struct<lang: string>, lang_pred string, score double, entropy double, rejected boolean")
+        limits = {r["lang"]: r["q"] for r in scored.where("lang_pred = row.lang").groupBy(F.col("row.lang").alias("lang")).agg(F.percentile_approx("entropy", 1 - reject_share, 10000).alias("q")).collect()}
         model.limits = np.array([slack * limits[k] if limits.get(k) is not None else np.inf for k in model.langs])
     return model
 

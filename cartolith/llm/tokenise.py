@@ -6,7 +6,10 @@ ASCII punctuation apart (after a letter or digit only, where the split is certai
 white space ("spaced"), with the one space before it; the rest of each white-space run is a piece of its own. Texts in which
 this does not hold (white space beyond ASCII, strings of special tokens) are encoded whole.
 
-Pieces are known by two independent 64-bit hashes. The cache is bounded by CACHE_WORDS and emptied when full.
+Pieces are known by two independent 64-bit hashes. The cache is bounded by CACHE_WORDS and emptied when full; a run of texts with more distinct pieces than
+that gets a table of its own size for as long as it needs one.
+
+Cases: a null text is empty; an empty or blank one has the ids of its white space, if the vocabulary keeps that, else none.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ class Pieces:
     """Ids of pieces by hash: open addressing over numpy arrays."""
 
     def __init__(self) -> None:
-        self.mask = np.uint64(2 * CACHE_WORDS - 1)
-        self.slot = np.full(2 * CACHE_WORDS, -1, np.int32)
+        self.slot = np.zeros(0, np.int32)
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, room: int = 0) -> None:
+        """Empty, with a table for room pieces, or for CACHE_WORDS if those are more."""
+        size = 2 << max(room - 1, CACHE_WORDS - 1, 1).bit_length()
+        if size != len(self.slot):
+            self.slot = np.empty(size, np.int32)
         self.slot[:] = -1
+        self.mask = np.uint64(size - 1)
         self.n = 0
         self.key = np.zeros((2, 1 << 16), np.uint64)
         self.off = np.zeros((1 << 16) + 1, np.int64)
@@ -140,8 +147,8 @@ class Encoder:
             _, pick = np.unique(h[new] ^ (g[new] * np.uint64(3)), return_index=True)
             pick = new[pick]
             if self.pieces.n + len(pick) > CACHE_WORDS:
-                self.pieces.clear()
                 _, pick = np.unique(h ^ (g * np.uint64(3)), return_index=True)
+                self.pieces.clear(len(pick))
             data = raw.tobytes()
             for lo in range(0, len(pick), 20000):
                 p = pick[lo : lo + 20000]

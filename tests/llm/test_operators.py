@@ -166,6 +166,27 @@ def test_near_duplicates_chain(spark):
     assert [r["kept"] for r in out if r["doc_id"] is None] == [True]
 
 
+def test_documents_with_only_a_passage_in_common_are_not_compared(spark, monkeypatch):
+    """Prefixes keep apart what shares a long passage; near copies that no star has joined still meet."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"o{rng.random()}" for _ in range(60))) for i in range(40)]
+    near = [f"m{i}" for i in range(120)]
+    rows += [(100 + i, " ".join([*near[: 60 + i], f"x{i}", *near[61 + i :]])) for i in range(6)]
+    hashed = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = hashed.mapInArrow(near_dedup._sets(5), "id long, hashes binary")
+    members = hashed.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    prefixes, _ = near_dedup._prefixes(members, sets, 85, 100)
+    nodes = {r["node"] for r in prefixes.collect()}
+    assert nodes == {i for i, _ in rows if i >= 100}
+    want = {i: c for i, (_, c) in brute_components(rows, 85, 100).items()}
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    pairs = members.select(F.lit(1).alias("key"), "node")
+    links, _ = near_dedup._rest(pairs, spark.createDataFrame([], "node long, label long"), sets, 85, 100)
+    joined = near_dedup.components(links).collect()
+    assert {r["node"]: r["label"] for r in joined} == {i: c for i, c in want.items() if c != i}
+
+
 def test_block_links_spans_components():
     sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 1, 2, 500, 501)]
     links = near_dedup.block_links(np.arange(5), np.arange(5), sets, 85, 100)
@@ -260,14 +281,69 @@ def test_every_label_is_learned(spark):
     assert model.langs == [r[2] for r in rows]
 
 
+def brute_kneser_ney(counts, order=5):
+    """p(character, history) by dictionaries of strings, from the definition."""
+    raw, left = defaultdict(int), defaultdict(set)
+    for w, c in counts.items():
+        text = f" {w} "
+        for i in range(1, len(text)):
+            for n in range(1, min(order, i + 1) + 1):
+                raw[text[i - n + 1 : i + 1]] += c
+                if n <= i and n < order:
+                    left[text[i - n + 1 : i + 1]].add(text[i - n])
+    count = {g: c if len(g) == order or g not in left or len(g) > 1 and g[0] == " " else len(left[g]) for g, c in raw.items()}
+    total, kinds, discount = defaultdict(int), defaultdict(int), {}
+    for g, c in count.items():
+        total[g[:-1], len(g)] += c
+        kinds[g[:-1], len(g)] += 1
+    for n in range(1, order + 1):
+        of = Counter(c for g, c in count.items() if len(g) == n)
+        discount[n] = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+
+    def p(g):
+        if not g:
+            return 1e-5
+        key = (g[:-1], len(g))
+        if key not in total:
+            return p(g[1:])
+        lower = p(g[1:])
+        if g not in count and len(g) == 1:
+            return 1e-5
+        return max(count.get(g, 0) - discount[len(g)], 0) / total[key] + discount[len(g)] * kinds[key] / total[key] * lower
+
+    return p
+
+
 def test_kneser_ney():
-    tables = langid.kneser_ney(["ab", "abc", "b", "cab"], np.array([3, 1, 2, 1]))
-    model = langid.Model({"x": (["ab", "abc", "b", "cab"], np.array([3, 1, 2, 1]))})
-    total = sum(np.exp(tables[0][1]))
-    assert 0.5 < total <= 1.0  # the rest is kept for characters never seen
-    seen, _ = model.score_words(["ab"])
-    unseen, _ = model.score_words(["zz"])
-    assert seen[0, 0] > unseen[0, 0]
+    rng = random.Random(6)
+    counts = {"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 5) for _ in range(60)}
+    words = sorted(counts)
+    model = langid.Model({"x": (words, np.array([counts[w] for w in words]))})
+    p = brute_kneser_ney(counts)
+    asked = words[:20] + ["".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(40)]
+    got, size = model.score_words(asked)
+    for w, s, n in zip(asked, got[:, 0], size, strict=True):
+        text = f" {w} "
+        assert n == len(w) + 1 and s == pytest.approx(sum(np.log(p(text[max(0, i - 4) : i + 1])) for i in range(1, len(text))), rel=1e-4)
+    for history in ("", " ", "a", " ab", "cd"):  # what is not given to known characters is kept for others
+        assert 0.5 < sum(p(history + c) for c in "abcd" + " " * (history != " ")) <= 1 + 1e-9
+
+
+def test_models_do_not_share_a_cache():
+    one, two = (langid.Model({"l": (words, np.array([n]))}) for words, n in ((["aa"], 4), (["bb"], 4)))
+    assert one.digest != two.digest
+    text = Words(pa.array(["aa bb"]))
+    scores = [langid._cache(m).look(text)[0][:, 0] for m in (one, two)]
+    assert scores[0][0] > scores[0][1] and scores[1][0] < scores[1][1]
+
+
+def test_language_id_of_repeats_and_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text, lang = docs.where("length(text) > 500 and lang = 'de'").select("text", "lang").first()
+    model = langid.train(docs, "doc_id", "text", "lang")
+    rows = [(1, text, "x", None)] * 3 + [(2, " ".join([text] * 300), None, None)]
+    got = langid.identify(spark.createDataFrame(rows, SCHEMA), model).select("row.doc_id", "lang_pred", "rejected").collect()
+    assert [tuple(r) for r in sorted(got)] == [(1, lang, False)] * 3 + [(2, lang, False)]
 
 
 TOKENIZERS = {True: ("byte_bpe_50k.json", 0), False: ("word_bpe_49k.json", 1)}
@@ -291,6 +367,17 @@ def test_encoder(spaced):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x[:-1] for x in encoded(texts, spaced)]
 
 
+def test_encoder_with_more_pieces_than_its_cache(monkeypatch):
+    from cartolith.llm import tokenise
+
+    monkeypatch.setattr(tokenise, "CACHE_WORDS", 32)
+    enc = tokenise.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = [" ".join(f"q{i}" for i in range(n, n + 100)) for n in (0, 50, 5)] + ["q1 q2"]
+    for part in (texts, texts[3:], texts[:1]):
+        ids, at = enc.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x[:-1] for x in encoded(part, False)]
+
+
 def test_token_store(spark, docs, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     token_store.write_tokens(docs, f"file://{tmp_path}/a", path, spaced=True, end_id=0)
