@@ -1,10 +1,13 @@
 """Packing documents into sequences: a configuration linear program, solved by multiplicative weights.
 
 A configuration is a multiset of piece lengths that fits one sequence. The program covers the histogram of lengths (at
-most `capacity` bins, whatever the number of pieces) with as few configurations as possible. Each round prices the lengths
-by multiplicative weights on how far each is still uncovered, runs one knapsack dynamic program over the capacity, and
-takes from its table the best configuration around every length. Amounts are rounded down, then up one by one where
-whole configurations still fit the demand; what is left (a few pieces per length) goes by best fit into new sequences.
+most `capacity` bins, whatever the number of pieces) with as few configurations as possible. Every length has a weight, at first its share of a sequence.
+A round prices the lengths by their weights and solves the knapsack over what is still uncovered, by a dynamic program whose table gives the best
+configuration around every length; of many lengths, one for each random group of about GROUP, so that they don't all ask for the same short pieces. Those within `slack` of the best, longest piece first, are taken as often as the uncovered pieces allow (whole numbers, so the
+solution is rounded as it grows), and every length's weight is multiplied by exp(-ETA * the share of it that was covered): what is covered gets cheap, what stays
+gets dear. A round that can take none doubles the slack. By duality, the priced value of all pieces over the dearest configuration's is a bound below which no
+packing can go; the best bound found is kept. The rounds end when at most LEFT of the pieces are left or after ROUNDS; these
+go by best fit into new sequences.
 
 Pieces get their places by rank within their length: ranks come from counts per (length, salt), so that no length's pieces are
 gathered, and a table of runs (length, first rank, sequence, offset), bounded by the histogram, gives the place.
@@ -16,6 +19,7 @@ are packed as often as they come. A text longer than the capacity is cut. An emp
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from cartolith.llm.shared import bound_batches, materialise, partitions
 from cartolith.llm.textkernels import slices
 from cartolith.llm.tokenise import encoder
 
-ROUNDS = 48
+ROUNDS, ETA, LEFT, GROUP = 64, 0.05, 0.01, 256
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -66,62 +70,96 @@ def token_pieces(docs: DataFrame, path: str, spaced: bool, end_id: int, capacity
     return slim.mapInArrow(_cut(path, spaced, end_id, capacity), PIECES)
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best price of any multiset of lengths (ascending) within each capacity, and the last length put there (0: none)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        k = upto[c]
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], last[c] = value[i], lengths[i]
-    return best, last
+def copies(lengths: np.ndarray, most: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """(index of length, copies), longest first, so that equal prices spare the short pieces: parts of 1, 2, 4, ... copies that sum up to any
+    number up to most, or to as many as fit."""
+    out = []
+    for i, k in reversed(list(enumerate(np.minimum(most, capacity // lengths).tolist()))):
+        part = 1
+        while k > 0:
+            out.append((i, min(part, k)))
+            k -= part
+            part *= 2
+    return out
+
 
+def knapsack(lengths: np.ndarray, prices: np.ndarray, parts: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best price of any choice of parts within each capacity; whether it takes each part, given those before it (parts x capacities); the last part taken, or -1."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    takes = np.zeros((len(parts), capacity + 1), bool)
+    value = np.empty(capacity + 1)
+    for j, (i, k) in enumerate(parts):
+        size = k * int(lengths[i])
+        new = np.add(best[: capacity + 1 - size], k * prices[i], out=value[: capacity + 1 - size])
+        better = np.greater(new, best[size:], out=takes[j, size:])
+        np.maximum(best[size:], new, out=best[size:])
+        last[size:][better] = j
+    return best, takes, last
 
-def _filling(last: np.ndarray, c: int) -> dict[int, int]:
+
+def _filling(takes: np.ndarray, last: np.ndarray, parts: list[tuple[int, int]], lengths: list[int], c: int) -> dict[int, int]:
+    """Copies of each index of lengths in the best choice within capacity c."""
     out: dict[int, int] = {}
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+    j = len(parts)
+    while c > 0 and j > 0:
+        at = int(last[c])
+        if at >= j:  # later parts don't count: the last one before
+            column = takes[:j, c][::-1]
+            at = j - 1 - int(column.argmax())
+            at = at if takes[at, c] else -1
+        if at < 0:
+            break
+        j = at
+        i, k = parts[j]
+        out[i] = out.get(i, 0) + k
+        c -= k * lengths[i]
     return out
 
 
-def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
-    """Amounts of configurations ((length, times), ...) that cover the demand."""
+Configuration = tuple[tuple[int, int], ...]  # (length, times), longest first
+
+
+def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, slack: float = 1e-3) -> tuple[dict[Configuration, int], dict[int, int], float]:
+    """(how often to use each configuration, pieces left of each length, a lower bound of the sequences that any packing needs)."""
     lengths = np.array(sorted(demand), np.int64)
-    total = np.array([demand[x] for x in lengths.tolist()], float)
-    rest = np.zeros(capacity + 1)
-    rest[lengths] = total
-    amounts: dict[tuple[tuple[int, int], ...], float] = {}
+    total = np.array([demand[x] for x in lengths.tolist()], np.int64)
+    rest, log_weight, rng = total.copy(), np.zeros(len(lengths)), np.random.default_rng(11)
+    used: dict[Configuration, int] = {}
+    # bounds are of the whole demand; the first come from prices of which no sequence can hold more than 1: floor((k + 1) * length / capacity) / k
+    # (length / capacity, where (k + 1) * length / capacity is whole)
+    bound = max(float(np.where((k + 1) * lengths % capacity == 0, lengths / capacity, (k + 1) * lengths // capacity / k) @ total) for k in range(1, 6))
     for turn in range(rounds):
-        open_ = rest[lengths] > 1e-3
-        if not open_.any():
+        if turn % 16 == 0 or turn == rounds - 1:
+            prices = lengths / capacity * np.exp(log_weight - log_weight.max())
+            bound = max(bound, float(prices @ total) / float(knapsack(lengths, prices, copies(lengths, total, capacity), capacity)[0][-1]))
+        if rest.sum() <= LEFT * total.sum() or slack > 0.25:
             break
-        here = lengths[open_]
-        uncovered = rest[here] / total[open_]
-        # long pieces first: they are the hard ones to place
-        prices = here / capacity * np.exp(uncovered - uncovered.max()) ** 0.5 * (1 + here / capacity / 4)
-        _, last = knapsack(here, prices, capacity)
-        share = 0.5 if turn < rounds - 4 else 1.0
-        for anchor in here[::-1].tolist():
-            if rest[anchor] <= 1e-3:
-                continue
-            config = _filling(last, capacity - anchor)
-            config[anchor] = config.get(anchor, 0) + 1
-            times = share * min(rest[k] / v for k, v in config.items())
-            if times <= 1e-4:
-                continue
-            key = tuple(sorted(config.items(), reverse=True))
-            amounts[key] = amounts.get(key, 0.0) + times
-            for k, v in config.items():
-                rest[k] -= times * v
-    return amounts
+        here = rng.permutation(np.flatnonzero(rest))
+        price = lengths / capacity * np.exp(log_weight - log_weight[here].max())
+        tables = []
+        for own in np.array_split(here, max(1, len(here) // GROUP)):
+            own = np.sort(own)
+            parts = copies(lengths[own], rest[own], capacity)
+            tables.append((own, lengths[own].tolist(), parts, *knapsack(lengths[own], price[own], parts, capacity)))
+        most = max(t[3][-1] for t in tables)
+        before = rest.copy()
+        for own, sizes, parts, best, takes, last in tables:
+            good = price[own] + best[capacity - lengths[own]] >= (1 - slack) * most
+            for j in np.flatnonzero(good)[::-1].tolist():
+                if not rest[own[j]]:
+                    continue
+                content = _filling(takes, last, parts, sizes, capacity - sizes[j])
+                content[j] = content.get(j, 0) + 1
+                times = min(int(rest[own[i]]) // k for i, k in content.items())
+                if times:
+                    key = tuple(sorted(((sizes[i], k) for i, k in content.items()), reverse=True))
+                    used[key] = used.get(key, 0) + times
+                    for i, k in content.items():
+                        rest[own[i]] -= times * k
+        log_weight -= ETA * (before - rest) / total
+        if (before == rest).all():
+            slack *= 2
+    return used, {int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}, bound
 
 
 def best_fit(items: list[int], capacity: int) -> list[list[int]]:
@@ -150,33 +188,16 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def plan(demand: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def plan(demand: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
     """Whole numbers of configurations that hold the demand exactly."""
-    rest = dict(demand)
-    chosen: dict[tuple[tuple[int, int], ...], int] = {}
-
-    def take(key: tuple[tuple[int, int], ...], times: int) -> None:
-        times = min([times, *(rest[k] // v for k, v in key)])
-        if times > 0:
-            chosen[key] = chosen.get(key, 0) + times
-            for k, v in key:
-                rest[k] -= times * v
-
-    amounts = configuration_lp(demand, capacity) if demand else {}
-    full = lambda key: sum(k * v for k, v in key)
-    for key, x in amounts.items():
-        take(key, int(x))
-    for key, _ in sorted(amounts.items(), key=lambda kx: (-full(kx[0]), -(kx[1] % 1))):
-        if full(key) >= capacity - capacity // 512:  # rounding up only where hardly any room is lost
-            take(key, 1)
-    left = [k for k, v in rest.items() for _ in range(v)]
-    for content in best_fit(left, capacity):
-        key = tuple(sorted(((x, content.count(x)) for x in set(content)), reverse=True))
+    chosen, rest, _ = configuration_lp(demand, capacity) if demand else ({}, {}, 0.0)
+    for content in best_fit([k for k, v in rest.items() for _ in range(v)], capacity):
+        key = tuple(sorted(Counter(content).items(), reverse=True))
         chosen[key] = chosen.get(key, 0) + 1
     return list(chosen.items())
 
 
-def runs(chosen: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
+def runs(chosen: list[tuple[Configuration, int]]) -> np.ndarray:
     """Rows (length, first rank, sequence of that rank, offset), by length and rank: rank first + i lies in sequence + i."""
     rank: dict[int, int] = {}
     out, sequence = [], 0

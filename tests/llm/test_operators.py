@@ -533,6 +533,74 @@ def test_plan_is_near_the_bound():
     assert sum(t for _, t in chosen) <= 1.002 * -(-sum(k * v for k, v in demand.items()) // 4096)
 
 
+def least_bins(items, capacity):
+    """The optimum by trying all ways, each piece in an open bin or a new one."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= items[i] and rooms[j] not in rooms[:j]:
+                put(i + 1, [*rooms[:j], rooms[j] - items[i], *rooms[j + 1 :]])
+        put(i + 1, [*rooms, capacity - items[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plan_against_the_optimum():
+    rng = random.Random(21)
+    over = 0
+    for _ in range(60):
+        items = [rng.randint(1, 30) if rng.random() < 0.5 else rng.choice([11, 16, 7]) for _ in range(rng.randint(1, 9))]
+        demand = Counter(items)
+        chosen, rest, bound = packing.configuration_lp(dict(demand), 30)
+        n, best = sum(t for _, t in packing.plan(dict(demand), 30)), least_bins(items, 30)
+        assert bound <= best + 1e-9 and best <= n <= best + 1
+        over += n > best
+        assert Counter({k: 0 for k in demand}) + demand == Counter(rest) + sum((Counter({k: v * t for k, v in key}) for key, t in chosen.items()), Counter())
+    assert over <= 6
+    for length in (16, 30):  # the bound knows that two of these fit no sequence
+        assert packing.configuration_lp({length: 40, 1: 3}, 30)[2] == pytest.approx(40, abs=0.2)
+
+
+def test_knapsack_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths, most = np.sort(rng.choice(np.arange(1, 20), 4, replace=False)), rng.integers(1, 6, 4)
+        prices = rng.random(4)
+        parts = packing.copies(lengths, most, 40)
+        best, takes, last = packing.knapsack(lengths, prices, parts, 40)
+        ways = np.stack(np.meshgrid(*(np.arange(m + 1) for m in most), indexing="ij"), -1).reshape(-1, 4)
+        for c in range(41):
+            assert best[c] == pytest.approx((ways[ways @ lengths <= c] @ prices).max())
+            got = packing._filling(takes, last, parts, lengths.tolist(), c)
+            assert sum(k * prices[i] for i, k in got.items()) == pytest.approx(best[c]) and sum(k * lengths[i] for i, k in got.items()) <= c
+
+
+def test_most_pieces_are_placed_by_the_program():
+    rng = np.random.default_rng(5)
+    demand = Counter(np.minimum(4096, rng.lognormal(6, 1, 3000).astype(int) + 1).tolist())
+    _, rest, bound = packing.configuration_lp(dict(demand), 4096)
+    assert sum(rest.values()) <= 0.1 * sum(demand.values())
+    assert bound >= sum(k * v for k, v in demand.items()) / 4096 - 1e-6
+
+
+def test_packing_of_nulls_and_repeats(spark):
+    rows = [(None, "a b", None, None)] * 3 + [(7, None, None, None), (7, "x", None, None), (7, "x", None, None)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = packing.pack(packing.token_pieces(spark.createDataFrame(rows, SCHEMA), path, spaced=False, end_id=1)).collect()
+    assert Counter(r["doc_id"] for r in out) == {None: 3, 7: 3} and len({r["sequence_id"] for r in out}) == 1
+    at = 0
+    for r in sorted(out, key=lambda r: r["offset"]):
+        assert r["offset"] == at
+        at += r["length"]
+
+
 PAGE = '<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav>{top}<article><h1>A &amp; b</h1><p><b>One&nbsp;two<br>three<p>Fo<i>ur</i>{inside}</article><aside>Side</aside><div class="cookie-notice">We use</div><footer>F</footer>'
 
 
