@@ -5,14 +5,16 @@ divided by their sum, so that one threshold serves all items: the share of an it
 the index keeps the largest impact in each block of BLOCK items, and over all items.
 
 Search: passages are windows of twice the longest item, each half a window after the last, so that any copy of an item lies
-whole in one of them. A passage whose terms' largest impacts can't sum to the threshold is left; of the others, the
-blocks whose block maxima can't reach it are left; the items of the remaining blocks are scored exactly. All items at or above the threshold
+whole in one of them. A passage whose terms' largest impacts can't sum to the threshold is left. The others go over the terms' lists of blocks: a block whose maxima
+can't reach the threshold is skipped, and none of its postings is read. In a block that is left every term has a cursor. The cursors stand in order of their items; the
+first of them up to which the block's maxima reach the threshold is the pivot. Cursors before it move on to the pivot's item, for none between can
+reach the threshold; where all stand on it, it is scored exactly. All passages of a run of texts take these steps together. All items at or above the threshold
 are retrieved. Each is verified: the word trigrams of its question and of its answer (the last quarter of its words, where the
 item is one text) must both lie in the passage to the share `overlap`.
 
-The index is built from at most INDEX_BYTES of item text at a time; a larger benchmark is split by a hash of the item into
-several indexes, and every passage is searched in each. All of them use the statistics of the whole benchmark (gathered first), so the split changes no
-result. That bounds what is broadcast. Nothing is shuffled.
+Items of much different lengths lie in different indexes (up to 64 words, 256, 1024, ...), so that a long item doesn't stretch the passages of the others;
+and an index is built from at most about INDEX_BYTES of item text, dealt by a hash of the item. All indexes use the statistics of the whole benchmark (gathered first), so
+the split changes no score. A worker opens one index at a time, for runs of HELD_BYTES of text. Nothing is shuffled.
 
 Cases: null or empty texts and items match nothing. Items shorter than three words are compared as a whole. Repeated items are
 reported under each id, null item ids are left out. Rows are kept as they are, repeated ones too. Empty tables on either side give no match.
@@ -36,6 +38,8 @@ from cartolith.llm.textkernels import FOLD, Words, slices, window_hash
 
 BLOCK = 16
 INDEX_BYTES = 16 << 20
+HELD_BYTES = 32 << 20
+SHORTEST = 64
 K1, B = 1.2, 0.75
 
 
@@ -49,14 +53,13 @@ def _spread(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Statistics(NamedTuple):
     items: int
     words: int
-    longest: int
     terms: np.ndarray  # sorted hashes
     df: np.ndarray
 
     def __add__(self, other: "Statistics") -> "Statistics":
         terms, at = np.unique(np.concatenate((self.terms, other.terms)), return_inverse=True)
         df = np.bincount(at, np.concatenate((self.df, other.df)), len(terms)).astype(np.int64)
-        return Statistics(self.items + other.items, self.words + other.words, max(self.longest, other.longest), terms, df)
+        return Statistics(self.items + other.items, self.words + other.words, terms, df)
 
 
 def statistics(texts: list[str]) -> Statistics:
@@ -65,7 +68,7 @@ def statistics(texts: list[str]) -> Statistics:
     terms, term = np.unique(words.hashes(), return_inverse=True)
     pair = np.unique(term * max(1, len(texts)) + words.text_of_word())
     counts = words.counts
-    return Statistics(int((counts > 0).sum()), int(counts.sum()), int(counts.max()) if len(counts) else 0, terms, np.bincount(pair // max(1, len(texts)), minlength=len(terms)))
+    return Statistics(int((counts > 0).sum()), int(counts.sum()), terms, np.bincount(pair // max(1, len(texts)), minlength=len(terms)))
 
 
 class Index:
@@ -83,7 +86,7 @@ class Index:
             cut = len(own) - max(1, len(own) // 4) if len(own) > 1 else 0
             parts = (own[:cut], own[cut:]) if len(own) >= 8 else (own, own)
             self.grams.append([(min(3, len(x)), np.unique(window_hash(x, min(3, len(x))))) for x in parts])
-        self.longest = whole.longest
+        self.longest = int(words.counts.max()) if len(words.counts) else 0
         number = np.full(len(words.counts), -1)
         number[keep] = np.arange(len(keep))
         item = number[words.text_of_word()]
@@ -103,6 +106,7 @@ class Index:
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
         at = np.flatnonzero(new)
         self.block = block[at]
+        self.block_from = np.concatenate((at, [len(item)]))  # postings of each entry of the lists of blocks
         self.block_max = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
         self.block_offsets = np.concatenate(([0], np.cumsum(np.bincount(term[at], minlength=len(self.terms)))))
         self.most = np.maximum.reduceat(self.impact, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
@@ -110,16 +114,44 @@ class Index:
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all that reach the threshold; (passage, term) pairs are distinct and sorted by passage."""
-        who, at = _spread(self.block_offsets, term)
-        key, inverse = np.unique(passage[who] * self.blocks + self.block[at], return_inverse=True)
-        alive = key[np.bincount(inverse, self.block_max[at], len(key)) >= threshold - 1e-9]
-        who, at = _spread(self.offsets, term)
-        near = np.isin(passage[who] * self.blocks + self.item[at] // BLOCK, alive)
-        who, at = who[near], at[near]
-        key, inverse = np.unique(passage[who] * len(self.ids) + self.item[at], return_inverse=True)
-        score = np.bincount(inverse, self.impact[at], len(key))
-        hit = score >= threshold - 1e-9
-        return key[hit] // len(self.ids), key[hit] % len(self.ids), score[hit]
+        threshold -= 1e-9
+        who, entry = _spread(self.block_offsets, term)
+        key, place = np.unique(passage[who] * self.blocks + self.block[entry], return_inverse=True)
+        live = np.bincount(place, self.block_max[entry], len(key)) >= threshold
+        near = live[place]  # the other blocks are skipped
+        place, entry = place[near], entry[near]
+        bound, at, end = self.block_max[entry], self.block_from[entry], self.block_from[entry + 1]
+        found = []
+        while len(at):
+            item = self.item[at]
+            order = np.lexsort((item, place))
+            place, item, bound, at, end = (x[order] for x in (place, item, bound, at, end))
+            first = np.concatenate(([True], place[1:] != place[:-1]))
+            group = np.cumsum(first) - 1
+            heads = np.flatnonzero(first)
+            upto = np.cumsum(bound)
+            upto -= (upto[heads] - bound[heads])[group]
+            reach = np.flatnonzero(upto >= threshold)
+            pivot = np.full(len(heads), -1)  # the pivot's item, where there is one
+            at_group, one = np.unique(group[reach], return_index=True)
+            pivot[at_group] = item[reach[one]]
+            aim = pivot[group]
+            scored = (item[heads] == pivot)[group] & (item == aim)
+            if scored.any():
+                score = np.bincount(group[scored], self.impact[at[scored]], len(heads))
+                hit = np.flatnonzero(score >= threshold)
+                found.append((key[place[heads[hit]]] // self.blocks, pivot[hit], score[hit]))
+            at = np.where(scored, at + 1, at)
+            behind = np.flatnonzero(item < aim)
+            while len(behind):  # a block's list holds BLOCK postings at most
+                at[behind] += 1
+                behind = behind[at[behind] < end[behind]]
+                behind = behind[self.item[at[behind]] < aim[behind]]
+            stay = (aim >= 0) & (at < end)
+            place, bound, at, end = (x[stay] for x in (place, bound, at, end))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def verified(self, item: int, passage: np.ndarray, overlap: float) -> bool:
         """Whether the hashes of a passage's words hold enough of the item's question and of its answer."""
@@ -162,17 +194,36 @@ def search(index: Index, texts: pa.Array, threshold: float, overlap: float) -> l
     return [(d, i, s) for (d, i), s in sorted(found.items())]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices in lists of about HELD_BYTES."""
+    held, size = [], 0
+    for part in slices(batches):
+        held.append(part)
+        size += part.nbytes
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _match(indexes: list, threshold: float, overlap: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = [pickle.loads(shipped.value) for shipped in indexes]
-        for part in slices(batches):
-            items: list[list[int]] = [[] for _ in range(part.num_rows)]
-            best = [0.0] * part.num_rows
-            for index in opened:
-                for d, i, s in search(index, part.column("text"), threshold, overlap):
-                    items[d].append(int(index.ids[i]))
-                    best[d] = max(best[d], s)
-            yield pa.record_batch({"row": part.column("row"), "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.int64())), "score": pa.array(best, pa.float64())})
+        index, number = None, -1
+        for held in _runs(batches):
+            items: list[list[list[int]]] = [[[] for _ in range(part.num_rows)] for part in held]
+            best = [[0.0] * part.num_rows for part in held]
+            for i, shipped in enumerate(indexes):
+                if number != i:
+                    index = None
+                    index, number = pickle.loads(shipped.value), i
+                    shipped.__dict__.pop("_value", None)  # the bytes are read again when they are needed again
+                for k, part in enumerate(held):
+                    for d, item, score in search(index, part.column("text"), threshold, overlap):
+                        items[k][d].append(int(index.ids[item]))
+                        best[k][d] = max(best[k][d], score)
+            for part, own, score in zip(held, items, best, strict=True):
+                yield pa.record_batch({"row": part.column("row"), "item_ids": pa.array([sorted(x) for x in own], pa.list_(pa.int64())), "score": pa.array(score, pa.float64())})
 
     return match
 
@@ -182,20 +233,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     spark = docs.sparkSession
     bound_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = -(-size // INDEX_BYTES)
+    count = F.size(F.split(F.trim("text"), r"\s+"))
+    items = items.withColumn("kind", F.greatest(F.lit(0), F.ceil(F.log2(count / SHORTEST) / 2)).cast("int"))  # of lengths up to SHORTEST * 4 ** kind
+    sizes = {r["kind"]: r["size"] for r in items.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    groups = [(kind, g, -(-size // INDEX_BYTES)) for kind, size in sorted(sizes.items()) for g in range(-(-size // INDEX_BYTES))]
 
-    def group(g: int) -> list[tuple[int, str]]:
-        return sorted((r["id"], r["text"]) for r in items.where(F.expr(f"pmod(xxhash64(id), {groups}) = {g}")).collect())
+    def group(kind: int, g: int, n: int) -> list[tuple[int, str]]:
+        return sorted((r["id"], r["text"]) for r in items.where(F.expr(f"kind = {kind} and pmod(xxhash64(id), {n}) = {g}")).collect())
 
     common = None
-    if groups > 1:
-        for g in range(groups):
-            own = statistics([text for _, text in group(g)])
+    if len(groups) > 1:
+        for one in groups:
+            own = statistics([text for _, text in group(*one)])
             common = own if common is None else common + own
     indexes = []
-    for g in range(groups):
-        rows = group(g)
+    for one in groups:
+        rows = group(*one)
         indexes.append(spark.sparkContext.broadcast(cloudpickle.dumps(Index([r[0] for r in rows], [r[1] for r in rows], common))))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
