@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import langid
@@ -30,11 +30,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates (word 5-shingles, Jaccard similarity 0.8 or more).
 
-    Rows of one id are one document, of which one row stays; rows without an id all stay.
+    Rows of one id are one document: all its texts stay or go, each text once (the row whose hash is smallest). Rows without an id all stay.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), threshold=(80, 100)).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+    rows = named.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), place.alias("place")).where("place = 1").select("row.*")
+    return rows.union(docs.where("doc_id is null"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
