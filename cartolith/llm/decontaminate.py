@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches
+from cartolith.llm.shared import bound_batches, lean
 from cartolith.llm.textkernels import FOLD, Words, slices, window_hash
 
 BLOCK = 16
@@ -252,4 +252,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         indexes.append(spark.sparkContext.broadcast(cloudpickle.dumps(Index([r[0] for r in rows], [r[1] for r in rows], common))))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
-    return whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").mapInArrow(_match(indexes, threshold, overlap), f"row {kind}, item_ids array<long>, score double")
+    return whole.select(F.col("row")[text_col].cast("string").alias("text"), "row").mapInArrow(lean(_match(indexes, threshold, overlap)), f"row {kind}, item_ids array<long>, score double")

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches
+from cartolith.llm.shared import bound_batches, worker_cache
 from cartolith.llm.textkernels import Words, mix, slices
 
 ORDER = 5
@@ -190,17 +189,15 @@ class _Cache:
 
 
 def _cache(model: Model) -> _Cache:
-    kept = sys.__dict__.setdefault("_corpus_languages", {})
-    if model.digest not in kept:
-        kept.clear()
-        kept[model.digest] = _Cache(model)
-    return kept[model.digest]
+    return worker_cache("languages", model.digest, lambda: _Cache(model))
 
 
 def _predict(shipped):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = pickle.loads(shipped.value)
+        shipped.__dict__.pop("_value", None)
         cache = _cache(model)
+        model = cache.model  # one copy in the worker
         for part in slices(batches):
             texts = part.column("text")
             words = Words(texts)

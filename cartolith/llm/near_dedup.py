@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.graph import components
-from cartolith.llm.shared import bound_batches, discard, materialise
+from cartolith.llm.shared import bound_batches, discard, lean, lean_group, materialise
 from cartolith.llm.textkernels import Words, mix, slices, window_hash
 
 BLOCK = 256
@@ -192,7 +192,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(node, label, key) of each set's prefix, without the shingles that only one label holds; and the table it reads."""
-    held = members.join(sets, F.col("node") == F.col("id")).select("node", "label", "hashes").mapInArrow(_spread, "node long, label long, n long, key long")
+    held = members.join(sets, F.col("node") == F.col("id")).select("node", "label", "hashes").mapInArrow(lean(_spread), "node long, label long, n long, key long")
     held = materialise(held, "held")
     shared = held.groupBy("key").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "df")
     # the n - s shingles that no other label holds come first, so s - ceil(t * n) + 1 of the shared ones belong to the prefix
@@ -231,7 +231,7 @@ def _rest(pairs: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
     tasks = left.join(right, "cluster").where("block_l <= block_r and not (big_l is not null and big_r is not null and big_l = big_r)")
     tasks = tasks.select("cluster", F.xxhash64("cluster", "block_l", "block_r").alias("task"), F.explode(F.array_distinct(F.array("block_l", "block_r"))).alias("block"))
     dealt = placed.withColumn("block", F.xxhash64("big", "part", F.lit(1))).join(tasks, ["cluster", "block"]).join(sets, F.col("node") == F.col("id"))
-    return dealt.select("task", "node", "label", "hashes").groupBy("task").applyInArrow(_compare(num, den), "a long, b long"), [found, merged, placed]
+    return dealt.select("task", "node", "label", "hashes").groupBy("task").applyInArrow(lean_group(_compare(num, den)), "a long, b long"), [found, merged, placed]
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k: int = 5, rows: int = 5, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     num, den = threshold
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = plan_bands(num / den, rows, miss)
-    signed = materialise(slim.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, print binary, bands array<long>"), "signed")
+    signed = materialise(slim.mapInArrow(lean(_signatures(k, bands, rows)), "doc_id long, n_shingles long, print binary, bands array<long>"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # written first, so that the join below deals its rows by itself and Spark can split a print that holds very many of them
     classes = materialise(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
@@ -254,9 +254,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     pairs = materialise(keyed.join(leaders, "key").where("node <> leader").select("key", "leader", "node"), "pairs")
     candidates = pairs.select("leader", "node").distinct()
     wanted = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("leader")).distinct()
-    sets = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, hashes binary").where("length(hashes) > 0"), "sets")
+    sets = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(lean(_sets(k)), "id long, hashes binary").where("length(hashes) > 0"), "sets")
     checked = candidates.join(sets.select(F.col("id").alias("node"), F.col("hashes").alias("x")), "node").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")), "leader")
-    links = materialise(checked.select("leader", "node", "x", "y").mapInArrow(_confirm(num, den), "leader long, node long, ok boolean").where("ok").select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+    links = materialise(checked.select("leader", "node", "x", "y").mapInArrow(lean(_confirm(num, den)), "leader long, node long, ok boolean").where("ok").select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
     labels = components(links)
     more = _rest(pairs.select("key", "node"), labels, sets, num, den)
     if more is not None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, materialise, partitions
+from cartolith.llm.shared import bound_batches, lean, materialise, partitions
 from cartolith.llm.textkernels import slices
 from cartolith.llm.tokenise import encoder
 
@@ -238,4 +238,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.xxhash64("row"))) - 1)
     ranked = ranked.join(before, ["length", "salt"]).select("row", "length", (F.col("before") + F.col("own")).alias("rank"))
     kind = rows.schema["row"].dataType.simpleString()
-    return ranked.mapInArrow(_place(table), f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
+    return ranked.mapInArrow(lean(_place(table)), f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +52,49 @@ def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) <= 0 or int(now) > size:
         spark.conf.set(name, str(size))
+
+
+def worker_cache(name: str, key: str, make: Callable[[], object]) -> object:
+    """make(), kept in the worker from task to task. A worker holds one such object: another name or key takes its place."""
+    kept = sys.__dict__.setdefault("_corpus_cache", {})
+    if (name, key) not in kept:
+        kept.clear()
+        give_back()
+        kept[name, key] = make()
+    return kept[name, key]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system: Python and Arrow keep it otherwise, for as long as Spark keeps the worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """f, for mapInArrow, in a worker without another operator's cache; memory goes back at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.__dict__.setdefault("_corpus_cache", {}).clear()
+        give_back()
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow: memory goes back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sys.__dict__.setdefault("_corpus_cache", {}).clear()
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    return run

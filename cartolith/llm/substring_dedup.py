@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, materialise, partitions
+from cartolith.llm.shared import bound_batches, lean, lean_group, materialise, partitions
 from cartolith.llm.textkernels import Words, mix, same_spans, slices, span_hash, window_hash
 
 BUCKET_WINDOWS = 1 << 19
@@ -340,7 +340,7 @@ def hot_minimisers(slim: DataFrame, width: int, tasks: int) -> tuple[int, np.nda
     """(windows of all texts, sorted hashes of the hot minimisers)."""
     most = int(slim.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0)  # no text has more words than every second byte
     limit = max(BUCKET_WINDOWS // 2, 2 * most // MAX_HOT)
-    counts = slim.select("text").mapInArrow(_count(width, limit / (2 * max(1, tasks))), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    counts = slim.select("text").mapInArrow(lean(_count(width, limit / (2 * max(1, tasks)))), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     rows = counts.where((F.col("n") >= limit // 2) | F.col("minimiser").isNull()).toArrow()  # MAX_HOT rows at most, and the total
     whole = pc.is_null(rows.column("minimiser"))
     hot = rows.filter(pc.invert(whole)).column("minimiser").to_numpy().astype(np.int64).view(np.uint64)
@@ -355,14 +355,14 @@ def removed_ranges(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     tasks = max(1, slim.rdd.getNumPartitions())
     total, hot = hot_minimisers(slim, width, tasks)
     buckets = max(partitions(spark), -(-total // BUCKET_WINDOWS))
-    dealt = slim.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_deal(width, buckets, math.isqrt(tasks) + 1, hot), BUCKET_TYPE)
+    dealt = slim.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(lean(_deal(width, buckets, math.isqrt(tasks) + 1, hot)), BUCKET_TYPE)
     kind = "doc_id long, th long, lo int, hi int, bucket int, n int, blob binary"
-    found = dealt.groupBy("bucket", "salt").applyInArrow(_settle(width), kind)
+    found = dealt.groupBy("bucket", "salt").applyInArrow(lean_group(_settle(width)), kind)
     if not len(hot):
         return found.select("doc_id", "th", "lo", "hi")
     found = materialise(found, "settled")
     onward = found.where("blob is not null").select("bucket", F.lit(-1).alias("salt"), F.lit(0).alias("kind"), "n", "blob")
-    last = onward.groupBy("bucket").applyInArrow(_settle(width), kind)
+    last = onward.groupBy("bucket").applyInArrow(lean_group(_settle(width)), kind)
     return found.where("blob is null").union(last).select("doc_id", "th", "lo", "hi")
 
 
@@ -376,5 +376,5 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     left = left.select("row", F.col("row")[id_col].cast("long").alias("k"), F.xxhash64(F.col("row")[text_col].cast("string")).alias("k_th"))
     joined = left.join(ranges, (left["k"] == ranges["doc_id"]) & (left["k_th"] == ranges["th"]), "left")
     return joined.select(F.col("row")[text_col].cast("string").alias("text"), "row", "ranges").mapInArrow(
-        _remove, f"kept_text string, n_words long, n_removed long, row {docs.select(F.struct(*(F.col(f'`{c}`') for c in docs.columns)).alias('row')).schema['row'].dataType.simpleString()}"
+        lean(_remove), f"kept_text string, n_words long, n_removed long, row {docs.select(F.struct(*(F.col(f'`{c}`') for c in docs.columns)).alias('row')).schema['row'].dataType.simpleString()}"
     )

@@ -15,12 +15,12 @@ Cases: a null text is empty; an empty or blank one has the ids of its white spac
 from __future__ import annotations
 
 import os
-import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cartolith.llm.shared import worker_cache
 from cartolith.llm.textkernels import SPACE, span_hash
 
 CACHE_WORDS = 1 << 21
@@ -173,8 +173,5 @@ class Encoder:
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    kept = sys.__dict__.setdefault("_corpus_encoders", {})
-    if (path, spaced) not in kept:
-        kept[path, spaced] = Encoder(path, spaced)
-    return kept[path, spaced]
+    """The worker's encoder."""
+    return worker_cache("encoder", f"{path} {spaced}", lambda: Encoder(path, spaced))
