@@ -210,13 +210,15 @@ def geohash_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(geohash.roots()).alias("gh"))
 
 
-_LONG = "event_id * 922337203685477 + 12345"
+# all of the unsigned 64-bit numbers, those above 2**63 too
+_LONG = "CAST(event_id AS {0}) * CAST('11400714819323198485' AS {0}) % CAST('18446744073709551616' AS {0})"
 _BASE = " || ".join(f"substr('{geohash.ALPHABET}', CAST(1 + ((x >> {5 * k}) & 31) AS INTEGER), 1)" for k in range(11, -1, -1))
 
 
-@_query(f"SELECT event_id, {_BASE} AS gh FROM (SELECT event_id, ({_LONG}) & 1152921504606846975 AS x FROM events)")
+@_query(f"SELECT event_id, CAST(x AS VARCHAR) AS x, {_BASE} AS gh FROM (SELECT event_id, {_LONG.format('HUGEINT')} AS x FROM events)")
 def geohash_encode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", geohash.encode_long(F.expr(_LONG)).alias("gh"))
+    x = F.expr(_LONG.format("DECIMAL(38,0)").replace("CAST(event_id AS DECIMAL(38,0))", "CAST(event_id AS DECIMAL(18,0))")).cast("decimal(20,0)").cast("string")
+    return _table(spark, sf_dir, "events").select("event_id", x.alias("x"), geohash.encode_long(x).alias("gh"))
 
 
 @_query(
