@@ -271,6 +271,36 @@ def filter_contains_negate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_contains(_point_lines(spark, sf_dir), _box_queries(spark, sf_dir), negate=True).select("line_no")
 
 
+# Lines, triangles and pairs of points against the boxes. A convex shape and a box are apart only along an axis or across one of the shape's edges.
+_SHAPE = (
+    "CASE event_id % 3 WHEN 0 THEN concat('LINESTRING(', lon, ' ', lat, ',', lon + 1, ' ', lat + 2, ')') WHEN 1 THEN concat('POLYGON((', lon, ' ', lat, ',', lon + 3, ' ', lat, ',', lon, ' ', lat + 2, ',', lon, ' ', lat, '))') "
+    "ELSE concat('MULTIPOINT((', lon, ' ', lat, '),(', lon + 1, ' ', lat, '))') END"
+)
+_SIDES = [f"(1 * ({y} - lat) - 2 * ({x} - lon))" for x in ("x0", "x1") for y in ("y0", "y1")]
+_MEETS = (
+    f"CASE event_id % 3 WHEN 0 THEN lon <= x1 AND lon + 1 >= x0 AND lat <= y1 AND lat + 2 >= y0 AND least({', '.join(_SIDES)}) <= 0 AND greatest({', '.join(_SIDES)}) >= 0 "
+    "WHEN 1 THEN lon <= x1 AND lon + 3 >= x0 AND lat <= y1 AND lat + 2 >= y0 AND 2 * (x0 - lon) + 3 * (y0 - lat) <= 6 ELSE lat BETWEEN y0 AND y1 AND (lon BETWEEN x0 AND x1 OR lon + 1 BETWEEN x0 AND x1) END"
+)
+_HOLDS = (
+    "CASE event_id % 3 WHEN 0 THEN lon >= x0 AND lon + 1 <= x1 AND lat >= y0 AND lat + 2 <= y1 WHEN 1 THEN lon >= x0 AND lon + 3 <= x1 AND lat >= y0 AND lat + 2 <= y1 "
+    "ELSE lon > x0 AND lon + 1 < x1 AND lat > y0 AND lat < y1 END"
+)
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.parse(_points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr(_SHAPE).alias("value")))
+
+
+@_query(_sql_filter(_MEETS, False))
+def filter_intersects_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_intersects(_shapes(spark, sf_dir), _box_queries(spark, sf_dir)).select("line_no")
+
+
+@_query(_sql_filter(_HOLDS, False))
+def filter_contains_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_contains(_shapes(spark, sf_dir), _box_queries(spark, sf_dir)).select("line_no")
+
+
 STAR = [(-100.0, -40.0), (30.0, -60.0), (120.0, -20.0), (60.0, 10.0), (100.0, 70.0), (0.0, 30.0), (-90.0, 60.0), (-40.0, 0.0), (-100.0, -40.0)]
 _EDGES = ", ".join(f"({float(a[0])}::DOUBLE, {float(a[1])}::DOUBLE, {float(b[0])}::DOUBLE, {float(b[1])}::DOUBLE)" for a, b in zip(STAR, STAR[1:], strict=False))
 
@@ -362,6 +392,21 @@ def coord_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).select("line_no", transform.coord_count().alias("coord_count"))
 
 
+# a middle vertex off the line by 1/8, 2/8, ... degrees goes where its triangle (of base 2) is no larger than 0.3
+_OFF = "CAST(1 + event_id % 8 AS DOUBLE) / 8"
+
+
+@_query(
+    f"SELECT line_no, CASE WHEN off <= 0.3 THEN 2 ELSE 3 END AS coord_count, concat('LINESTRING(', {_PLAIN.format('lon')}, ' ', {LAT_P}, ',', CASE WHEN off > 0.3 THEN concat({LON1_P}, ' ', {_PLAIN.format('lat + off')}, ',') ELSE '' END, "
+    f"{_PLAIN.format('lon + 2')}, ' ', {LAT_P}, ')') AS wkt FROM (SELECT event_id AS line_no, lon, lat, {_OFF} AS off FROM {POINTS})"
+)
+def simplify_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = f"concat('LINESTRING(', lon, ' ', lat, ',', lon + 1, ' ', lat + {_OFF}, ',', lon + 2, ' ', lat, ')')"
+    done = transform.simplify(entities.parse(_points(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.expr(text).alias("value"))), 0.3)
+    again = entities.parse(done.select("line_no", "coord_count", "feature"), "feature")
+    return again.select("line_no", F.col("coord_count").cast("int").alias("coord_count"), entities.wkt().alias("wkt"))
+
+
 @_query(None)
 def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.concat((F.col("lon") / 2 + k).cast("string"), F.lit(" "), (F.col("lat") / 2 + F.pmod(k * k * F.col("event_id"), F.lit(7)) / 8).cast("string")))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.operators import entities
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_no, file): lines of text files; line_no ascends within a file, and files follow by name."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
-    return lines.select("value", (F.monotonically_increasing_id()).alias("line_no"), "file")
+    """(value, line_no, file): lines of text files, numbered from 0 through the files in the order of their paths.
+
+    Every block of a file is read by one task, in order, so a line's number is that of its block's first line plus its place in the block. One pass counts
+    the blocks' lines; the table of blocks is joined to the lines.
+    """
+    place = F.monotonically_increasing_id()
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), place.alias("_place"))
+    blocks = read.groupBy("file", "_at").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file", "_at")) - F.col("_n")  # a row a block: few enough for one task
+    blocks = blocks.select("file", "_at", (before - F.col("_first")).alias("_shift"))
+    return read.join(blocks, ["file", "_at"]).select("value", (F.col("_place") + F.col("_shift")).alias("line_no"), "file")
 
 
 def read_entities(spark: SparkSession, path: str, mode: str = "PERMISSIVE", compat: bool = False) -> DataFrame:

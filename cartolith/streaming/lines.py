@@ -1,4 +1,5 @@
-"""The same operators on unbounded lines: parsing, text forms, transforms and filters are stateless and run unchanged on a stream."""
+"""The same operators on unbounded lines: parsing, text forms, transforms, and filters by a static query set of bounded size are stateless and run
+unchanged on a stream."""
 
 from __future__ import annotations
 
