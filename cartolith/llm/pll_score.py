@@ -1,16 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
 Tokens are words, all of the corpus. The network, in numpy, sees the SIDE words before and after a place (never the place itself): their embeddings, one hidden
-layer, and a softmax in two levels (class, then token within its class), whose product is a proper distribution. Its tokens are the VOCAB - BUCKETS most
-frequent words, and BUCKETS hash buckets for the rest. A word of a bucket has the bucket's probability times its own within the bucket, n / (N + 1): n is its
-count in the corpus, N that of the bucket's words; what is left is for the words never counted. A document's score is the sum of the log probabilities of its words.
+layer, and a tree of softmaxes, whose product is a proper distribution. The HEAD most frequent words are leaves of two levels (class, word). The other words of the
+table, up to TABLE of them, lie in alphabetical order, so that inflections stand together, in GROUPS parts of about equal counts, which are nodes of three levels; within its part a word has
+its share of the part's count. Words too rare for the table (the cut is a count, so ties go together) and words never counted share one leaf of the last part evenly. A document's score is the sum of the
+log probabilities of its words.
 
-Training: the words of all documents are counted in Spark. Every task trains the same first weights on its own documents, at every place
-(one in `stride`, where that is more than 1); the tasks' weights are averaged, weighted by their places, in groups of FAN (a tree, so that no task and not the driver gathers
-more than FAN sets of weights). The counts are kept for every word, in a table that grows with the corpus; only the network has a fixed size.
+Training: the words of all documents are counted in Spark. The tree's biases begin as the counts say; so the first model is the unigram model of the corpus. Every task
+trains these first weights on its own documents, at every place (one in `stride`, where that is more than 1); the tasks' weights are averaged, weighted by their places, in groups of
+FAN (a tree, so that no task and not the driver gathers more than FAN sets of weights). So weights depend on how the corpus is dealt to tasks.
 
-Scoring: the network and the buckets' sizes go to the workers. The words of buckets are joined with the counts by their hash and come back as one mean of
-log n for each text. Neither side is collected. Equal texts share a mean, so copies count once.
+The network and the table go to the workers: both have a fixed greatest size, whatever the corpus. Scoring shuffles nothing.
 
 Cases: null or empty texts have no tokens, score 0 and mean null. Very long texts are scored in batches of places. Ties in frequency go to the smaller word.
 Repeated rows are scored alike. An empty table gives an empty result (the first weights). Other columns travel in a struct.
@@ -23,46 +23,78 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, materialise
-from cartolith.llm.textkernels import Words, mix, slices
+from cartolith.llm.shared import bound_batches, discard, lean, lean_group, materialise
+from cartolith.llm.textkernels import Words, slices
 
-VOCAB, BUCKETS, CLASSES = 1024, 64, 32
-WITHIN = VOCAB // CLASSES
+FANOUT = 32
+HEAD, GROUPS, TABLE = FANOUT * (FANOUT - 1), FANOUT * FANOUT, 1 << 20
+INPUTS = HEAD + GROUPS  # embeddings: head words, parts; then the pad
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 BATCH = 1 << 13
 FAN = 64
-NAMES = ("embed", "w", "b", "wc", "bc", "ww", "bw")
+SHAPES = {"embed": (INPUTS + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "w1": (HIDDEN, FANOUT), "b1": (FANOUT,)}
+SHAPES |= {"w2": (FANOUT, HIDDEN, FANOUT), "b2": (FANOUT, FANOUT), "w3": (FANOUT, HIDDEN, FANOUT), "b3": (FANOUT, FANOUT)}
+NEVER = -30.0
 
 
 class Vocabulary(NamedTuple):
-    top: np.ndarray  # hashes of the words with a token of their own, by frequency
-    totals: np.ndarray  # counted words of each bucket
-    counted: DataFrame  # word, n: all words
-
-
-def first_weights(seed: int = 5) -> dict[str, np.ndarray]:
+    hashes: np.ndarray  # sorted, of the table's words
+    node: np.ndarray  # of each: its number below HEAD, or HEAD + its part
+    share: np.ndarray  # log of its share within its node
+    rare: tuple[int, float]  # node and log share of any other word
+    counts: np.ndarray  # counted words of each node
+
+
+def vocabulary(words: pa.Array, n: np.ndarray, rare_kinds: int, rare_count: int) -> Vocabulary:
+    """words and their counts; rare_kinds: words too rare for the table, counted rare_count times together."""
+    by_word = pc.sort_indices(words).to_numpy()
+    words, n = words.take(pa.array(by_word)), n[by_word].astype(np.int64)
+    head = np.argsort(-n, kind="stable")[:HEAD]
+    node, share = np.empty(len(n), np.int64), np.zeros(len(n))
+    node[head] = np.arange(len(head))
+    tail = np.setdiff1d(np.arange(len(n)), head)
+    after = np.cumsum(n[tail])
+    whole = int(after[-1] if len(tail) else 0) + rare_count + 1
+    node[tail] = HEAD + np.minimum((after - n[tail] / 2) * GROUPS / whole, GROUPS - 1).astype(np.int64)
+    counts = np.bincount(node, n, INPUTS)
+    counts[INPUTS - 1] += rare_count + 1
+    share[tail] = np.log(n[tail] / counts[node[tail]])
+    h = Words(words).hashes()
+    order = np.argsort(h)
+    return Vocabulary(h[order], node[order].astype(np.int16), share[order].astype(np.float32), (INPUTS - 1, float(np.log((rare_count + 1) / counts[INPUTS - 1] / (rare_kinds + 1)))), counts)
+
+
+def tokens(h: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(node, log share within it) of words by their hashes."""
+    if not len(v.hashes):
+        return np.full(len(h), v.rare[0], np.int16), np.full(len(h), v.rare[1], np.float32)
+    at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+    known = v.hashes[at] == h
+    return np.where(known, v.node[at], v.rare[0]).astype(np.int16), np.where(known, v.share[at], v.rare[1]).astype(np.float32)
+
+
+def first_weights(v: Vocabulary | None = None, seed: int = 5) -> dict[str, np.ndarray]:
+    """Small random weights; with a vocabulary, biases by its counts."""
     rng = np.random.default_rng(seed)
-    shapes = {"embed": (VOCAB + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, WITHIN), "bw": (CLASSES, WITHIN)}
-    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and k != "bw" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-
-
-def token_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Ids of the words' hashes; vocabulary: word hashes in order of frequency."""
-    out = (VOCAB - BUCKETS + (mix(h) % np.uint64(BUCKETS))).astype(np.int32)
-    if len(vocabulary):
-        order = np.argsort(vocabulary)
-        at = order[np.minimum(np.searchsorted(vocabulary, h, sorter=order), len(order) - 1)]
-        out = np.where(vocabulary[at] == h, at, out).astype(np.int32)
-    return out
+    w = {k: (np.zeros(s) if k in ("b", "b1", "b2", "b3") else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
+    if v is not None:
+        parts = v.counts[HEAD:].reshape(FANOUT, FANOUT)
+        second = np.concatenate((v.counts[:HEAD].reshape(-1, FANOUT), parts.sum(axis=1)[None]))
+        for k, c in (("b1", second.sum(axis=1)), ("b2", second), ("b3", parts)):
+            total = np.maximum(c.sum(axis=-1, keepdims=True), 1)
+            w[k] = np.where(c > 0, np.log(np.maximum(c, 1e-9) / total), NEVER).astype(np.float32)
+    return w
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Padded ids: SIDE pads before and after each text (VOCAB is the pad)."""
+    """Padded ids: SIDE pads before and after each text (INPUTS is the pad)."""
     n = np.diff(first)
-    out = np.full(len(ids) + 2 * SIDE * len(n), VOCAB, np.int32)
+    out = np.full(len(ids) + 2 * SIDE * len(n), INPUTS, np.int16)
     out[np.arange(len(ids)) + np.repeat(2 * SIDE * np.arange(len(n)) + SIDE, n)] = ids
     return out
 
@@ -73,7 +105,7 @@ def _around(padded: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each row's column `at`, and all probabilities (in the memory of x)."""
-    x -= np.ascontiguousarray(x.T).max(axis=0)[:, None]
+    x -= x.max(axis=1, keepdims=True)
     out = x[np.arange(len(x)), at]
     np.exp(x, out=x)
     s = x.sum(axis=1, keepdims=True)
@@ -81,91 +113,118 @@ def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out - np.log(s[:, 0]), x
 
 
-def forward(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probability of each target given its neighbours."""
-    x = w["embed"].take(around, axis=0).reshape(len(around), -1)
-    h = x @ w["w"]
-    h += w["b"]
-    np.tanh(h, out=h)
-    group = (target // WITHIN).astype(np.int16)
-    out, p_c = _softmax(h @ w["wc"] + w["bc"], group)
+def _level(h: np.ndarray, w: np.ndarray, b: np.ndarray, group: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each target below its own group's node."""
     order = np.argsort(group, kind="stable")
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=CLASSES)))).tolist()
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=FANOUT)))).tolist()
     hs = h[order]
-    logits = np.empty((len(target), WITHIN), np.float32)
-    for c in range(CLASSES):
-        a, b = cuts[c], cuts[c + 1]
-        if b > a:
-            np.matmul(hs[a:b], w["ww"][c], out=logits[a:b])
-            logits[a:b] += w["bw"][c]
-    log_w, p_w = _softmax(logits, (target % WITHIN)[order])
-    out[order] += log_w
-    return out, (x, h, hs, group, order, cuts, p_c, p_w)
-
-
-def step(w: dict[str, np.ndarray], speed: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> float:
-    """One adaptive gradient step of w and speed, in place; the mean log probability before it."""
-    out, (x, h, hs, group, order, cuts, p_c, p_w) = forward(w, around, target)
-    n = len(target)
-    g_c, g_w = p_c, p_w  # nothing reads the probabilities again
-    g_c[np.arange(n), group] -= 1
-    g_w[np.arange(n), (target % WITHIN)[order]] -= 1
-    g_c /= n
-    g_w /= n
-    grad = {"wc": h.T @ g_c, "bc": g_c.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-    g_h = g_c @ w["wc"].T
-    part = np.empty_like(hs)
-    for c in range(CLASSES):
-        a, b = cuts[c], cuts[c + 1]
-        if b > a:
-            np.matmul(hs[a:b].T, g_w[a:b], out=grad["ww"][c])
-            np.add.reduce(g_w[a:b], axis=0, out=grad["bw"][c])
-            np.matmul(g_w[a:b], w["ww"][c].T, out=part[a:b])
-    g_h[order] += part
+    logits = b[group[order]]
+    for c in range(FANOUT):
+        lo, hi = cuts[c], cuts[c + 1]
+        if hi > lo:
+            logits[lo:hi] += hs[lo:hi] @ w[c]
+    log_p, p = _softmax(logits, target[order])
+    out = np.empty_like(log_p)
+    out[order] = log_p
+    return out, (order, cuts, hs, p, target[order])
+
+
+def _level_back(state: tuple, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient of h, of w, of b) of the mean negative log probability over n places."""
+    order, cuts, hs, g, target = state
+    g[np.arange(len(g)), target] -= 1
+    g /= n
+    g_w, g_b, part = np.zeros_like(w), np.zeros((FANOUT, FANOUT), g.dtype), np.empty_like(hs)
+    for c in range(FANOUT):
+        lo, hi = cuts[c], cuts[c + 1]
+        if hi > lo:
+            np.matmul(hs[lo:hi].T, g[lo:hi], out=g_w[c])
+            np.add.reduce(g[lo:hi], axis=0, out=g_b[c])
+            np.matmul(g[lo:hi], w[c].T, out=part[lo:hi])
+    out = np.empty_like(part)
+    out[order] = part
+    return out, g_w, g_b
+
+
+def forward(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each node given its neighbours."""
+    x = w["embed"].take(around, axis=0).reshape(len(around), -1)
+    h = np.tanh(x @ w["w"] + w["b"])
+    deep = np.flatnonzero(node >= HEAD)
+    part = node[deep] - HEAD
+    second = node.copy()
+    second[deep] = HEAD + part // FANOUT
+    first = second // FANOUT
+    out, p1 = _softmax(h @ w["w1"] + w["b1"], first)
+    log_2, s2 = _level(h, w["w2"], w["b2"], first, second % FANOUT)
+    out += log_2
+    log_3, s3 = _level(h[deep], w["w3"], w["b3"], part // FANOUT, part % FANOUT)
+    out[deep] += log_3
+    return out, (x, h, first, p1, s2, s3, deep)
+
+
+def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(mean log probability, gradient of its negative)."""
+    out, (x, h, first, g1, s2, s3, deep) = forward(w, around, node)
+    n = len(node)
+    g1[np.arange(n), first] -= 1
+    g1 /= n
+    grad = {"w1": h.T @ g1, "b1": g1.sum(axis=0)}
+    g_h, grad["w2"], grad["b2"] = _level_back(s2, w["w2"], n)
+    g_h += g1 @ w["w1"].T
+    below, grad["w3"], grad["b3"] = _level_back(s3, w["w3"], n)
+    g_h[deep] += below
     g_h *= 1 - h * h
     grad["w"], grad["b"] = x.T @ g_h, g_h.sum(axis=0)
-    flat = around.ravel().astype(np.int16)
+    flat = around.ravel()
     same = np.argsort(flat, kind="stable")
     flat = flat[same]
     runs = np.flatnonzero(np.diff(flat, prepend=-1))
     grad["embed"] = np.zeros_like(w["embed"])
     grad["embed"][flat[runs]] = np.add.reduceat((g_h @ w["w"].T).reshape(-1, WIDTH).take(same, axis=0), runs, axis=0)
+    return float(out.mean()), grad
+
+
+def step(w: dict[str, np.ndarray], speed: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray, rate: float) -> float:
+    """One adaptive gradient step of w and speed, in place; the mean log probability before it."""
+    mean, grad = gradient(w, around, node)
     for k, g in grad.items():
-        speed[k] *= 0.95
-        speed[k] += 0.05 * (g * g)
-        root = np.sqrt(speed[k])
-        root += 1e-6
+        s = speed[k]
+        s *= 0.9
+        s += 0.1 * (g * g)
         g *= rate
-        g /= root
+        g /= np.sqrt(s) + 1e-6
         w[k] -= g
-    return float(out.mean())
+    return mean
 
 
 def _dump(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in NAMES)
+    return b"".join(w[k].astype("<f4").tobytes() for k in SHAPES)
 
 
 def _load(raw: bytes) -> dict[str, np.ndarray]:
     flat, out, at = np.frombuffer(raw, "<f4").copy(), {}, 0
-    for k, like in first_weights().items():
-        out[k] = flat[at : at + like.size].reshape(like.shape)
-        at += like.size
+    for k, shape in SHAPES.items():
+        size = int(np.prod(shape))
+        out[k] = flat[at : at + size].reshape(shape)
+        at += size
     return out
 
 
-def _train(vocabulary: np.ndarray, stride: int, batch: int, rate: float):
+def _train(shipped, stride: int, batch: int, rate: float):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        w = first_weights()
-        speed = {k: np.full_like(v, 1e-6) for k, v in w.items()}
+        v = Vocabulary(*cloudpickle.loads(shipped.value))
+        w = first_weights(v)
+        speed = {k: np.full_like(x, 1e-6) for k, x in w.items()}
         seen = 0
         rng = np.random.default_rng(1)
         for part in slices(batches):
             words = Words(part.column("text"))
-            ids = token_ids(words.hashes(), vocabulary)
-            padded = contexts(ids, words.first)
-            within = np.arange(len(ids)) - np.repeat(words.first[:-1], words.counts)
+            node, _ = tokens(words.hashes(), v)
+            padded = contexts(node, words.first)
+            within = np.arange(len(node)) - np.repeat(words.first[:-1], words.counts)
             place = np.flatnonzero(within % stride == (words.text_of_word() % stride))
             rng.shuffle(place)
             at = place + 2 * SIDE * words.text_of_word()[place] + SIDE
@@ -191,85 +250,70 @@ def _average(fan: int):
     return average
 
 
-def _bucket_sizes(vocabulary: np.ndarray):
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, "word"):
-            ids = token_ids(Words(part.column("word")).hashes(), vocabulary) - (VOCAB - BUCKETS)
-            rare = ids >= 0
-            np.add.at(total, ids[rare], part.column("n").to_numpy()[rare])
-        yield pa.record_batch({"bucket": pa.array(np.arange(BUCKETS)), "n": pa.array(total)})
-
-    return sizes
-
-
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "word"):
-        yield pa.record_batch({"word": pa.array(Words(part.column("word")).hashes().view(np.int64)), "n": part.column("n")})
-
-
-def train(docs: DataFrame, text_col: str = "text", stride: int = 1, batch: int = 1024, rate: float = 0.01) -> tuple[Vocabulary, bytes]:
+def count_words(slim: DataFrame, table: int = TABLE) -> Vocabulary:
+    """The vocabulary of all texts: words from the least count on at which no more than HEAD + table words are left."""
+    words = slim.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    counted = materialise(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    often = 1 << 16
+    kinds = counted.groupBy(F.least("n", F.lit(often)).alias("c")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).orderBy(F.desc("c")).collect()  # `often` rows at most
+    least, have = often + 1, 0
+    for r in kinds:
+        if have + r["kinds"] > HEAD + table:
+            break
+        least, have = r["c"], have + r["kinds"]
+    if least > often:  # more words than the table holds are that frequent: the most frequent of them
+        rows = counted.orderBy(F.desc("n"), "word").limit(HEAD + table).toArrow()
+    else:
+        rows = counted.where(F.col("n") >= least).toArrow()
+    rows = rows.combine_chunks()
+    discard(counted)
+    n = rows.column("n").to_numpy().astype(np.int64)
+    left = (sum(r["kinds"] for r in kinds) - len(n), sum(r["n"] for r in kinds) - int(n.sum()))
+    column = rows.column("word")
+    return vocabulary(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string()), n, *left)
+
+
+def train(docs: DataFrame, text_col: str = "text", stride: int = 1, batch: int = 2048, rate: float = 0.01, table: int = TABLE) -> tuple[Vocabulary, bytes]:
     """(vocabulary, weights)."""
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    counted = slim.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    counted = materialise(counted, "words")
-    top = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()]
-    vocabulary = Words(pa.array(top, pa.string())).hashes()
-    totals = np.zeros(BUCKETS, np.int64)
-    for r in counted.mapInArrow(_bucket_sizes(vocabulary), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        totals[r["bucket"]] = r["n"]
-    trained = slim.mapInArrow(_train(vocabulary, stride, batch, rate), "task long, n long, weights binary")
+    v = count_words(slim, table)
+    shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(tuple(v)))
+    kind = "task long, n long, weights binary"
+    trained = slim.mapInArrow(lean(_train(shipped, stride, batch, rate)), kind)
     tasks = max(1, slim.rdd.getNumPartitions())
     while tasks > 1:
-        trained = trained.groupBy(F.floor(F.col("task") / FAN).alias("group")).applyInArrow(_average(FAN), "task long, n long, weights binary")
+        trained = trained.groupBy(F.floor(F.col("task") / FAN).alias("group")).applyInArrow(lean_group(_average(FAN)), kind)
         tasks = -(-tasks // FAN)
     rows = trained.collect()  # one set of weights
-    return Vocabulary(vocabulary, totals, counted), bytes(rows[0]["weights"]) if rows else _dump(first_weights())
+    return v, bytes(rows[0]["weights"]) if rows else _dump(first_weights(v))
 
 
-def _score(vocabulary: np.ndarray, totals: np.ndarray, weights: bytes):
+def _score(shipped):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _load(weights)
-        share = np.concatenate((np.zeros(VOCAB - BUCKETS), -np.log(totals + 1.0)))
+        parts, weights = cloudpickle.loads(shipped.value)
+        v, w = Vocabulary(*parts), _load(weights)
         for part in slices(batches):
             words = Words(part.column("text"))
-            ids = token_ids(words.hashes(), vocabulary)
-            padded = contexts(ids, words.first)
+            node, share = tokens(words.hashes(), v)
+            padded = contexts(node, words.first)
             text = words.text_of_word()
-            total = np.bincount(text, share[ids], part.num_rows)
+            total = np.bincount(text, share, part.num_rows)
             for lo in range(0, len(text), BATCH):
                 t = text[lo : lo + BATCH]
                 at = np.arange(lo, lo + len(t)) + 2 * SIDE * t + SIDE
                 out, _ = forward(w, _around(padded, at), padded[at])
                 total += np.bincount(t, out, part.num_rows)
-            n_rare = np.bincount(text[ids >= VOCAB - BUCKETS], minlength=part.num_rows)
-            yield pa.record_batch({"row": part.column("row"), "id": part.column("id"), "n_tokens": pa.array(words.counts.astype(np.int64)), "n_rare": pa.array(n_rare), "pll": pa.array(total)})
+            yield pa.record_batch({"row": part.column("row"), "n_tokens": pa.array(words.counts.astype(np.int64)), "pll": pa.array(total)})
 
     return score
 
 
-def _rare_words(vocabulary: np.ndarray):
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            words = Words(part.column("text"))
-            h = words.hashes()
-            rare = np.flatnonzero(token_ids(h, vocabulary) >= VOCAB - BUCKETS)
-            yield pa.record_batch({"id": part.column("id").take(pa.array(words.text_of_word()[rare])), "word": pa.array(h[rare].view(np.int64))})
-
-    return rare_words
-
-
 def pseudo_likelihood(docs: DataFrame, model: tuple[Vocabulary, bytes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """row (struct of the input's columns, or of those in keep), n_tokens, pll (sum of log probabilities, natural logarithm), pll_per_token."""
     bound_batches(docs.sparkSession)
-    vocabulary, weights = model
     whole = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
-    whole = whole.withColumn("id", F.xxhash64("text"))
-    scored = whole.mapInArrow(_score(vocabulary.top, vocabulary.totals, weights), f"row {kind}, id long, n_tokens long, n_rare long, pll double")
-    often = vocabulary.counted.where("n > 1").mapInArrow(_hash_words, "word long, n long")  # the logarithm of one is zero
-    listed = whole.select("id", "text").mapInArrow(_rare_words(vocabulary.top), "id long, word long")
-    found = listed.join(often.hint("shuffle_hash"), "word", "left").groupBy("id").agg(F.avg(F.coalesce(F.log("n"), F.lit(0.0))).alias("mean"))
-    out = scored.join(found, "id", "left").withColumn("pll", F.col("pll") + F.col("n_rare") * F.coalesce("mean", F.lit(0.0)))
+    shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((tuple(model[0]), model[1])))
+    out = whole.mapInArrow(lean(_score(shipped)), f"row {kind}, n_tokens long, pll double")
     return out.select("row", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_per_token"))

@@ -502,13 +502,53 @@ def test_pseudo_likelihood(spark, docs, none):
     assert pll_score.pseudo_likelihood(none, model).collect() == [] and pll_score.train(none)[1]
 
 
-def test_network_is_a_distribution_and_its_gradient_is_right():
+def test_network_is_a_distribution():
     w = {k: v.astype(np.float64) for k, v in pll_score.first_weights().items()}
-    around = np.array([[3, 5, 7, pll_score.VOCAB]] * pll_score.VOCAB)
-    logp, _ = pll_score.forward(w, around, np.arange(pll_score.VOCAB))
+    around = np.array([[3, 5, 1007, pll_score.INPUTS]] * pll_score.INPUTS)
+    logp, _ = pll_score.forward(w, around, np.arange(pll_score.INPUTS))
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_gradient_is_right():
+    rng = np.random.default_rng(1)
+    w = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in pll_score.first_weights().items()}
+    around, node = rng.integers(0, pll_score.INPUTS + 1, (40, 4)), rng.integers(0, pll_score.INPUTS, 40)
+    _, grad = pll_score.gradient(w, around, node)
+    assert set(grad) == set(w)
+    for k, g in grad.items():
+        steep = np.argsort(-np.abs(g).ravel())[:4].tolist()
+        for i in [*steep, *rng.integers(0, g.size, 4).tolist()]:
+            ends = []
+            for d in (1e-5, -1e-5):
+                w[k].ravel()[i] += d
+                ends.append(-pll_score.forward(w, around, node)[0].mean())
+                w[k].ravel()[i] -= d
+            assert g.ravel()[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-7)
+
+
+def test_score_by_brute_force(spark):
+    """Each word's probability by plain softmaxes over the whole of every node it passes."""
+    texts = ["a b c d e f", "b", "a a zz b never", "c d"]
+    d = spark.createDataFrame([(i, " ".join([t] * 5)) for i, t in enumerate(texts)], "doc_id long, text string")
+    v, raw = pll_score.train(d)
+    w = {k: x.astype(float) for k, x in pll_score._load(raw).items()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    counts = Counter(x for t in texts for x in t.split())
+    number = {x: i for i, (x, _) in enumerate(sorted(counts.items(), key=lambda kv: (-kv[1], kv[0])))}
+    asked = [(0, "a b unseen c"), (1, "d")]
+    for i, text in asked:
+        ids = [number.get(x, pll_score.INPUTS - 1) for x in text.split()]
+        padded, want = [pll_score.INPUTS] * 2 + ids + [pll_score.INPUTS] * 2, 0.0
+        for j, node in enumerate(ids):
+            near = padded[j : j + 2] + padded[j + 3 : j + 5]
+            h = np.tanh(np.concatenate([w["embed"][k] for k in near]) @ w["w"] + w["b"])
+            path = [node // 32, node % 32] if node < 992 else [31, (node - 992) // 32, (node - 992) % 32]
+            p = softmax(h @ w["w1"] + w["b1"])[path[0]] * softmax(h @ w["w2"][path[0]] + w["b2"][path[0]])[path[1]]
+            want += np.log(p * softmax(h @ w["w3"][path[1]] + w["b3"][path[1]])[path[2]] if len(path) == 3 else p)
+        (got,) = pll_score.pseudo_likelihood(spark.createDataFrame([(i, text)], d.schema), (v, raw)).collect()
+        assert got["pll"] == pytest.approx(want, abs=1e-3)
+
+
 def test_registered_training_sees_every_place(spark, monkeypatch):
     given, real = [], pll_score._train
     monkeypatch.setattr(pll_score, "_train", lambda *a: given.append(a) or real(*a))
@@ -523,23 +563,26 @@ def test_registered_training_sees_every_place(spark, monkeypatch):
 
 
 def test_every_word_has_its_own_probability(spark):
-    rare = [f"r{i}" for i in range(300)]
-    often = [f"w{i}" for i in range(pll_score.VOCAB - pll_score.BUCKETS)]
-    count = {w: 20 for w in often} | {w: 1 + i % 9 for i, w in enumerate(rare)}
+    often = {f"w{i}": 20 for i in range(pll_score.HEAD)}
+    tail = {f"r{i}": 2 + i % 9 for i in range(3000)}
+    once = {f"o{i}": 1 for i in range(40)}
+    count = often | tail | once
     d = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(count.items())], "doc_id long, text string")
-    model = pll_score.train(d)
-    bucket = lambda w: int(pll_score.token_ids(Words(pa.array([w])).hashes(), model[0].top)[0])
-    unseen = list({bucket(f"u{i}"): f"u{i}" for i in range(2000)}.values())
-    assert len(unseen) == pll_score.BUCKETS
-    words = [*count, *unseen]
-    rows = [(i, w) for i, w in enumerate(words)] + [(i, rare[8]) for i in range(10**6, 10**6 + 5)]
-    out = {r["doc_id"]: r["pll"] for r in pll_score.pseudo_likelihood(spark.createDataFrame(rows, d.schema), model).select("row.doc_id", "pll").collect()}
-    assert sum(np.exp(out[i]) for i in range(len(words))) == pytest.approx(1, abs=1e-3)
-    at = {w: i for i, w in enumerate(words)}
-    of_bucket = {bucket(w): w for w in unseen}
-    for w in rare:  # one bucket, one context: apart by the counts alone
-        assert out[at[w]] - out[at[of_bucket[bucket(w)]]] == pytest.approx(np.log(count[w]), abs=1e-4)
-    assert all(out[i] == pytest.approx(out[at[rare[8]]], abs=1e-4) for i in range(10**6, 10**6 + 5))
+    model = pll_score.train(d, table=3020)  # no room for those that stand once
+    v = model[0]
+    assert len(v.hashes) == len(often) + len(tail)
+    words = [*count, "unseen"]
+    out = [r["pll"] for r in pll_score.pseudo_likelihood(spark.createDataFrame(list(enumerate(words)), d.schema).coalesce(1), model).orderBy("row.doc_id").collect()]
+    assert sum(np.exp(x) for x in out) == pytest.approx(1, abs=1e-3)
+    p = dict(zip(words, out, strict=True))
+    node = dict(zip(words, pll_score.tokens(Words(pa.array(words)).hashes(), v)[0].tolist(), strict=True))
+    assert all(p[w] == p["unseen"] for w in once)
+    parts = defaultdict(list)
+    for w in tail:
+        parts[node[w]].append(w)
+    assert len(parts) > 500 and max(map(len, parts.values())) < 12
+    for own in parts.values():  # one part, one context: apart by the counts alone
+        assert all(p[w] - p[own[0]] == pytest.approx(np.log(count[w] / count[own[0]]), abs=1e-4) for w in own)
 
 
 def test_packing(spark, docs, none):
