@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Pass 1 parses every page and hashes the subtree of every block element; Spark counts, per host, on how many pages of different bodies each hash stands
+Pass 1 parses every page and hashes the subtree of every block element (from its tag, its texts and its children's hashes, so that nesting costs nothing); Spark counts, per host, on how many pages of different bodies each hash stands
 (partial counts before the shuffle). Subtrees that stand on `min_pages` such pages of their host, and on `share` of all its pages of different bodies, are
 templates. Inside article and main elements a subtree also is one that stands on min_pages pages and on more than half of the host's pages, copies
 counted: a host that has little but copies of one page shows no more than that. Pass 2 parses the pages
@@ -15,15 +15,17 @@ The templates go to the workers as sorted 64-bit hashes of (host, subtree): by b
 the hash. The choice changes the plan, not the result.
 
 Cases: null or empty html gives an empty text. A null or odd url is a host of its own (""). Broken markup: unclosed elements end with their
-parent, stray end tags are left out, an unclosed comment or script runs to the end. Copies of a page count as one but for the rule above; repeated rows stay rows. An empty
+parent, stray end tags are left out, an unclosed comment or script runs to the end, a tag without an end is text. Pages of any nesting and size are parsed in about linear time. Copies of a page count as one but for the rule above; repeated rows stay rows. An empty
 table gives an empty result. Other columns travel in a struct.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,8 @@ from cartolith.llm.shared import bound_batches, materialise
 from cartolith.llm.textkernels import slices
 
 BROADCAST_ROWS = 4_000_000
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*")
+SPECIAL = re.compile("[>\"']")
 BODY = re.compile(r"<body[\s>]", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
@@ -60,10 +63,22 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "start", "end", "parts", "strong", "weak", "size", "holds")
+    __slots__ = ("tag", "source", "parts", "strong", "weak", "size", "holds", "digest")
 
-    def __init__(self, tag: str, start: int, strong: bool = False, weak: bool = False):
-        self.tag, self.start, self.end, self.parts, self.strong, self.weak, self.size, self.holds = tag, start, start, [], strong, weak, 0, False
+    def __init__(self, tag: str, source: str, strong: bool = False, weak: bool = False):
+        """source: the start tag."""
+        self.tag, self.source, self.parts, self.strong, self.weak, self.size, self.holds, self.digest = tag, source, [], strong, weak, 0, False, b""
+
+    def seal(self) -> None:
+        """Hash the subtree; white space counts as one space."""
+        h = hashlib.blake2b(" ".join(self.source.split()).encode("utf-8", "surrogatepass"), digest_size=12)
+        for part in self.parts:
+            if isinstance(part, str):
+                if text := " ".join(part.split()):
+                    h.update(b"<" + text.encode("utf-8", "surrogatepass"))
+            else:
+                h.update(b">" + part.digest)
+        self.digest = h.digest()
 
     @property
     def drop(self) -> bool:
@@ -91,65 +106,110 @@ def _named(tag: str, raw: str) -> tuple[bool, bool]:
     return False, False
 
 
+class _Scanner:
+    """Markup of a page in order: (start, end, name with a slash before it in end tags, attributes); no name: nothing to read."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = [m.start() for m in SPECIAL.finditer(page)]
+        self.open: set[int] = set()  # of special, those from which no tag ends
+        self.last = page.rfind(">")
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ">" outside quotes that ends a tag, or -1."""
+        page, special, seen = self.page, self.special, []
+        i = bisect.bisect_left(special, at)
+        while i < len(special) and i not in self.open:
+            seen.append(i)
+            c = page[special[i]]
+            if c == ">":
+                return special[i]
+            close = page.find(c, special[i] + 1)
+            if close < 0:
+                break
+            i = bisect.bisect_right(special, close)
+        self.open.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", ""
+            if start > self.last:
+                return None
+            name = NAME.match(page, start + 1)
+            if name:
+                end = self.tag_end(name.end())
+                if end >= 0:
+                    return start, end + 1, name[0].lower(), page[name.end() : end]
+            elif page[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, page.find(">", start) + 1, "", ""
+            at = start + 1
+
+
 def parse(page: str) -> Node:
     """The element tree; parts of a node are its texts (undecoded) and elements in order."""
-    root = Node("#root", 0)
+    root = Node("#root", "")
     stack, at, n = [root], 0, len(page)
+    scanner, standing = _Scanner(page), Counter()
 
-    def close(depth: int, end: int) -> None:
+    def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
-            node.end = end
+            node.seal()
+            standing[node.tag] -= 1
             stack[-1].size += node.size
             stack[-1].holds |= not node.strong and (node.holds or node.tag in ("article", "main", "h1"))
 
-    while at < n:
-        m = TAG.search(page, at)
-        if not m:
-            break
-        if m.start() > at:
-            text = page[at : m.start()]
-            stack[-1].parts.append(text)
-            stack[-1].size += len(text)
-        at = m.end()
-        if not m[2]:
+    def say(text: str) -> None:
+        stack[-1].parts.append(text)
+        stack[-1].size += len(text)
+
+    while found := scanner.next(at):
+        start, end, tag, attributes = found
+        if start > at:
+            say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth, at)
-                    break
+        if tag[0] == "/":
+            if standing[tag[1:]] > 0:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag[1:]))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = ended.end() if ended else n
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and standing["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[depth].tag == "p":
-                    close(depth, m.start())
+                    close(depth)
                     break
                 if stack[depth].tag in BLOCKS:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(standing[t] > 0 for t in CLOSES[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in CLOSES[tag]:
-                    close(depth, m.start())
+                    close(depth)
                     break
                 if stack[depth].tag in HOLDS.get(tag, ()):
                     break
-        strong, weak = _named(tag, m[3]) if len(m[3] or "") > 1 else (False, False)
-        node = Node(tag, m.start(), strong or tag in DROP, weak)
+        strong, weak = _named(tag, attributes) if len(attributes) > 1 else (False, False)
+        node = Node(tag, page[start:end], strong or tag in DROP, weak)
         stack[-1].parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            node.end = at
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+            node.seal()
         else:
             stack.append(node)
+            standing[tag] += 1
     if at < n:
-        stack[-1].parts.append(page[at:])
-        stack[-1].size += n - at
-    close(1, n)
+        say(page[at:])
+    close(1)
     return root
 
 
@@ -166,6 +226,10 @@ def _site(url: str | None) -> bytes:
     return hashlib.blake2b(host(url).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _node_key(site: bytes, node: Node) -> int:
+    return int.from_bytes(hashlib.blake2b(node.digest, digest_size=8, key=site).digest(), "little", signed=True)
+
+
 def _body(page: str, site: bytes) -> int:
     """A hash of (host, body): what copies of a page have in common."""
     m = BODY.search(page)
@@ -183,7 +247,7 @@ def subtrees(page: str, url: str | None) -> dict[int, bool]:
             if isinstance(part, Node):
                 if part.tag in BLOCKS:
                     if not _stays(part, root):
-                        key = _key(site, page[part.start : part.end])
+                        key = _node_key(site, part)
                         out[key] = inside or out.get(key, False)
                     todo.append((part, inside))
     return out
@@ -193,14 +257,15 @@ def _stays(node: Node, root: Node) -> bool:
     return node.holds or node.tag in ("article", "main", "h1", "body", "html") or 2 * node.size > root.size
 
 
-def _find(node: Node, tag: str, out: list[Node]) -> list[Node]:
-    """Elements of a tag that no dropped element and no other of them holds."""
-    for part in node.parts:
-        if isinstance(part, Node) and not part.drop:
-            if part.tag == tag:
-                out.append(part)
-            else:
-                _find(part, tag, out)
+def _find(root: Node, tag: str) -> list[Node]:
+    """Elements of a tag that no dropped element and no other of them holds, in order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == tag and node is not root:
+            out.append(node)
+        else:
+            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.drop)
     return out
 
 
@@ -209,7 +274,7 @@ def main_text(page: str | None, url: str | None, templates: np.ndarray) -> str:
     if not page:
         return ""
     root, site = parse(page), _site(url)
-    tops = _find(root, "article", []) or _find(root, "main", [])
+    tops = _find(root, "article") or _find(root, "main")
     marked = bool(tops)
     blocks: list[str] = []
     inline: list[str] = []
@@ -221,9 +286,13 @@ def main_text(page: str | None, url: str | None, templates: np.ndarray) -> str:
                 blocks.append(text)
             inline.clear()
 
-    def walk(node: Node) -> None:
-        for part in node.parts:
-            if isinstance(part, str):
+    for top in tops or [root]:
+        todo: list[str | Node | None] = [None, *reversed(top.parts)]  # None: a block ends
+        while todo:
+            part = todo.pop()
+            if part is None:
+                flush()
+            elif isinstance(part, str):
                 inline.append(part)
             elif part.tag == "br":
                 inline.append(" ")
@@ -233,18 +302,14 @@ def main_text(page: str | None, url: str | None, templates: np.ndarray) -> str:
                 flush()
                 template = False
                 if len(templates) and not (marked and part.tag in TEXT_BLOCKS) and not _stays(part, root):
-                    key = _key(site, page[part.start : part.end])
+                    key = _node_key(site, part)
                     i = int(np.searchsorted(templates, key))
                     template = i < len(templates) and templates[i] == key
                 if not template:
-                    walk(part)
-                    flush()
+                    todo.append(None)
+                    todo.extend(reversed(part.parts))
             else:
-                walk(part)
-
-    for top in tops or [root]:
-        walk(top)
-        flush()
+                todo.extend(reversed(part.parts))
     return "\n\n".join(blocks)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -706,6 +707,40 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("bad", ["<div>" * 3000 + "x", "<b>" * 3000 + "x", '<a "' * 100_000, '<a "' * 100_001 + ">", "<b>" * 30_000 + "</x>" * 30_000, "<!" * 200_000, "<a" * 200_000 + '"'], ids=range(7))
+def test_hostile_markup_takes_about_linear_time(bad):
+    began = time.process_time()
+    html_text.main_text(bad, "", np.array([1]))
+    html_text.subtrees(bad, "")
+    assert time.process_time() - began < 10
+
+
+def test_nothing_but_counting_tells_the_template(spark):
+    """Pages without one telling tag, name or role: what recurs on the host is its frame, and what stands on one page is its text."""
+    frame = '<div class="k1"><div>Home {0}</div><div>Places</div></div><div class="k2">{1}</div><div class="k3"><p>Write to us</p><p>All rights</p></div>'
+    rows = []
+    for site in ("a", "b"):
+        for i in range(12):
+            inner = f"<h2>Title {site}{i}</h2><p>First of {site}{i}, long enough to be most of the page, as articles are.</p><p>Common sentence.</p>" + "<ul><li>Same list</li></ul>" * (i < 2)
+            rows.append((i if site == "a" else 100 + i, f"http://{site}.example/{i}", frame.format(site, inner)))
+    rows.append((200, "http://c.example/", frame.format("c", "<p>Alone on its host, where no counts can tell the frame.</p>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r[0]: r[1] for r in html_text.extract(pages).select("row.page_id", "main_text").collect()}
+    for i, url, _ in rows[:-1]:
+        name = url[7] + url.rsplit("/", 1)[1]
+        kept = [f"Title {name}", f"First of {name}, long enough to be most of the page, as articles are."]
+        lines = got[i].split("\n\n")
+        assert lines[:2] == kept and not {"Places", "Write to us", "All rights", f"Home {url[7]}"} & set(lines)
+        assert ("Same list" in lines) == (i % 100 < 2)
+    assert got[200].startswith("Home c\n\nPlaces\n\nAlone on its host")
+
+
+def test_html_columns_of_clashing_names(spark):
+    rows = [(1, "u", "<p>a</p>", "x", "y", "z", 4)] * 2
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, row string, main_text string, keys string, id int")).collect()
+    assert [(r["row"]["main_text"], r["row"]["id"], r["main_text"]) for r in out] == [("y", 4, "a")] * 2
+
+
 def test_copies_of_a_page_make_no_template(spark):
     body = "<body>" + "".join(f"<p>Paragraph {k} says this.</p>" for k in range(4)) + "</body>"
     listed = "<body><article><h1>List</h1>" + "".join(f"<p>Point {k} is made here.</p>" for k in range(4)) + "<ul><li>one</li><li>two</li></ul></article></body>"
