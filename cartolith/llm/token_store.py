@@ -12,7 +12,8 @@ A shard holds a contiguous range of document ids in ascending order. Its file (o
 Blocks are independent. Each interleaves LANES states, which take turns over the ids, so that decoding is a step over all lanes
 of all blocks at once; a checkpoint lets any block be decoded alone (decode_blocks), and its checksum proves it.
 
-Shards are dealt by quantiles of the document id; an id that fills several quantiles, and null ids, spread over several shards.
+Shards hold about SHARD_BYTES of text, whatever the corpus: the bytes of CELLS quantiles of the document id are summed, small neighbours make one shard, and a large cell
+is cut by even ranges of its ids. An id that alone is too large, and null ids, spread over several shards; one text is never cut.
 Every shard's table counts all its ids. Spark writes and reads the payloads (a table of binary rows), so that they lie wherever Spark can write.
 
 Cases: null and empty texts hold only the end id. Null ids come first, in no fixed order. Rows of one id lie side by side, repeated rows
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, partitions
+from cartolith.llm.shared import bound_batches, lean, lean_group
 from cartolith.llm.textkernels import mix, slices
 from cartolith.llm.tokenise import encoder
 
@@ -43,6 +44,8 @@ PRECISION = 20
 LANES = 32
 BLOCK = 1 << 15
 LOW = np.uint64(1 << 31)
+SHARD_BYTES = 16 << 20
+CELLS = 1024
 
 
 def frequencies(count: np.ndarray, precision: int) -> np.ndarray:
@@ -164,6 +167,47 @@ class Shard:
         return self.decode_blocks(0, len(self.n))
 
 
+def shard_bounds(cells: list[tuple[int, int, int]], size: int) -> np.ndarray:
+    """Ids that end the shards but the last, ascending, from (least id, greatest id, bytes) of each cell in order. An id that stands several times ends as many shards:
+    its rows go to any of them."""
+    out: list[int] = []
+    held = 0
+    for lo, hi, n in cells:
+        parts = -(-n // size)
+        if held and held + n > size:
+            out.append(lo - 1)
+            held = 0
+        if parts > 1:
+            out += [lo + (hi - lo) * i // parts for i in range(1, parts)] if hi > lo else [lo] * (parts - 1)
+            out.append(hi)
+            held = 0
+        else:
+            held += n
+    return np.array(sorted(out), np.int64)
+
+
+def _weigh(edges: np.ndarray):
+    """(cell, least id, greatest id, bytes): cells lie between edges, an edge belongs to the cell that it ends."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[int]] = {}
+        for batch in batches:
+            doc, size = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "size"))
+            cell = np.searchsorted(edges, doc, "left")
+            order = np.argsort(cell, kind="stable")
+            at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            if not len(at):
+                continue
+            columns = (cell[order][at], np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at), np.add.reduceat(size[order], at))
+            for c, lo, hi, n in zip(*(x.tolist() for x in columns), strict=True):
+                own = found.setdefault(c, [lo, hi, 0])
+                found[c] = [min(own[0], lo), max(own[1], hi), own[2] + n]
+        rows = [(c, *x) for c, x in found.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["cell", "lo", "hi", "n"])
+
+    return weigh
+
+
 def _deal(path: str, spaced: bool, end_id: int, bounds: np.ndarray, shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, z = encoder(path, spaced), zstandard.ZstdCompressor(level=3)
@@ -210,14 +254,18 @@ def _write(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n_docs": pa.array([len(doc)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
 
-def write_tokens(docs: DataFrame, where: str, path: str, spaced: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, where: str, path: str, spaced: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode all texts of docs and write the shards to the folder where."""
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = 2 * partitions(docs.sparkSession)
-    cuts = slim.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0] or []
-    dealt = slim.mapInArrow(_deal(path, spaced, end_id, np.array(sorted(cuts), np.int64), shards), "shard long, blob binary")
-    dealt.groupBy("shard").applyInArrow(_write, "shard long, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(where)
+    sized = slim.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    edges = sized.select(F.percentile_approx("doc_id", [i / CELLS for i in range(1, CELLS)], 20 * CELLS)).first()[0] or []
+    weighed = sized.where("doc_id is not null").mapInArrow(lean(_weigh(np.unique(np.array(edges, np.int64)))), "cell long, lo long, hi long, n long")
+    cells = weighed.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).orderBy("cell").collect()  # CELLS rows at most
+    bounds = shard_bounds([(r["lo"], r["hi"], r["n"]) for r in cells], shard_bytes)
+    nulls = 1 + (sized.where("doc_id is null").agg(F.sum("size")).first()[0] or 0) // shard_bytes
+    dealt = slim.mapInArrow(_deal(path, spaced, end_id, bounds, nulls), "shard long, blob binary")
+    dealt.groupBy("shard").applyInArrow(lean_group(_write), "shard long, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(where)
 
 
 def _read(before: dict[int, int]):
@@ -243,4 +291,4 @@ def read_tokens(spark: SparkSession, where: str) -> DataFrame:
     for shard, n in sizes:
         before[shard] = total
         total += n
-    return files.select("shard", "payload").mapInArrow(_read(before), "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("shard", "payload").mapInArrow(lean(_read(before)), "doc_id long, start long, n_tokens long, ids binary")

@@ -441,6 +441,25 @@ def test_token_store(spark, docs, none, tmp_path):
     assert [r["doc_id"] for r in out] == [None, 1, *[3] * 50] and out[-1]["start"] + out[-1]["n_tokens"] == sum(r["n_tokens"] for r in out)
 
 
+def test_shards_follow_the_bytes(spark, tmp_path):
+    cells = [(0, 9, 40), (10, 19, 30), (20, 20, 350), (21, 120, 250), (121, 130, 5)]
+    assert token_store.shard_bounds(cells, 100).tolist() == [19, 20, 20, 20, 20, 54, 87, 120]
+    rng = random.Random(1)
+    rows = [(rng.choice([5, i, i * 1000]), " ".join(f"x{i}" for i in range(rng.choice([0, 3, 400]))), None, None) for i in range(300)] + [(None, "null " * 500, None, None)] * 30
+    docs, path = spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("byte_bpe_50k.json")
+    token_store.write_tokens(docs, f"file://{tmp_path}/a", path, spaced=True, end_id=0, shard_bytes=20_000)
+    files = spark.read.parquet(f"file://{tmp_path}/a").select("shard", "n_ids").collect()
+    assert len(files) > 8 and max(r["n_ids"] for r in files) < 25_000
+    out = token_store.read_tokens(spark, f"file://{tmp_path}/a").orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    want = Counter((i, np.array(ids, "<u4").tobytes()) for (i, *_), ids in zip(rows, encoded([r[1] for r in rows], True), strict=True))
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in out) == want
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 @pytest.mark.parametrize("n", [1, 31, 33, 32768, 32769, 70000])
 def test_coder(n):
     rng = np.random.default_rng(n)
