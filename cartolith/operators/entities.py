@@ -42,8 +42,8 @@ def detect(line: Column, compat: bool = False) -> Column:
     )
 
 
-def _part(kind: str, raw: str, g: Geometry | None, props: str = "{}", error: str | None = None) -> dict:
-    b = box(g) if g else None
+def _part(kind: str, raw: str, g: Geometry | None, props: str = "{}", error: str | None = None, compat: bool = False) -> dict:
+    b = box(g, compat) if g else None
     point = g is not None and g[0] == "Point" and len(g[1]) > 0
     return {
         "kind": kind, "raw": raw, "gtype": g[0] if g else None, "lon": g[1][0] if point else None, "lat": g[1][1] if point else None,
@@ -51,12 +51,12 @@ def _part(kind: str, raw: str, g: Geometry | None, props: str = "{}", error: str
     }
 
 
-def parse_text(kind: str, line: str) -> list[dict]:
-    """Entities of a GeoJSON or WKT line; one with an error where it can't be read."""
+def parse_text(kind: str, line: str, compat: bool = False) -> list[dict]:
+    """Entities of a GeoJSON or WKT line; one with an error where it can't be read. compat: a collection's box also holds the origin."""
     try:
         if kind == "WKT":
-            return [_part("WKT", write_wkt(g), g) for g in read_wkt(line)]
-        return [_part(k, line if raw is None else raw, g, props, error) for k, g, props, raw, error in read_geojson(line)]
+            return [_part("WKT", write_wkt(g), g, compat=compat) for g in read_wkt(line)]
+        return [_part(k, line if raw is None else raw, g, props, error, compat) for k, g, props, raw, error in read_geojson(line)]
     except (ValueError, RecursionError) as e:
         return [_part(kind, line, None, error=f"Invalid{'Wkt' if kind == 'WKT' else 'GeoJson'}: {e}")]
 
@@ -67,15 +67,18 @@ ARROW_PART = pa.struct(
 )
 
 
-@F.arrow_udf(T.ArrayType(PART_TYPE))
-def _parse(kind: pa.Array, line: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else parse_text(k, x) for k, x in zip(kind.to_pylist(), line.to_pylist(), strict=True)], pa.list_(ARROW_PART))
+def _parser(compat: bool):
+    @F.arrow_udf(T.ArrayType(PART_TYPE))
+    def parse_lines(kind: pa.Array, line: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else parse_text(k, x, compat) for k, x in zip(kind.to_pylist(), line.to_pylist(), strict=True)], pa.list_(ARROW_PART))
+
+    return parse_lines
 
 
 def parse(lines: DataFrame, column: str = "value", mode: str = "PERMISSIVE", compat: bool = False) -> DataFrame:
     """Entities of a column of text lines. A line_no column is kept; without one all is 0. mode FAILFAST: a line that can't be read
     ends the query; PERMISSIVE: it gives a row with error and no geometry."""
-    line = F.trim(F.col(column))
+    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     df = lines.withColumn("_line", line).withColumn("_kind", detect(F.col("_line"), compat))
     line, kind = F.col("_line"), F.col("_kind")
     sides = F.split(line, "[,\t]")
@@ -100,7 +103,7 @@ def parse(lines: DataFrame, column: str = "value", mode: str = "PERMISSIVE", com
             ),
         )
         .when(kind.isNull(), part(raw=line, error=F.concat(F.lit("InvalidInput: Unable to parse single-line input: "), line)))
-        .otherwise(_parse(kind, F.when(kind.isin("GeoJSON", "WKT"), line)))
+        .otherwise(_parser(compat)(kind, F.when(kind.isin("GeoJSON", "WKT"), line)))
     )
     keep = [c for c in lines.columns if c != column and c not in COLUMNS and c != "part_no"]
     if "line_no" not in keep:
