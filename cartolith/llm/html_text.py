@@ -8,7 +8,7 @@ again, deletes the templates' subtrees and what the markup itself names as no pa
 notices, adverts, forms, scripts, styles, reader comments), and joins the blocks that are left.
 
 What stays whatever its count: elements that hold an article, a main or an h1 element, elements with more than half of the page's text, and, inside
-an article or main element, single text blocks (a common sentence is still the article's). A page with article elements gives their text,
+an article or main element, single text blocks, lists, tables and figures (a common sentence or table is still the article's, however often its page was copied). A page with article elements gives their text,
 else its main element's, else its body's.
 
 The templates go to the workers as sorted 64-bit hashes of (host, subtree): by broadcast up to BROADCAST_ROWS of them (8 bytes each), beyond that by a join on
@@ -48,6 +48,7 @@ BLOCKS = set(
     "section summary table tbody td tfoot th thead tr ul caption".split()
 )
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption summary address".split())
+PARTS = TEXT_BLOCKS | set("ul ol dl table caption thead tbody tfoot tr figure details".split())
 DROP = set("nav footer aside form script style noscript template iframe svg button select textarea input label head title object canvas audio video dialog menu map".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -301,7 +302,7 @@ def main_text(page: str | None, url: str | None, templates: np.ndarray) -> str:
             elif part.tag in BLOCKS:
                 flush()
                 template = False
-                if len(templates) and not (marked and part.tag in TEXT_BLOCKS) and not _stays(part, root):
+                if len(templates) and not (marked and part.tag in PARTS) and not _stays(part, root):
                     key = _node_key(site, part)
                     i = int(np.searchsorted(templates, key))
                     template = i < len(templates) and templates[i] == key

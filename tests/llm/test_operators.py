@@ -776,6 +776,13 @@ def test_copies_of_a_page_make_no_template(spark):
     assert all("A quotation." in got[100 + i] for i in range(6))
 
 
+def test_a_host_of_copies_keeps_the_lists_and_tables_of_its_article(spark):
+    body = "<article><h1>One</h1><p>Long enough to be most of what the page says, as articles are.</p><ul><li>a</li><li>b</li></ul><table><tr><td>c</td></tr></table></article>"
+    pages = spark.createDataFrame([(i, "http://h.example/p", f"<body>{body}</body>") for i in range(9)], "page_id long, url string, html string")
+    got = {r["main_text"] for r in html_text.extract(pages).select("main_text").collect()}
+    assert got == {"One\n\nLong enough to be most of what the page says, as articles are.\n\na\n\nb\n\nc"}
+
+
 def test_html_pages(spark):
     def article(page):
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
