@@ -1,14 +1,16 @@
-"""SQL names (prefix geo_) of the scalar functions, as temporary SQL functions over native expressions or Arrow kernels."""
+"""SQL names (prefix geo_) of the scalar functions, for a session: Arrow kernels over well-known text."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.functions import geometry as G
-from cartolith.functions.text import read_wkt, write_wkt
+from cartolith.functions.text import geometry_of, read_wkt, write_geometry, write_wkt
 
 
 def _wkt(x: str | None) -> G.Geometry | None:
@@ -43,7 +45,19 @@ def register(spark: SparkSession) -> list[str]:
         found = [None if x is None else G.centroid(_wkt(x)) for x in g]
         return pd.Series([None if p is None else write_wkt(("Point", list(p))) for p in found], dtype=object)
 
-    found = {f.__name__: f for f in (geo_intersects, geo_contains, geo_distance, geo_coord_count, geo_simplify, geo_centroid)}
+    @F.pandas_udf(T.StringType())
+    def geo_geojson(g: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else write_geometry(_wkt(x)) for x in g], dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def geo_from_geojson(text: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else write_wkt(geometry_of(json.loads(x))) for x in text], dtype=object)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def geo_bbox(g: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else list(G.box(_wkt(x))) for x in g], dtype=object)
+
+    found = {f.__name__: f for f in (geo_intersects, geo_contains, geo_distance, geo_coord_count, geo_simplify, geo_centroid, geo_geojson, geo_from_geojson, geo_bbox)}
     for name, f in found.items():
         spark.udf.register(name, f)
     return sorted(found)

@@ -2,7 +2,8 @@
 
 A file holds the magic bytes, a size-prefixed header, the tree (40 bytes a node: four doubles, then for a leaf the place of its feature, for an inner
 node the number of its first child; root first) and size-prefixed features in the order of a Hilbert curve. The reader splits the leaves
-over tasks; with a bbox each task takes only those leaves that meet it.
+over tasks. With a bbox the driver descends from the root to the nodes of some thousand leaves, only those that meet the box become tasks, and each
+task descends from there: of the tree, too, only what meets the box is read.
 """
 
 from __future__ import annotations
@@ -296,6 +297,10 @@ def write_flatgeobuf(df: DataFrame, path: str, compat: bool = False) -> None:
     os.replace(path + ".part", path)
 
 
+def _apart(a: tuple, b: tuple) -> bool:
+    return a[0] > b[2] or a[2] < b[0] or a[1] > b[3] or a[3] < b[1]
+
+
 class File:
     def __init__(self, path: str):
         self.f = open(path, "rb")  # noqa: SIM115
@@ -317,6 +322,26 @@ class File:
         for x0, y0, x1, y1, o in struct.iter_unpack(NODE, raw):
             yield (x0, y0, x1, y1), o
 
+    def search(self, want: tuple, down_to: int = 0, within: tuple[int, int] | None = None) -> Iterator[tuple[int, int]]:
+        """(number within its level, place) of the nodes of a level (0: leaves) that meet a box, in order; within: leaves from and to, or all."""
+        bounds = level_bounds(self.n, self.node)
+        lo, hi = within or (0, self.n)
+        todo = [(len(bounds) - 1, 0, 1)]
+        while todo:
+            level, a, b = todo.pop()
+            under = self.node**level
+            a, b = max(a, lo // under), min(b, -(-hi // under))
+            self.f.seek(self.tree_at + (bounds[level][0] + a) * NODE_BYTES)
+            below = []
+            for i, (x0, y0, x1, y1, place) in enumerate(struct.iter_unpack(NODE, self.f.read(max(b - a, 0) * NODE_BYTES)), a):
+                if not _apart((x0, y0, x1, y1), want):
+                    if level == down_to:
+                        yield i, place
+                    else:
+                        first, end = bounds[level - 1]
+                        below.append((level - 1, i * self.node, min((i + 1) * self.node, end - first)))
+            todo.extend(reversed(below))
+
     def feature(self, place: int) -> str:
         self.f.seek(self.data + place)
         t = Table.root(self.f.read(struct.unpack("<I", self.f.read(4))[0]))
@@ -363,6 +388,17 @@ class _Reader(DataSourceReader):
         file = File(self.path)
         if not file.nodes:
             return [_Range(0, -1)]
+        if self.want is not None:
+            level = 0
+            while file.node ** (level + 1) <= LEAVES_PER_TASK and level + 1 < len(level_bounds(file.n, file.node)):
+                level += 1
+            under, out, held = file.node**level, [], 0
+            for i, _ in file.search(self.want, level):
+                if not out or held + under > LEAVES_PER_TASK:
+                    out.append(_Range(i * under, 0))
+                    held = 0
+                out[-1].hi, held = min(file.n, (i + 1) * under), held + under
+            return out or [_Range(0, 0)]
         return [_Range(lo, min(file.n, lo + LEAVES_PER_TASK)) for lo in range(0, file.n, LEAVES_PER_TASK)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
@@ -371,12 +407,12 @@ class _Reader(DataSourceReader):
             for i, text in enumerate(file.all()):
                 g = json.loads(text)
                 b = box((g["geometry"]["type"], g["geometry"].get("coordinates", []))) if w and g["geometry"]["type"] != "GeometryCollection" else None
-                if b is None or b[0] <= w[2] and b[2] >= w[0] and b[1] <= w[3] and b[3] >= w[1]:
+                if b is None or not _apart(b, w):
                     yield (i, text)
             return
-        for i, (b, place) in enumerate(list(file.leaves(part.lo, part.hi)), part.lo):
-            if w is None or b[0] <= w[2] and b[2] >= w[0] and b[1] <= w[3] and b[3] >= w[1]:
-                yield (i, file.feature(place))
+        found = file.search(w, 0, (part.lo, part.hi)) if w is not None else ((i, place) for i, (_, place) in enumerate(list(file.leaves(part.lo, part.hi)), part.lo))
+        for i, place in list(found):
+            yield (i, file.feature(place))
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@ import struct
 
 import pytest
 
+from cartolith.functions.register import register
 from cartolith.functions.text import read_wkt
 from cartolith.operators import entities
 from cartolith.sources import flatgeobuf, lines, shapefile
@@ -42,6 +43,38 @@ def test_tree_holds_every_leaf():
     assert flatgeobuf.level_bounds(100_000)[0][1] == 106_669
 
 
+def test_flatgeobuf_bbox_reads_only_what_meets_it(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "g.fgb")
+    flatgeobuf.write_flatgeobuf(lines.from_text(spark, "\n".join(f"POINT({i % 40} {i // 40})" for i in range(1200))), path)
+    monkeypatch.setattr(flatgeobuf, "LEAVES_PER_TASK", 64)
+    file = flatgeobuf.File(path)
+    leaves = list(file.leaves(0, 1200))
+    boxes = [(3, 3, 3, 3), (3.2, 3.2, 3.4, 3.9), (0, 0, 39, 29), (5, 0, 11, 29), (38.5, 28.5, 90, 90), (-9, -9, -1, 99)]
+    for want in boxes:
+        meets = [(i, o) for i, (b, o) in enumerate(leaves) if b[0] <= want[2] and b[2] >= want[0] and b[1] <= want[3] and b[3] >= want[1]]
+        assert list(file.search(want)) == meets
+        assert list(file.search(want, 0, (100, 333))) == [(i, o) for i, o in meets if 100 <= i < 333]
+        reader = flatgeobuf._Reader(path, want)
+        parts = reader.partitions()
+        assert [row for p in parts for row in reader.read(p)] == [(i, file.feature(o)) for i, o in meets]
+        assert all(a.hi <= b.lo for a, b in zip(parts, parts[1:], strict=False))
+    assert len(flatgeobuf._Reader(path, boxes[0]).partitions()) < 3 < 15 < len(flatgeobuf._Reader(path, boxes[2]).partitions())
+    got = flatgeobuf.read_flatgeobuf(spark, path, boxes[3])
+    assert got.count() == 7 * 30
+
+
+def test_sql_names(spark):
+    names = register(spark)
+    assert len(names) == 9
+    got = spark.sql(
+        """select geo_intersects('POINT(1 1)', 'POLYGON((0 0,2 0,2 2,0 2,0 0))'), geo_contains('POLYGON((0 0,2 0,2 2,0 2,0 0))', 'POINT(3 1)'),
+        round(geo_distance(0D, 0D, 'POINT(0 0)')), geo_coord_count('LINESTRING(0 0,1 1,2 0)'), geo_simplify('LINESTRING(0 0,1 0,2 0)', 0.1D), geo_centroid('POINT(1 2)'),
+        geo_geojson('POINT(1 2)'), geo_from_geojson('{"type":"Point","coordinates":[1,2]}'), geo_bbox('LINESTRING(0 5,1 1,2 0)'), geo_bbox(null), geo_geojson(null), geo_from_geojson(null)"""
+    ).first()
+    assert tuple(got)[:6] == (True, False, 0.0, 3, "LINESTRING(0 0,2 0)", "POINT(1 2)")
+    assert tuple(got)[6:] == ('{"coordinates":[1.0,2.0],"type":"Point"}', "POINT(1 2)", [0.0, 0.0, 2.0, 5.0], None, None, None)
+
+
 def test_shapefile(spark, tmp_path):
     ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
     body = struct.pack("<i4d2ii", 5, 0, 0, 1, 1, 1, 4, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
