@@ -39,14 +39,14 @@ def hilbert_sort(df: DataFrame) -> DataFrame:
     return hilbert_key(df).orderBy("hilbert", "line_no", "part_no")
 
 
-def value_type(value: Column) -> Column:
-    """Type of a JSON value's text: bool, long, double, string, json; null for null."""
+def value_type(schema: Column) -> Column:
+    """Type of a JSON value, from the schema of its variant: bool, long, double (any number but the long ones, 1.0 too), string, json; null for null."""
     return (
-        F.when(value == "null", None)
-        .when(value.isin("true", "false"), "bool")
-        .when(value.rlike(r"^-?[0-9]+$"), "long")
-        .when(value.rlike(r"^-?[0-9]"), "double")
-        .when(value.startswith('"'), "string")
+        F.when(schema == "VOID", None)
+        .when(schema == "BOOLEAN", "bool")
+        .when(schema == "BIGINT", "long")
+        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "double")
+        .when(schema == "STRING", "string")
         .otherwise("json")
     )
 
@@ -66,11 +66,10 @@ def schema_infer(values: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def properties(df: DataFrame) -> DataFrame:
-    """(name, order, type) of all properties of entities."""
-    parsed = df.select(F.struct("line_no", "part_no").alias("order"), F.explode(F.from_json("props", "map<string, string>")).alias("name", "text"), "props")
-    # from_json unquotes strings: whether a value is one is read from the raw text of its key
-    raw = F.to_json(F.struct(F.try_variant_get(F.parse_json("props"), F.concat(F.lit('$["'), F.col("name"), F.lit('"]')), "variant").alias("v")))
-    return parsed.select("name", "order", value_type(F.regexp_extract(raw, r'^\{"v":(.*)\}$', 1)).alias("type"))
+    """(name, order, type) of all properties of entities, each text read once."""
+    members = F.explode(F.parse_json("props").cast("map<string, variant>")).alias("name", "value")
+    parsed = df.select(F.struct("line_no", "part_no").alias("order"), members)
+    return parsed.select("name", "order", value_type(F.schema_of_variant("value")).alias("type"))
 
 
 def geometry_type(df: DataFrame) -> DataFrame:

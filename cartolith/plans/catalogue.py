@@ -456,11 +456,21 @@ def hilbert_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.hilbert_key(_point_lines(spark, sf_dir)).select("line_no", "hilbert")
 
 
-@_query("SELECT 'k' AS name, 'long' AS type UNION ALL SELECT 'v', 'double' UNION ALL SELECT 'w', 'json' FROM (SELECT count(*) FROM events)")
+_PROPS = (
+    "concat('{\"k\": ', CAST(event_id AS STRING), ', \"v\": ', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '1.5' END, ', \"w\": ', CASE WHEN event_id % 2 = 0 THEN '\"a\"' ELSE 'true' END, ', \"n\": null, \"d\": ', "
+    "CAST(event_id % 7 AS STRING), '.0, \"t\": \"', coalesce(event_type, ''), '\", \"o\": ', coalesce(props, 'null'), ', \"q\": ', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(-event_id AS STRING) END, '}')"
+)
+
+
+@_query(
+    "SELECT name, CASE WHEN count(DISTINCT t) = 1 THEN min(t) WHEN bool_and(t IN ('long', 'double')) THEN 'double' ELSE 'json' END AS type FROM (SELECT name, CASE json_type(p, '$.' || name) WHEN 'NULL' THEN NULL "
+    "WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'json' END AS t "
+    f"FROM (SELECT p, unnest(json_keys(p)) AS name FROM (SELECT CAST({_PROPS} AS JSON) AS p FROM events))) WHERE t IS NOT NULL GROUP BY name"
+)
 def schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = "concat('{\"k\": ', event_id, ', \"v\": ', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '1.5' END, ', \"w\": ', CASE WHEN event_id % 2 = 0 THEN '\"a\"' ELSE 'true' END, ', \"n\": null}')"
-    line = f"concat('{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[1,2]}},\"properties\":', {props}, '}}')"
-    lines = _table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(line).alias("value"))
+    line = f"concat('{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[1,2]}},\"properties\":', {_PROPS}, '}}')"
+    events = _table(spark, sf_dir, "events")
+    lines = events.select(F.col("event_id").alias("line_no"), F.expr(line).alias("value"))
     return aggregate.schema_infer(aggregate.properties(entities.parse(lines)))
 
 

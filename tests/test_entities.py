@@ -161,6 +161,30 @@ def test_simplified_lines_keep_ends_and_do_not_cross():
     assert geometry.coord_count(geometry.simplify_to(("LineString", [[i, i % 2] for i in range(100)]), 0.01, 10)) <= 10
 
 
+def test_lines_of_one_way_need_no_grid(monkeypatch):
+    rng = random.Random(6)
+    drawn = []
+    for n in (3, 20, 150):
+        steps = [rng.random() + 0.01 for _ in range(n)]
+        up = [sum(steps[: i + 1]) for i in range(n)]
+        drawn += [[list(p)[:: 1 - 2 * turn] for p in zip(up[::way], (rng.random() * 4 for _ in range(n)), strict=True)] for way in (1, -1) for turn in (0, 1)]
+    assert all(geometry._one_way([tuple(p) for p in line]) for line in drawn) and not geometry._one_way([(0, 0), (1, 1), (1, 0)])
+    quick = [geometry.simplify(("LineString", line), e) for line in drawn for e in (0.2, 1)]
+    monkeypatch.setattr(geometry, "_one_way", lambda at: False)
+    assert quick == [geometry.simplify(("LineString", line), e) for line in drawn for e in (0.2, 1)]
+
+
+def test_types_of_properties(spark):
+    """Each number by how it is written; names of any characters; nulls have no type."""
+    props = '{"a":1,"b":1.0,"c":9223372036854775808,"d":1e3,"e":"1","f":true,"g":null,"h":[1],"i":{"x":1},"q\\"]$.":-3}'
+    df = spark.createDataFrame([(0, 0, props), (1, 0, '{"a":2.5,"e":1}'), (2, 0, "{}"), (3, 0, None)], "line_no long, part_no long, props string")
+    want = {"a": "double", "b": "double", "c": "double", "d": "double", "e": "json", "f": "bool", "h": "json", "i": "json", 'q"]$.': "long"}
+    assert {r["name"]: r["type"] for r in aggregate.schema_infer(aggregate.properties(df)).collect()} == want
+    compat = aggregate.schema_infer(aggregate.properties(df), compat=True)
+    assert {r["name"]: r["type"] for r in compat.collect()} == want | {"a": "json"}  # the long comes first
+    assert aggregate.schema_infer(aggregate.properties(df.limit(0))).collect() == []
+
+
 def test_aggregates(spark):
     df = lines.from_text(spark, "-7.5,3\nLINESTRING(1 2,8 -9)")
     assert aggregate.bbox_all(df).select(transform.box_geojson()).first()[0] == '{"coordinates":[[[8.0,2.0],[1.0,2.0],[1.0,-9.0],[8.0,-9.0],[8.0,2.0]]],"type":"Polygon"}'
