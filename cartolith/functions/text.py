@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from json.encoder import encode_basestring as _quoted
 
 from cartolith.functions.geometry import Geometry
 from cartolith.functions.numbers import json_text, plain_text
 
 NESTING = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
+WORDS = {None: "null", False: "false", True: "true"}
 NAMES = {k.upper(): k for k in (*NESTING, "GeometryCollection")}
 TOKEN = re.compile(r"\s*([A-Za-z]+|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[(),])")
 
@@ -144,13 +146,15 @@ def geometry_of(value: object) -> Geometry:
 
 def canonical(value: object) -> str:
     """JSON with sorted keys and no spaces."""
+    if isinstance(value, str):
+        return _quoted(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v)}" for k, v in sorted(value.items())) + "}"
+        return "{" + ",".join([f"{_quoted(k)}:{canonical(value[k])}" for k in sorted(value)]) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return json_text(value)
-    return json.dumps(value, ensure_ascii=False)
+    return WORDS[value] if value is None or isinstance(value, bool) else str(value)
 
 
 def _coordinates(c: list) -> str:
