@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 import pyarrow as pa
@@ -138,6 +139,29 @@ def cell_box(name: str) -> tuple[float, float, float, float]:
     return (lo[0], lo[1], hi[0], hi[1])
 
 
+def cell_name(ix: int, iy: int, level: int) -> str:
+    """The geohash of column ix and row iy of a level, in Python."""
+    wide, high, v = -(-5 * level // 2), 5 * level // 2, 0
+    for k in range(5 * level):
+        v = v << 1 | (iy >> high - 1 - k // 2 if k % 2 else ix >> wide - 1 - k // 2) & 1
+    return "".join(geohash.ALPHABET[v >> 5 * i & 31] for i in reversed(range(level)))
+
+
+def cells_of(g: G.Geometry, level: int, max_cells: int = 1_000_000) -> list[str]:
+    """covering() of one geometry, in Python."""
+    b = G.box(g)
+    if b is None:
+        return []
+    spans = []
+    for lo, hi, half, bits in ((b[0], b[2], 180, -(-5 * level // 2)), (b[1], b[3], 90, 5 * level // 2)):
+        n = 1 << bits
+        spans.append(range(max(math.ceil((lo + half) * n / (2 * half)) - 1, 0), min(math.floor((hi + half) * n / (2 * half)), n - 1) + 1))
+    if len(spans[0]) * len(spans[1]) > max_cells:
+        raise ValueError("a covering of too many cells")
+    names = sorted((cell_name(x, y, level) for x in spans[0] for y in spans[1]), reverse=True)
+    return [n for n in names if G.intersects(g, G.cell_polygon(cell_box(n)))]
+
+
 def collection_of(features: Column) -> Column:
     return F.concat(F.lit('{"features":['), features, F.lit('],"type":"FeatureCollection"}'))
 

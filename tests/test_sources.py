@@ -1,10 +1,12 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from cartolith.functions import geohash, h3bits
 from cartolith.functions.register import register
 from cartolith.functions.text import read_wkt
-from cartolith.operators import entities
+from cartolith.operators import entities, transform
 from cartolith.sources import flatgeobuf, lines, shapefile
 
 WKT = """POINT(1 2)
@@ -65,7 +67,7 @@ def test_flatgeobuf_bbox_reads_only_what_meets_it(spark, tmp_path, monkeypatch):
 
 def test_sql_names(spark):
     names = register(spark)
-    assert len(names) == 9
+    assert len(names) == 18
     got = spark.sql(
         """select geo_intersects('POINT(1 1)', 'POLYGON((0 0,2 0,2 2,0 2,0 0))'), geo_contains('POLYGON((0 0,2 0,2 2,0 2,0 0))', 'POINT(3 1)'),
         round(geo_distance(0D, 0D, 'POINT(0 0)')), geo_coord_count('LINESTRING(0 0,1 1,2 0)'), geo_simplify('LINESTRING(0 0,1 0,2 0)', 0.1D), geo_centroid('POINT(1 2)'),
@@ -75,6 +77,31 @@ def test_sql_names(spark):
     assert tuple(got)[6:] == ('{"coordinates":[1.0,2.0],"type":"Point"}', "POINT(1 2)", [0.0, 0.0, 2.0, 5.0], None, None, None)
 
 
+def test_sql_names_of_cells_are_the_operators(spark):
+    """The SQL functions of geohashes and H3 cells, and the table function of coverings, against the columns they stand for."""
+    register(spark)
+    rows = [(i, -180 + i * 7.321, -90 + i * 3.59, 0x8C274996E1683FF - (i % 7) * 512) for i in range(50)] + [(50, 180.0, 90.0, 0x8001FFFFFFFFFFF), (51, 181.0, 0.0, None), (52, None, 0.0, 0x8001FFFFFFFFFFF)]
+    spark.createDataFrame(rows, "i long, lon double, lat double, cell long").createOrReplaceTempView("places")
+    for level in (0, 1, 4, 7, 12):
+        got = spark.sql(f"select lon, lat, geo_geohash(lon, lat, {level}) as gh from places").withColumn("want", geohash.encode(F.col("lon"), F.col("lat"), level))
+        assert got.where("not (gh <=> want)").count() == 0
+    got = spark.sql("select cell, geo_h3_text(cell) as t, geo_h3_cell(geo_h3_text(cell)) as c, geo_h3_resolution(cell) as r, geo_h3_base_cell(cell) as b, geo_h3_parent(cell, 5) as p, geo_h3_parent(cell, 13) as q from places")
+    c = F.col("cell")
+    want = {"t": h3bits.to_text(c), "c": c, "r": h3bits.resolution(c), "b": h3bits.base_cell(c), "p": h3bits.parent(c, 5), "q": h3bits.parent(c, 13)}
+    for name, column in want.items():
+        assert got.where(~F.col(name).eqNullSafe(column)).count() == 0, name
+    assert spark.sql("select geo_geohash_children('u4')[31], geo_geohash_bbox('u'), geo_geohash_children(null)").first()[:] == ("u4z", [0.0, 45.0, 45.0, 90.0], None)
+    shapes = ["LINESTRING(1 2,9 -7)", "POLYGON((0 0,20 0,0 10,0 0))", "POINT(5.625 0)", "MULTIPOINT((1 1),(40 40))"]
+    plain = lines.from_text(spark, "\n".join(shapes))
+    for level in (0, 2, 3):
+        expected = transform.covering(plain, level).select("line_no", "out_no", "gh").collect()
+        spark.createDataFrame(list(enumerate(shapes)), "k long, w string").createOrReplaceTempView("shapes")
+        found = spark.sql(f"select k, out_no, gh from shapes, lateral geo_covering(w, {level})").collect()
+        first = min(r["line_no"] for r in expected)
+        assert sorted(map(tuple, found)) == sorted((r["line_no"] - first, r["out_no"], r["gh"]) for r in expected)
+    assert spark.sql("select * from geo_covering(null, 3)").collect() == []
+
+
 def test_shapefile(spark, tmp_path):
     ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
     body = struct.pack("<i4d2ii", 5, 0, 0, 1, 1, 1, 4, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
