@@ -40,6 +40,7 @@ FAN = 64
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "w1": (HIDDEN, FANOUT), "b1": (FANOUT,)}
 SHAPES |= {"w2": (FANOUT, HIDDEN, FANOUT), "b2": (FANOUT, FANOUT), "w3": (FANOUT, HIDDEN, FANOUT), "b3": (FANOUT, FANOUT)}
 NEVER = -30.0
+SAFE = 60.0  # logits up to this go through exp as they are
 
 
 class Vocabulary(NamedTuple):
@@ -69,13 +70,37 @@ def vocabulary(words: pa.Array, n: np.ndarray, rare_kinds: int, rare_count: int)
     return Vocabulary(h[order], node[order].astype(np.int16), share[order].astype(np.float32), (INPUTS - 1, float(np.log((rare_count + 1) / counts[INPUTS - 1] / (rare_kinds + 1)))), counts)
 
 
-def tokens(h: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(node, log share within it) of words by their hashes."""
+class Index(NamedTuple):
+    shift: np.uint64
+    first: np.ndarray  # where the hashes begin whose leading bits are this number or more
+
+
+def index(hashes: np.ndarray) -> Index:
+    """Of sorted hashes: about two numbers of leading bits for each, so that a look-up reads one or two hashes."""
+    bits = max(1, len(hashes).bit_length() + 1)
+    shift = np.uint64(64 - bits)
+    counts = np.bincount((hashes >> shift).astype(np.int64), minlength=1 << bits)
+    return Index(shift, np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+
+
+def tokens(h: np.ndarray, v: Vocabulary, by: Index | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, log share within it) of words by their hashes. by: index(v.hashes), for callers that ask often."""
     if not len(v.hashes):
         return np.full(len(h), v.rare[0], np.int16), np.full(len(h), v.rare[1], np.float32)
-    at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-    known = v.hashes[at] == h
-    return np.where(known, v.node[at], v.rare[0]).astype(np.int16), np.where(known, v.share[at], v.rare[1]).astype(np.float32)
+    by = by or index(v.hashes)
+    lead = (h >> by.shift).astype(np.int64)
+    at = np.minimum(by.first.take(lead), len(v.hashes) - 1)
+    known = v.hashes.take(at) == h
+    left = np.flatnonzero(~known)
+    end = by.first.take(lead[left] + 1)
+    while len(left):
+        more = at[left] + 1 < end
+        left, end = left[more], end[more]
+        at[left] += 1
+        hit = v.hashes[at[left]] == h[left]
+        known[left[hit]] = True
+        left, end = left[~hit], end[~hit]
+    return np.where(known, v.node.take(at), v.rare[0]).astype(np.int16, copy=False), np.where(known, v.share.take(at), v.rare[1]).astype(np.float32, copy=False)
 
 
 def first_weights(v: Vocabulary | None = None, seed: int = 5) -> dict[str, np.ndarray]:
@@ -103,79 +128,99 @@ def _around(padded: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([padded[place + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
 
 
-def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each row's column `at`, and all probabilities (in the memory of x)."""
-    x -= x.max(axis=1, keepdims=True)
-    out = x[np.arange(len(x)), at]
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each row's column `at`; what _slope needs (in the memory of x)."""
+    if len(x) and max(x.max(), -x.min()) > SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    pick = np.arange(0, x.size, FANOUT) + at
+    out = x.ravel()[pick]
     np.exp(x, out=x)
-    s = x.sum(axis=1, keepdims=True)
-    x /= s
-    return out - np.log(s[:, 0]), x
+    s = x @ np.ones(FANOUT, x.dtype)
+    return out - np.log(s), (x, s, pick)
+
 
+def _slope(state: tuple, n: int) -> np.ndarray:
+    """Gradient of the logits of the mean negative log probability over n places."""
+    x, s, pick = state
+    x *= (1 / (n * s))[:, None]
+    x.ravel()[pick] -= x.dtype.type(1 / n)
+    return x
 
-def _level(h: np.ndarray, w: np.ndarray, b: np.ndarray, group: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probability of each target below its own group's node."""
-    order = np.argsort(group, kind="stable")
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=FANOUT)))).tolist()
-    hs = h[order]
-    logits = b[group[order]]
+
+def _joined(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with the biases as those of a last input that is always 1."""
+    return np.concatenate((w, b[..., None, :]), axis=-2)
+
+
+def _level(h: np.ndarray, w: np.ndarray, group: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each target below its own group's node; groups ascend."""
+    cuts = np.searchsorted(group, np.arange(FANOUT + 1)).tolist()
+    logits = np.empty((len(h), FANOUT), h.dtype)
     for c in range(FANOUT):
         lo, hi = cuts[c], cuts[c + 1]
         if hi > lo:
-            logits[lo:hi] += hs[lo:hi] @ w[c]
-    log_p, p = _softmax(logits, target[order])
-    out = np.empty_like(log_p)
-    out[order] = log_p
-    return out, (order, cuts, hs, p, target[order])
+            np.matmul(h[lo:hi], w[c], out=logits[lo:hi])
+    log_p, state = _softmax(logits, target)
+    return log_p, (cuts, h, state)
 
 
 def _level_back(state: tuple, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient of h, of w, of b) of the mean negative log probability over n places."""
-    order, cuts, hs, g, target = state
-    g[np.arange(len(g)), target] -= 1
-    g /= n
-    g_w, g_b, part = np.zeros_like(w), np.zeros((FANOUT, FANOUT), g.dtype), np.empty_like(hs)
+    cuts, h, p = state
+    g = _slope(p, n)
+    g_w, out = np.zeros((FANOUT, HIDDEN + 1, FANOUT), g.dtype), np.empty((len(g), HIDDEN), g.dtype)
     for c in range(FANOUT):
         lo, hi = cuts[c], cuts[c + 1]
         if hi > lo:
-            np.matmul(hs[lo:hi].T, g[lo:hi], out=g_w[c])
-            np.add.reduce(g[lo:hi], axis=0, out=g_b[c])
-            np.matmul(g[lo:hi], w[c].T, out=part[lo:hi])
-    out = np.empty_like(part)
-    out[order] = part
-    return out, g_w, g_b
+            np.matmul(h[lo:hi].T, g[lo:hi], out=g_w[c])
+            np.matmul(g[lo:hi], w[c].T, out=out[lo:hi])
+    return out, g_w[:, :-1], g_w[:, -1]
 
 
-def forward(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probability of each node given its neighbours."""
+def _ascending(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each node given its neighbours; nodes ascend, so that the places of each softmax stand together."""
     x = w["embed"].take(around, axis=0).reshape(len(around), -1)
-    h = np.tanh(x @ w["w"] + w["b"])
-    deep = np.flatnonzero(node >= HEAD)
-    part = node[deep] - HEAD
-    second = node.copy()
-    second[deep] = HEAD + part // FANOUT
+    h = np.ones((len(x), HIDDEN + 1), x.dtype)
+    inner = x @ w["w"]
+    inner += w["b"]
+    np.tanh(inner, out=h[:, :-1])
+    head = int(np.searchsorted(node, HEAD))
+    part = node[head:] - HEAD
+    second = np.concatenate((node[:head], HEAD + part // FANOUT))
     first = second // FANOUT
-    out, p1 = _softmax(h @ w["w1"] + w["b1"], first)
-    log_2, s2 = _level(h, w["w2"], w["b2"], first, second % FANOUT)
+    out, s1 = _softmax(h @ _joined(w["w1"], w["b1"]), first)
+    log_2, s2 = _level(h, _joined(w["w2"], w["b2"]), first, second % FANOUT)
     out += log_2
-    log_3, s3 = _level(h[deep], w["w3"], w["b3"], part // FANOUT, part % FANOUT)
-    out[deep] += log_3
-    return out, (x, h, first, p1, s2, s3, deep)
+    log_3, s3 = _level(h[head:], _joined(w["w3"], w["b3"]), part // FANOUT, part % FANOUT)
+    out[head:] += log_3
+    return out, (x, h, s1, s2, s3, head)
+
+
+def forward(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log probability of each node given its neighbours."""
+    order = np.argsort(node, kind="stable")
+    log_p, state = _ascending(w, around[order], node[order])
+    out = np.empty_like(log_p)
+    out[order] = log_p
+    return out, state
 
 
 def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """(mean log probability, gradient of its negative)."""
-    out, (x, h, first, g1, s2, s3, deep) = forward(w, around, node)
+    order = np.argsort(node, kind="stable")
+    around = around[order]
+    out, (x, h, s1, s2, s3, head) = _ascending(w, around, node[order])
     n = len(node)
-    g1[np.arange(n), first] -= 1
-    g1 /= n
-    grad = {"w1": h.T @ g1, "b1": g1.sum(axis=0)}
+    g1 = _slope(s1, n)
+    top = h.T @ g1
+    grad = {"w1": top[:-1], "b1": top[-1]}
     g_h, grad["w2"], grad["b2"] = _level_back(s2, w["w2"], n)
     g_h += g1 @ w["w1"].T
     below, grad["w3"], grad["b3"] = _level_back(s3, w["w3"], n)
-    g_h[deep] += below
-    g_h *= 1 - h * h
-    grad["w"], grad["b"] = x.T @ g_h, g_h.sum(axis=0)
+    g_h[head:] += below
+    inner = h[:, :-1]
+    g_h *= 1 - inner * inner
+    grad["w"], grad["b"] = x.T @ g_h, np.ones(n, g_h.dtype) @ g_h
     flat = around.ravel()
     same = np.argsort(flat, kind="stable")
     flat = flat[same]
@@ -216,13 +261,13 @@ def _train(shipped, stride: int, batch: int, rate: float):
         from pyspark import TaskContext
 
         v = Vocabulary(*cloudpickle.loads(shipped.value))
-        w = first_weights(v)
+        w, by = first_weights(v), index(v.hashes)
         speed = {k: np.full_like(x, 1e-6) for k, x in w.items()}
         seen = 0
         rng = np.random.default_rng(1)
         for part in slices(batches):
             words = Words(part.column("text"))
-            node, _ = tokens(words.hashes(), v)
+            node, _ = tokens(words.hashes(), v, by)
             padded = contexts(node, words.first)
             within = np.arange(len(node)) - np.repeat(words.first[:-1], words.counts)
             place = np.flatnonzero(within % stride == (words.text_of_word() % stride))
@@ -293,9 +338,10 @@ def _score(shipped):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, weights = cloudpickle.loads(shipped.value)
         v, w = Vocabulary(*parts), _load(weights)
+        by = index(v.hashes)
         for part in slices(batches):
             words = Words(part.column("text"))
-            node, share = tokens(words.hashes(), v)
+            node, share = tokens(words.hashes(), v, by)
             padded = contexts(node, words.first)
             text = words.text_of_word()
             total = np.bincount(text, share, part.num_rows)

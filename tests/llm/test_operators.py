@@ -546,6 +546,45 @@ def test_gradient_is_right():
             assert g.ravel()[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-7)
 
 
+def test_words_are_found_without_a_binary_search():
+    """The same nodes and shares as by a search of the table, where hashes share their leading bits too, in less than half its time."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 700, 1 << 20):
+        dense = rng.integers(0, 50, n // 2, dtype=np.uint64) + np.uint64(7 << 40) * rng.integers(0, 9, n // 2, dtype=np.uint64)
+        h = np.unique(np.concatenate((rng.integers(0, 2**64, n - n // 2, dtype=np.uint64), dense, np.array([0, 2**64 - 1][: min(n, 2)], np.uint64))))
+        v = pll_score.Vocabulary(h, rng.integers(0, pll_score.INPUTS, len(h)).astype(np.int16), rng.random(len(h)).astype(np.float32), (pll_score.INPUTS - 1, -9.0), np.zeros(0))
+        by = pll_score.index(h)
+        asked = np.concatenate((h, h + np.uint64(1), h ^ np.uint64(1 << 63), rng.integers(0, 2**64, 1000, dtype=np.uint64)))
+        want = {x: (a, b) for x, a, b in zip(h.tolist(), v.node.tolist(), v.share.tolist(), strict=True)}
+        for got in (pll_score.tokens(asked, v, by), pll_score.tokens(asked, v)):
+            assert list(zip(*(x.tolist() for x in got), strict=True)) == [want.get(x, v.rare) for x in asked.tolist()]
+    h = np.sort(rng.integers(0, 2**64, 1 << 20, dtype=np.uint64))
+    v, by, asked = v._replace(hashes=h, node=np.zeros(len(h), np.int16), share=np.zeros(len(h), np.float32)), pll_score.index(h), rng.choice(h, 1 << 18)
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert seconds(lambda: pll_score.tokens(asked, v, by)) < 0.5 * seconds(lambda: np.searchsorted(h, asked))
+
+
+def test_logits_of_any_size():
+    """Logits beyond what exp can hold, and those within, give the log probabilities and slopes of plain double arithmetic."""
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, pll_score.FANOUT, 50)
+    for size in (1, 20, 59, 61, 300, 5000):
+        x = rng.uniform(-size, size, (50, pll_score.FANOUT)).astype(np.float32)
+        d = x - x.max(axis=1, keepdims=True).astype(float)
+        p = np.exp(d) / np.exp(d).sum(axis=1, keepdims=True)
+        log_p, state = pll_score._softmax(x.copy(), at)
+        assert log_p == pytest.approx((d - np.log(np.exp(d).sum(axis=1, keepdims=True)))[np.arange(50), at], rel=1e-5, abs=1e-4)
+        assert pll_score._slope(state, 50) == pytest.approx((p - np.eye(pll_score.FANOUT)[at]) / 50, abs=1e-6)
+
+
 def test_score_by_brute_force(spark):
     """Each word's probability by plain softmaxes over the whole of every node it passes."""
     texts = ["a b c d e f", "b", "a a zz b never", "c d"]
