@@ -76,8 +76,8 @@ class Index(NamedTuple):
 
 
 def index(hashes: np.ndarray) -> Index:
-    """Of sorted hashes: about two numbers of leading bits for each, so that a look-up reads one or two hashes."""
-    bits = max(1, len(hashes).bit_length() + 1)
+    """Of sorted hashes: one or two numbers of leading bits for each, so that a look-up reads one or two hashes."""
+    bits = max(1, len(hashes).bit_length())
     shift = np.uint64(64 - bits)
     counts = np.bincount((hashes >> shift).astype(np.int64), minlength=1 << bits)
     return Index(shift, np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
@@ -183,7 +183,7 @@ def _ascending(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -
     h = np.ones((len(x), HIDDEN + 1), x.dtype)
     inner = x @ w["w"]
     inner += w["b"]
-    np.tanh(inner, out=h[:, :-1])
+    h[:, :-1] = np.tanh(inner, out=inner)
     head = int(np.searchsorted(node, HEAD))
     part = node[head:] - HEAD
     second = np.concatenate((node[:head], HEAD + part // FANOUT))
@@ -193,7 +193,7 @@ def _ascending(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -
     out += log_2
     log_3, s3 = _level(h[head:], _joined(w["w3"], w["b3"]), part // FANOUT, part % FANOUT)
     out[head:] += log_3
-    return out, (x, h, s1, s2, s3, head)
+    return out, (x, inner, h, s1, s2, s3, head)
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -209,7 +209,7 @@ def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) ->
     """(mean log probability, gradient of its negative)."""
     order = np.argsort(node, kind="stable")
     around = around[order]
-    out, (x, h, s1, s2, s3, head) = _ascending(w, around, node[order])
+    out, (x, inner, h, s1, s2, s3, head) = _ascending(w, around, node[order])
     n = len(node)
     g1 = _slope(s1, n)
     top = h.T @ g1
@@ -218,15 +218,17 @@ def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) ->
     g_h += g1 @ w["w1"].T
     below, grad["w3"], grad["b3"] = _level_back(s3, w["w3"], n)
     g_h[head:] += below
-    inner = h[:, :-1]
-    g_h *= 1 - inner * inner
+    inner *= inner
+    g_h *= np.subtract(1, inner, out=inner)
     grad["w"], grad["b"] = x.T @ g_h, np.ones(n, g_h.dtype) @ g_h
     flat = around.ravel()
     same = np.argsort(flat, kind="stable")
     flat = flat[same]
     runs = np.flatnonzero(np.diff(flat, prepend=-1))
     grad["embed"] = np.zeros_like(w["embed"])
-    grad["embed"][flat[runs]] = np.add.reduceat((g_h @ w["w"].T).reshape(-1, WIDTH).take(same, axis=0), runs, axis=0)
+    g_x = (g_h @ w["w"].T).reshape(-1, WIDTH).take(same, axis=0)
+    pairs = g_x.view(np.result_type(g_x, np.complex64))  # two numbers are added at a time
+    grad["embed"][flat[runs]] = np.add.reduceat(pairs, runs, axis=0).view(g_x.dtype)
     return float(out.mean()), grad
 
 
