@@ -18,6 +18,7 @@ Repeated rows are scored alike. An empty table gives an empty result (the first
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -224,7 +225,7 @@ def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) ->
     flat = around.ravel()
     same = np.argsort(flat, kind="stable")
     flat = flat[same]
-    runs = np.flatnonzero(np.diff(flat, prepend=-1))
+    runs = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     grad["embed"] = np.zeros_like(w["embed"])
     g_x = (g_h @ w["w"].T).reshape(-1, WIDTH).take(same, axis=0)
     pairs = g_x.view(np.result_type(g_x, np.complex64))  # two numbers are added at a time
@@ -232,30 +233,41 @@ def gradient(w: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray) ->
     return float(out.mean()), grad
 
 
-def step(w: dict[str, np.ndarray], speed: dict[str, np.ndarray], around: np.ndarray, node: np.ndarray, rate: float) -> float:
-    """One adaptive gradient step of w and speed, in place; the mean log probability before it."""
-    mean, grad = gradient(w, around, node)
-    for k, g in grad.items():
-        s = speed[k]
-        s *= 0.9
-        s += 0.1 * (g * g)
-        g *= rate
-        g /= np.sqrt(s) + 1e-6
-        w[k] -= g
+def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in SHAPES])
+
+
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, shape in SHAPES.items():
+        size = math.prod(shape)
+        out[k] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
+
+def step(flat: np.ndarray, speed: np.ndarray, around: np.ndarray, node: np.ndarray, rate: float) -> float:
+    """One adaptive gradient step of the weights and speed, in place; the mean log probability before it."""
+    mean, grad = gradient(_views(flat), around, node)
+    g = _flat(grad)
+    speed *= 0.9
+    part = g * g
+    part *= 0.1
+    speed += part
+    np.sqrt(speed, out=part)
+    part += 1e-6
+    g *= rate
+    g /= part
+    flat -= g
     return mean
 
 
 def _dump(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in SHAPES)
+    return _flat(w).astype("<f4").tobytes()
 
 
 def _load(raw: bytes) -> dict[str, np.ndarray]:
-    flat, out, at = np.frombuffer(raw, "<f4").copy(), {}, 0
-    for k, shape in SHAPES.items():
-        size = int(np.prod(shape))
-        out[k] = flat[at : at + size].reshape(shape)
-        at += size
-    return out
+    return _views(np.frombuffer(raw, "<f4").copy())
 
 
 def _train(shipped, stride: int, batch: int, rate: float):
@@ -263,8 +275,8 @@ def _train(shipped, stride: int, batch: int, rate: float):
         from pyspark import TaskContext
 
         v = Vocabulary(*cloudpickle.loads(shipped.value))
-        w, by = first_weights(v), index(v.hashes)
-        speed = {k: np.full_like(x, 1e-6) for k, x in w.items()}
+        w, by = _flat(first_weights(v)), index(v.hashes)
+        speed = np.full_like(w, 1e-6)
         seen = 0
         rng = np.random.default_rng(1)
         for part in slices(batches):
@@ -281,7 +293,7 @@ def _train(shipped, stride: int, batch: int, rate: float):
             seen += len(place)
         if seen:
             task = TaskContext.get()
-            yield pa.record_batch({"task": pa.array([task.partitionId() if task else 0], pa.int64()), "n": pa.array([seen], pa.int64()), "weights": pa.array([_dump(w)], pa.binary())})
+            yield pa.record_batch({"task": pa.array([task.partitionId() if task else 0], pa.int64()), "n": pa.array([seen], pa.int64()), "weights": pa.array([_dump(_views(w))], pa.binary())})
 
     return train
 
