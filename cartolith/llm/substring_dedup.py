@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.shared import bound_batches, lean, lean_group, materialise, partitions
+from cartolith.llm.shared import bound_batches, give_back, lean, lean_group, materialise, partitions
 from cartolith.llm.textkernels import Words, mix, same_spans, slices, span_hash, window_hash
 
 BUCKET_WINDOWS = 1 << 19
@@ -78,16 +78,14 @@ def _exact_firsts(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray
     at = np.flatnonzero(new)
     if not len(at):
         return doc.copy()
-    group = np.cumsum(new) - 1
-    several = np.diff(np.concatenate((at, [len(hs)]))) > 1
-    first = np.minimum.reduceat(doc[order], at)
+    del hs
     out = np.empty_like(doc)
-    out[order] = first[group]
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(at, append=len(h)))
     # all windows of one hash against the first of them, byte by byte
-    check = order[several[group] & ~new]
-    head = np.empty(len(h), np.int64)
-    head[order] = order[at][group]
-    differ = ~same_spans(buf, lo[check], hi[check], lo[head[check]], hi[head[check]])
+    later = np.flatnonzero(~new)
+    check, head = order[later], order[at[np.searchsorted(at, later, "right") - 1]]
+    del order, new, later
+    differ = ~same_spans(buf, lo[check], hi[check], lo[head], hi[head])
     if differ.any():
         for value in np.unique(h[check[differ]]):  # two texts of one hash: told apart by their bytes
             same = np.flatnonzero(h == value)
@@ -167,58 +165,67 @@ def _count(width: int, least: float):
 
 
 def _deal(width: int, buckets: int, salts: int, hot: np.ndarray):
+    def dealt(part: pa.RecordBatch, salt: int, turn: int) -> list[tuple[int, int, int, int, bytes]]:
+        """Rows of one run; a function of its own, so that no run's arrays stand while the next one's are made."""
+        words = Words(part.column("text"))
+        ids = part.column("doc_id")
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        doc = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        th = part.column("th").to_numpy(zero_copy_only=False)
+        at = _windows(words, width)
+        row_at = words.text_of_word()[at].astype(np.int32)
+        if null.any():
+            at, row_at = (x[~null[row_at]] for x in (at, row_at))
+        if not len(at):
+            return []
+        h = words.hashes()
+        wh = window_hash(h, width)[at]
+        doc_at = doc[row_at]
+        known = doc_at > _exact_firsts(words.buf, words.start[at], words.stop[at + width - 1], wh, doc_at)
+        del doc_at
+        least = _minimisers(h, width, hot)[at]
+        del h
+        start = (at - words.first[row_at]).astype(np.int32)
+        out: list[tuple[int, int, int, int, bytes]] = []
+        if known.any():
+            (r,), lo, hi = _ranges((row_at[known],), start[known], width)
+            own = int(mix(np.array([th[r[0]] + turn]).astype(np.uint64))[0] % np.uint64(buckets))
+            out.append((own, -1, 1, 0, _pack(doc[r], th[r], lo, hi)))
+            at, wh, least, row_at, start = (x[~known] for x in (at, wh, least, row_at, start))
+        if len(at):
+            all_hot = least >= TOP
+            # salted rows stand apart from the others: buckets from `buckets` on
+            bucket = (np.where(all_hot, wh, mix(least)) % np.uint64(buckets)).astype(np.int64)
+            bucket[all_hot] += buckets
+            del wh, all_hot
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (row_at[1:] != row_at[:-1]) | (bucket[1:] != bucket[:-1])
+            head = np.flatnonzero(new)
+            tail = np.concatenate((head[1:], [len(at)])) - 1
+            order = np.lexsort((least[head], bucket[head]))  # strings of one minimiser are alike: side by side they pack well
+            head, tail = head[order], tail[order]
+            a, b = words.start[at[head]], words.stop[at[tail] + width - 1]
+            n = np.cumsum(np.concatenate(([0], tail - head + 1)))
+            text = words.buf.tobytes()
+            del words, at, least, new, tail, order
+            cuts = np.flatnonzero(np.diff(bucket[head], prepend=-1)).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(head)], strict=True):
+                packed = b"\n".join([text[x:y] for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True)])
+                r, k = row_at[head[lo:hi]], int(bucket[head[lo]])
+                out.append((k % buckets, salt if k >= buckets else -1, 0, int(n[hi] - n[lo]), _pack(doc[r], th[r], start[head[lo:hi]], text=packed)))
+        return out
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        salt, turn = (task.partitionId() % salts if task else 0), 0
-        for part in slices(batches, limit=DEAL_BYTES):
-            words = Words(part.column("text"))
-            ids = part.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            doc = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-            th = part.column("th").to_numpy(zero_copy_only=False)
-            row = words.text_of_word()
-            at = _windows(words, width)
-            at = at[~null[row[at]]]
-            if not len(at):
-                continue
-            h = words.hashes()
-            wh, least = window_hash(h, width)[at], _minimisers(h, width, hot)[at]
-            row_at = row[at]
-            doc_at = doc[row_at]
-            start = at - words.first[row_at]
-            first = _exact_firsts(words.buf, words.start[at], words.stop[at + width - 1], wh, doc_at)
-            known = doc_at > first
-            out: list[tuple[int, int, int, int, bytes]] = []
-            if known.any():
-                (r,), lo, hi = _ranges((row_at[known],), start[known], width)
-                turn += 1
-                own = int(mix(np.array([th[r[0]] + turn]).astype(np.uint64))[0] % np.uint64(buckets))
-                out.append((own, -1, 1, 0, _pack(doc[r], th[r], lo.astype(np.int32), hi.astype(np.int32))))
-            at, wh, least, row_at, start = (x[~known] for x in (at, wh, least, row_at, start))
-            if len(at):
-                all_hot = least >= TOP
-                # salted rows stand apart from the others: buckets from `buckets` on
-                bucket = np.where(all_hot, wh, mix(least)) % np.uint64(buckets)
-                bucket = bucket.astype(np.int64) + np.where(all_hot, buckets, 0)
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (row_at[1:] != row_at[:-1]) | (bucket[1:] != bucket[:-1])
-                head = np.flatnonzero(new)
-                tail = np.concatenate((head[1:], [len(at)])) - 1
-                order = np.lexsort((least[head], bucket[head]))  # strings of one minimiser are alike: side by side they pack well
-                head, tail = head[order], tail[order]
-                a, b = words.start[at[head]].tolist(), words.stop[at[tail] + width - 1].tolist()
-                n = np.cumsum(np.concatenate(([0], tail - head + 1)))
-                text = words.buf.tobytes()
-                cuts = np.flatnonzero(np.diff(bucket[head], prepend=-1)).tolist()
-                for lo, hi in zip(cuts, [*cuts[1:], len(head)], strict=True):
-                    packed = b"\n".join([text[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)])
-                    r, k = row_at[head[lo:hi]], int(bucket[head[lo]])
-                    out.append((k % buckets, salt if k >= buckets else -1, 0, int(n[hi] - n[lo]), _pack(doc[r], th[r], start[head[lo:hi]].astype(np.int32), text=packed)))
-            if out:
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        salt = task.partitionId() % salts if task else 0
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        for turn, part in enumerate(slices(batches, limit=DEAL_BYTES), 1):
+            if out := dealt(part, salt, turn):
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "salt", "kind", "n", "blob"])
+            del out
+            give_back()
 
     return deal
 

@@ -94,8 +94,7 @@ class Words:
         self.buf[SPACE[self.buf]] = 32
         self.stop = np.flatnonzero(self.buf == 32)
         self.start = np.concatenate((np.zeros(1, np.int64), self.stop[:-1] + 1)) if len(self.stop) else np.zeros(0, np.int64)
-        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(last)))
-        self.first = upto[ends]
+        self.first = np.searchsorted(np.flatnonzero(last), ends)
 
     @property
     def counts(self) -> np.ndarray:
@@ -151,8 +150,8 @@ def window_hash(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
         return mix(out)
 
 
-def same_spans(buf: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, chunk: int = 1 << 21) -> np.ndarray:
-    """Whether the bytes a0:a1 equal the bytes b0:b1, for each pair of spans."""
+def same_spans(buf: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """Whether the bytes a0:a1 equal the bytes b0:b1, for each pair of spans; about chunk bytes at once, each of which takes some 50 more."""
     same = (a1 - a0) == (b1 - b0)
     todo = np.flatnonzero(same)
     size = np.cumsum((a1 - a0)[todo])

@@ -5,6 +5,7 @@ import html
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +113,23 @@ def test_super_k_mers_stay_long_at_many_buckets(spark):
     assert sizes[10_000] < 1.1 * sizes[100]
 
 
+def test_substring_runs_stay_small():
+    """Executors lend a worker a few hundred MB: what a run of the deal holds at once is bounded, and none of it stands in the next run."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"word{i:x}" for i in range(60_000)])
+    shared = " ".join(vocabulary[:400])
+    texts = [f"{shared} {' '.join(vocabulary[rng.integers(0, len(vocabulary), 2000)])}" for _ in range(600)]
+    table = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "th": pa.array(range(len(texts)), pa.int64())})
+    assert table.nbytes > 2.5 * substring_dedup.DEAL_BYTES
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in substring_dedup._deal(13, 200, 1, np.zeros(0, np.uint64))(iter([table])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 400 and peak < 24 * substring_dedup.DEAL_BYTES
+
+
 def test_substring_hot_bins_and_repeats(spark):
     words = " ".join(f"w{i}" for i in range(20))
     rows = [(i, f"{words} tail{i}", None, None) for i in range(40)] + [(5, f"{words} tail5", None, None), (None, words, None, None)]
