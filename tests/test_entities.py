@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions import geohash, geometry
 from cartolith.operators import aggregate, entities, filters, transform
 from cartolith.operators.munge import munge_line
+from cartolith.plans import catalogue
 from cartolith.sources import lines
 
 MIXED = """-7.25,48.5
@@ -106,6 +108,20 @@ def test_centroid_and_distance(spark):
     assert metres == pytest.approx([6378137.0 * 3.141592653589793 / 180, 110574.4, 0], abs=0.1)
 
 
+def test_distance_by_steps_is_that_of_the_sql(spark, tmp_path):
+    """Points of which some lie opposite, where the formula doesn't converge, or half-way between two tenths of a metre."""
+    ids = [501477, 343181, 274270, 341122, 333091, 52475, 438297, 58089, 282769]
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("event_id", "user_id").where(F.col("event_id").isin([i % 100000 for i in ids]))
+    moved = events.join(spark.createDataFrame([(i, i % 100000) for i in ids], "id long, event_id long"), "event_id").select(F.col("id").alias("event_id"), "user_id")
+    moved.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["line_no"]: r["metres"] for r in catalogue.measure_distance(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == dict(db.execute(catalogue.oracle_sql()["measure_distance"]).fetchall()) and len(got) == len(ids)
+    opposite = lines.from_text(spark, "-39.1015625,103.2734375").select(transform.distance_to(-77.03, 38.9), transform.distance_to(-77.03, 38.9, steps=30)).first()
+    assert opposite[0] is None and opposite[1] == pytest.approx(19940412.5, abs=0.1)
+
+
 SHAPES = "1,1\nnonsense\nLINESTRING(2 2,9 9)\nPOLYGON((1 1,2 1,2 2,1 2,1 1))\nMULTIPOINT((1 1),(20 20))\n20,20\n3,0\nMULTIPOINT((1 1),(2 3))\n1,1"
 
 
