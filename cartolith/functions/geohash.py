@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,17 +109,68 @@ def roots() -> Column:
     return F.array(*(F.lit(c) for c in ALPHABET))
 
 
+def _axis_mask(level: int, lon: bool) -> int:
+    """The bits of one axis among a level's, which lie interleaved; the highest is longitude's."""
+    return sum(1 << b for b in range(5 * level) if ((5 * level - 1 - b) % 2 == 0) == lon)
+
+
+_LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
+_VALUES = np.full(256, -1, np.int64)
+_VALUES[_LETTERS] = _VALUES[np.frombuffer(ALPHABET.upper().encode(), np.uint8)] = np.arange(32)
+
+
+def _around(chars: np.ndarray, turns: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the cells around cells of one level (cell, turn, character), and whether each exists. A cell is the number that its characters are in base 32; within the bits of
+    one axis a step is one addition, for the other axis's bits, set before, hand the carry on."""
+    level = chars.shape[1]
+    lon, lat = _axis_mask(level, True), _axis_mask(level, False)
+    z = np.zeros(len(chars), np.int64)
+    for v in _VALUES[chars].T:
+        z = z << 5 | v
+    names, there = np.empty((len(chars), len(turns), level), np.uint8), np.ones((len(chars), len(turns)), bool)
+    for i, turn in enumerate(turns):
+        to = np.zeros(len(z), np.int64)
+        for d, mask in zip(turn, (lon, lat), strict=True):
+            v = z & mask
+            to |= v if d == 0 else ((v | ~mask) + 1 if d > 0 else v - 1) & mask
+        if turn[1]:
+            there[:, i] = (z & lat) != (lat if turn[1] > 0 else 0)
+        names[:, i] = _LETTERS[to[:, None] >> np.arange(5 * (level - 1), -1, -5) & 31]
+    return names, there
+
+
 def neighbors(gh: Column, exclude: bool = False) -> Column:
-    """The cell itself (unless excluded), N, NE, E, SE, S, SW, W, NW; columns wrap at the antimeridian, cells beyond a pole are left out."""
-    turns = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)][exclude:]  # fixed order
-    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in turns))
+    """The cell itself (unless excluded), N, NE, E, SE, S, SW, W, NW; columns wrap at the antimeridian, cells beyond a pole are left out. Null for what is no geohash.
 
-    def around(g: Column) -> Column:
-        nx, ny = (n.cast("long") for n in _sizes(g["level"]))
-        cells = F.transform(moves, lambda m: F.struct(F.pmod(g["x"] + m["dx"], nx).alias("x"), (g["y"] + m["dy"]).alias("y")))
-        return F.transform(F.filter(cells, lambda c: (c["y"] >= 0) & (c["y"] < ny)), lambda c: _name(c["x"], c["y"], g["level"]))
+    An Arrow kernel over whole batches: as native expressions, the cells and characters are either interpreted lambdas or code too large to be compiled."""
+    turns = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)][exclude:]  # fixed order
 
-    return F.when(F.length(gh) == 0, F.array(gh)).otherwise(let(grid(gh), around))
+    @F.arrow_udf("array<string>")
+    def around(cells: pa.Array) -> pa.Array:
+        cells = cells.cast(pa.string())
+        levels = pc.fill_null(pc.binary_length(cells), -1).to_numpy(zero_copy_only=False)
+        order, counts, texts = [], [], []
+        for level in np.unique(levels[levels >= 0]):
+            at = np.flatnonzero(levels == level)
+            if level == 0:
+                order, counts, texts = [*order, at], [*counts, np.ones(len(at), np.int64)], [*texts, pa.array([""] * len(at), pa.string())]
+            elif level <= MAX_LEVEL:
+                chars = np.frombuffer("".join(cells.take(pa.array(at)).to_pylist()).encode(), np.uint8).reshape(len(at), level)
+                good = (_VALUES[chars] >= 0).all(1)
+                names, there = _around(chars[good], turns)
+                flat = np.ascontiguousarray(names[there])
+                ends = np.arange(len(flat) + 1, dtype=np.int32) * np.int32(level)
+                order, counts = [*order, at[good]], [*counts, there.sum(1)]
+                texts.append(pa.Array.from_buffers(pa.string(), len(flat), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
+        if not order:
+            return pa.nulls(len(cells), pa.list_(pa.string()))
+        order, counts = np.concatenate(order), np.concatenate(counts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.concat_arrays(texts))
+        back = np.full(len(cells), -1, np.int64)
+        back[order] = np.arange(len(order))
+        return lists.take(pa.array(back, mask=back < 0))
+
+    return around.asNondeterministic()(gh)  # else the optimizer copies the call into a filter of a generator
 
 
 def encode_long(x: Column) -> Column:

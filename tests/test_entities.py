@@ -94,6 +94,31 @@ def test_geohash(spark):
         assert cells == {c for c, b in box_of.items() if geometry.intersects(shape, geometry.cell_polygon(b))}
 
 
+def test_geohash_neighbors_of_all_levels(spark):
+    """At the antimeridian, the poles and inside, of odd and even levels; upper case; none of what is no geohash."""
+    cells = [bisected(x, y, n)[0] for n in (1, 2, 3, 7, 12) for x, y in ((-179.9999999, 10.0), (179.9999999, -89.9999999), (3.3, 89.9999999), (9.1, 48.7))] + ["", "U4", "u4a", None, "0" * 13, "ü"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, gh string")
+    rows = df.select("i", geohash.neighbors(F.col("gh")).alias("all"), geohash.neighbors(F.col("gh"), True).alias("others")).orderBy("i").collect()
+    for gh, r in zip(cells, rows, strict=True):
+        if gh is None or gh in ("u4a", "0" * 13, "ü"):
+            assert r["all"] is None and r["others"] is None
+        elif gh:
+            (x0, y0, x1, y1), n = transform.cell_box(gh), len(gh)
+            turns = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+            middles = [(((x0 + x1) / 2 + i * (x1 - x0) + 180) % 360 - 180, (y0 + y1) / 2 + j * (y1 - y0)) for i, j in turns]
+            want = [bisected(x, y, n)[0] for x, y in middles if -90 < y < 90]
+            assert r["all"] == want and r["others"] == want[1:]
+    assert rows[cells.index("")]["all"] == [""]
+
+
+def test_points_are_dealt_out_evenly(spark, tmp_path, monkeypatch):
+    """One file of one row group gives tasks by its rows."""
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 100)
+    spark.range(1000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = [len(p) for p in catalogue.geohash_neighbors(spark, str(tmp_path)).select("event_id").distinct().rdd.glom().collect()], catalogue._points(spark, str(tmp_path)).rdd.glom().map(len).collect()
+    assert sum(sizes[0]) == 1000 and sizes[1] == [100] * 10
+
+
 def boxes_of(spark, names):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, c string").select("i", geohash.bbox(F.col("c")).alias("b")).orderBy("i").collect()
     return [tuple(r["b"]) for r in rows]
