@@ -65,7 +65,7 @@ def encode(lon: Column, lat: Column, level: int) -> Column:
     nx, ny = _sizes(level)
     ix = F.least(F.floor((lon + 180) * nx / 360), nx.cast("long") - 1)
     iy = F.least(F.floor((lat + 90) * ny / 180), ny.cast("long") - 1)
-    return F.when(lon.between(-180, 180) & lat.between(-90, 90), let(F.struct(ix.alias("x"), iy.alias("y")), lambda c: _name(c["x"], c["y"], level)))
+    return F.when(lon.between(-180, 180) & lat.between(-90, 90), _name(ix, iy, level))
 
 
 def is_geohash(text: Column) -> Column:
@@ -101,8 +101,8 @@ def bbox(gh: Column) -> Column:
 
 
 def children(gh: Column) -> Column:
-    """The 32 cells of the next level, in order."""
-    return F.transform(roots(), lambda c: F.concat(gh, c))
+    """The 32 cells of the next level, in order; without a lambda, which would be interpreted and work gh out for each."""
+    return F.array(*(F.concat(gh, F.lit(c)) for c in ALPHABET))
 
 
 def roots() -> Column:

@@ -119,6 +119,13 @@ def test_points_are_dealt_out_evenly(spark, tmp_path, monkeypatch):
     assert sum(sizes[0]) == 1000 and sizes[1] == [100] * 10
 
 
+def test_geohash_children_name_their_cell_once(spark):
+    df = spark.createDataFrame([("u4",), ("",), (None,)], "gh string").select(geohash.children(F.concat("gh", F.lit("b"))).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    assert [r["c"][0] if r["c"] else None for r in df.collect()][:2] == ["u4b0", "b0"]
+
+
 def boxes_of(spark, names):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, c string").select("i", geohash.bbox(F.col("c")).alias("b")).orderBy("i").collect()
     return [tuple(r["b"]) for r in rows]
