@@ -222,6 +222,21 @@ def test_lines_of_one_way_need_no_grid(monkeypatch):
     assert quick == [geometry.simplify(("LineString", line), e) for line in drawn for e in (0.2, 1)]
 
 
+def test_many_lines_are_thinned_as_each_alone():
+    """With ties, both ways, along either axis; others are left to simplify_to."""
+    rng = random.Random(8)
+    drawn = []
+    for n in [2, 3, 12, 13, 31, geometry.SHORT, geometry.SHORT + 1] * 40:
+        line = [[i + 0.0, rng.randrange(5) / 8 if n % 2 else rng.uniform(-2, 2)] for i in range(n)][:: rng.choice((1, -1))]
+        drawn.append([p[::-1] for p in line] if rng.random() < 0.5 else line)
+    drawn += [[[0.0, 0.0], [1.0, 1.0], [1.0, 0.0]], [[0.0, 0.0], [1.0, float("nan")], [2.0, 0.0]]]
+    wkb = [geometry.to_wkb(("LineString", line)) for line in drawn]
+    for epsilon, target in ((0.05, 12), (0.3, None), (1e-9, 1)):
+        out = geometry.thin_lines([*wkb, b"", geometry.to_wkb(("Polygon", [drawn[2]]))], epsilon, target)
+        assert [x is None for x in out] == [len(line) > geometry.SHORT for line in drawn[:-2]] + [True] * 4
+        assert all(x is None or x == geometry.simplify_to(("LineString", line), epsilon, target)[1] for x, line in zip(out, drawn, strict=False))
+
+
 def test_types_of_properties(spark):
     """Each number by how it is written; names of any characters; nulls have no type."""
     props = '{"a":1,"b":1.0,"c":9223372036854775808,"d":1e3,"e":"1","f":true,"g":null,"h":[1],"i":{"x":1},"q\\"]$.":-3}'
