@@ -6,6 +6,8 @@ all), props (canonical JSON), h3 (index), error. One line may give several entit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.functions import geohash, h3bits
-from cartolith.functions.geometry import Geometry, box, cell_polygon, from_wkb, to_wkb
+from cartolith.functions.geometry import Geometry, box, cell_polygon, from_wkb, line_wkb, to_wkb
 from cartolith.functions.numbers import json_number, plain_number
-from cartolith.functions.text import read_geojson, read_wkt, write_geometry, write_wkt
+from cartolith.functions.text import plain_line, read_geojson, read_wkt, write_geometry, write_wkt
 
 # The patterns that tell the formats apart, in order.
 LATLON = r"^-?[0-9]+\.?[0-9]*[,\t]-?[0-9]+\.?[0-9]*$"
@@ -43,18 +45,27 @@ def detect(line: Column, compat: bool = False) -> Column:
 
 
 def _part(kind: str, raw: str, g: Geometry | None, props: str = "{}", error: str | None = None, compat: bool = False) -> dict:
+    """A part's columns; its box is a tuple."""
     b = box(g, compat) if g else None
     point = g is not None and g[0] == "Point" and len(g[1]) > 0
     return {
         "kind": kind, "raw": raw, "gtype": g[0] if g else None, "lon": g[1][0] if point else None, "lat": g[1][1] if point else None,
-        "box": dict(zip(("xmin", "ymin", "xmax", "ymax"), b, strict=True)) if b else None, "wkb": to_wkb(g) if g and not point else None, "props": props, "h3": None, "error": error,
+        "box": b, "wkb": to_wkb(g) if g and not point else None, "props": props, "h3": None, "error": error,
     }
 
 
+def _line_part(raw: str, flat: list[float]) -> dict:
+    """_part of a line, from its numbers."""
+    xs, ys = flat[::2], flat[1::2]
+    return {"kind": "WKT", "raw": raw, "gtype": "LineString", "lon": None, "lat": None, "box": (min(xs), min(ys), max(xs), max(ys)), "wkb": line_wkb(flat), "props": "{}", "h3": None, "error": None}
+
+
 def parse_text(kind: str, line: str, compat: bool = False) -> list[dict]:
     """Entities of a GeoJSON or WKT line; one with an error where it can't be read. compat: a collection's box also holds the origin."""
     try:
         if kind == "WKT":
+            if found := plain_line(line):
+                return [_line_part(*found)]
             return [_part("WKT", write_wkt(g), g, compat=compat) for g in read_wkt(line)]
         return [_part(k, line if raw is None else raw, g, props, error, compat) for k, g, props, raw, error in read_geojson(line)]
     except (ValueError, RecursionError) as e:
@@ -67,10 +78,24 @@ ARROW_PART = pa.struct(
 )
 
 
+def _box_array(boxes: list[tuple | None]) -> pa.Array:
+    sides = zip(*((b or (None,) * 4) for b in boxes), strict=True) if boxes else [[]] * 4
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in sides], fields=list(ARROW_BOX), mask=pa.array([b is None for b in boxes], pa.bool_()))
+
+
 def _parser(compat: bool):
     @F.arrow_udf(T.ArrayType(PART_TYPE))
     def parse_lines(kind: pa.Array, line: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else parse_text(k, x, compat) for k, x in zip(kind.to_pylist(), line.to_pylist(), strict=True)], pa.list_(ARROW_PART))
+        """Column by column: values of nested rows would cost more to convert than the lines to parse."""
+        columns, ends = {c: [] for c in COLUMNS}, [0]
+        add = [(c, x.append) for c, x in columns.items()]
+        for k, text in zip(kind.to_pylist(), line.to_pylist(), strict=True):
+            for part in () if text is None else parse_text(k, text, compat):
+                for c, append in add:
+                    append(part[c])
+            ends.append(len(columns["kind"]))
+        arrays = [_box_array(columns[f.name]) if f.name == "box" else pa.array(columns[f.name], f.type) for f in ARROW_PART]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(ARROW_PART)), mask=line.is_null())
 
     return parse_lines
 
@@ -133,14 +158,20 @@ def rows_of(*columns: pd.Series) -> list[Geometry | None]:
     return [geometry(a, b, (c, d, e, f), w) for a, b, c, d, e, f, w in zip(lon, lat, x0, y0, x1, y1, wkb, strict=True)]
 
 
-@F.pandas_udf(T.StringType())
-def _wkt(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda w: None if w is None else write_wkt(from_wkb(bytes(w))))
+def _texts(wkb: pa.Array, write: Callable[[Geometry], str]) -> pa.Array:
+    if wkb.null_count == len(wkb):
+        return pa.nulls(len(wkb), pa.string())
+    return pa.array([None if w is None else write(from_wkb(w)) for w in wkb.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _wkt(wkb: pa.Array) -> pa.Array:
+    return _texts(wkb, write_wkt)
 
 
-@F.pandas_udf(T.StringType())
-def _geojson(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda w: None if w is None else write_geometry(from_wkb(bytes(w))))
+@F.arrow_udf(T.StringType())
+def _geojson(wkb: pa.Array) -> pa.Array:
+    return _texts(wkb, write_geometry)
 
 
 def _ring(number, sep: str, left: str, right: str) -> Column:

@@ -54,6 +54,15 @@ def test_trimmed_lines_and_collection_boxes(spark):
     assert box(False) == (3, 4, 5, 9) and box(True) == (0, 0, 5, 9)
 
 
+def test_parts_are_gathered_by_column(spark):
+    """A batch of lines that give none, one or several parts, with and without a box; the lines' own nulls."""
+    empty, two = '{"type":"FeatureCollection","features":[]}', '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":1},"geometry":null},{"type":"Feature","properties":null,"geometry":{"type":"Point","coordinates":[5,6]}}]}'
+    df = entities.parse(spark.createDataFrame([(0, empty), (1, two), (2, None), (3, "POINT EMPTY"), (4, empty), (5, "{")], "line_no long, value string").coalesce(1))
+    rows = [(r["line_no"], r["part_no"], r["props"], r["lon"], r["box"] and tuple(r["box"]), r["error"] is None) for r in df.where("line_no != 2").orderBy("line_no", "part_no").collect()]
+    assert rows == [(1, 0, '{"a":1}', None, None, False), (1, 1, "{}", 5.0, (5.0, 6.0, 5.0, 6.0), True), (3, 0, "{}", None, (0.0, 0.0, 0.0, 0.0), True), (5, 0, "{}", None, None, False)]
+    assert type(entities.parse_text("WKT", "POINT(1 2)")[0]["box"]) is tuple
+
+
 def test_bad_lines(spark):
     df = lines.from_text(spark, "ill?\nLINESTRING (1 2, 3\n\n832749fffffffff\nu4")
     assert [r["error"] is None for r in df.orderBy("line_no").collect()] == [False, False, False, True, True]
@@ -237,6 +246,20 @@ def test_many_lines_are_thinned_as_each_alone():
         assert all(x is None or x == geometry.simplify_to(("LineString", line), epsilon, target)[1] for x, line in zip(out, drawn, strict=False))
 
 
+def test_plain_lines_are_read_and_written_as_by_tokens():
+    from cartolith.functions import text
+
+    rng = random.Random(9)
+    numbers = ["0.0", "-0.0", "0.0001", "-0.5", "10.0", "99999.0123456789", "1.10", "0.00001", "7", "1e3", "123456.5", "+1.5", "0.05"]
+    for _ in range(500):
+        line = "LINESTRING(" + ",".join(f"{rng.choice(numbers)} {rng.choice(numbers[:6] if rng.random() < 0.8 else numbers)}" for _ in range(rng.randrange(2, 5))) + ")"
+        g = text.read_wkt(line)[0]
+        part = entities.parse_text("WKT", line)[0]
+        assert (part["raw"], part["wkb"], part["box"]) == ("LINESTRING(" + ",".join(" ".join(map(text.plain_text, p)) for p in g[1]) + ")", geometry.to_wkb(g), geometry.box(g))
+        assert text.write_wkt(geometry.from_wkb(part["wkb"])) == part["raw"] and text.write_geometry(g) == f'{{"coordinates":{text._coordinates(g[1])},"type":"LineString"}}'
+    assert text.plain_line("LINESTRING(1.5 2.0,-3.25 4.0)") == ("LINESTRING(1.5 2,-3.25 4)", [1.5, 2.0, -3.25, 4.0]) and text.plain_line("LINESTRING(1.5 2.0,1e3 4.0)") is None
+
+
 def test_types_of_properties(spark):
     """Each number by how it is written; names of any characters; nulls have no type."""
     props = '{"a":1,"b":1.0,"c":9223372036854775808,"d":1e3,"e":"1","f":true,"g":null,"h":[1],"i":{"x":1},"q\\"]$.":-3}'
